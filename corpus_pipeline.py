@@ -1,10 +1,54 @@
-"""The corpus pipeline: quality classifier, near-dedup, decontamination, secret scans, mixing."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+1. quality: the classifier's word vectors cover the stage's whole input; documents that score below 0.3 go.
+2. near_dedup: of each group of linked fingerprints one document stays, the one with the least doc_id.
+3. decontaminate: contaminated documents go; in others, words in benchmark windows are cut.
+4. secrets: secrets are masked in the text; no document goes.
+5. mix: sources weigh 5, 2, 1, repeating; the documents taken stay, with the number of copies.
+
+Scores, XXH64 fingerprints and components cannot be expressed in SQL, so ORACLE_SQL is None.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from haplospark.llm import decontaminate as decontamination
+from haplospark.llm import mix as mixing
+from haplospark.llm import quality as classifier
+from haplospark.llm import secrets_scan, simhash
+from haplospark.llm.common import materialize, table
+from haplospark.llm.queries import mix_weights
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets_scan.redact_secrets(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs, F.array("source"), mix_weights)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", secrets), ("mix", mix)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table of documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

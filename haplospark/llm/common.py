@@ -6,6 +6,8 @@ import string
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ def split_words(text: Column, separators: str) -> Column:
     return F.array_remove(F.split(text_or_empty(text), separators), "")
 
 
+def recount(docs: DataFrame, changed: Column) -> DataFrame:
+    """n_chars, if there is such a column, set to the text's length in rows that were ``changed``."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where the session names none."""
     sc = spark.sparkContext
@@ -52,3 +61,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows: a Python worker holds a few MB of text at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def table_batches(batches, key: str, rows: int):
+    """Tables of whole runs of equal ``key`` (by which the stream is ordered), each of about ``rows`` rows unless one run is longer."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        at = t[key].to_numpy()
+        cut = int(np.searchsorted(at, at[-1], "left"))
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+            held, n = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+        else:
+            rows = max(rows, 2 * n)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

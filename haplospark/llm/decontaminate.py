@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import checkpoint, split_words, text_or_empty
+from haplospark.llm.common import checkpoint, recount, split_words, text_or_empty
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same as a set for a token, with its leading separators (any case).
@@ -128,7 +128,7 @@ def cut_words(text: Column, hits: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """``docs`` without contaminated documents, and the rest without the spans that a benchmark window covers.
 
-    Documents without a hit come back unchanged, with all their columns.
+    Documents without a hit come back unchanged, with all their columns; n_chars, if there, follows the text.
     """
     names = docs.columns
     hit = match(docs, benchmark, n).where("n_hit > 0").select(
@@ -137,4 +137,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
     body = text_or_empty(F.col("text"))
     joined = docs.withColumn("__md5", F.md5(body)).join(hit, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__body")), "left")
     clean = joined.where(~F.coalesce("__bad", F.lit(False)))
-    return clean.withColumn("text", F.when(F.col("__hits").isNull(), F.col("text")).otherwise(cut_words(F.col("text"), F.col("__hits")))).select(*names)
+    cut = clean.withColumn("text", F.when(F.col("__hits").isNull(), F.col("text")).otherwise(cut_words(F.col("text"), F.col("__hits"))))
+    return recount(cut, F.col("__hits").isNotNull()).select(*names)

@@ -193,3 +193,9 @@ def mix(docs: DataFrame, sources: Column, weight: Callable[[list], list[int]], r
     by_pattern, by_source = plan(small, weight, ratio, cap)
     taken = apply_plan(rows, by_pattern)
     return taken.withColumn("copies", F.when(F.col("__size") > 0, F.col("__whole") + F.col("__extra")).otherwise(0)).drop("__whole", "__extra"), by_source
+
+
+def mixed(docs: DataFrame, sources: Column, weight: Callable[[list], list[int]]) -> DataFrame:
+    """The documents that the mix takes, with all their columns, and copies: how often."""
+    taken, _ = mix(docs, sources, weight)
+    return taken.where("copies > 0").select(*docs.columns, F.col("copies").cast("int").alias("copies"))

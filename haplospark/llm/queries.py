@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplospark.llm import decontaminate, mix, secrets_scan, url_filter
+from haplospark.llm import decontaminate, mix, quality, secrets_scan, simhash, url_filter
 from haplospark.llm.common import checkpoint, table
 
 URL_RULES = (
@@ -49,6 +49,19 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (copies * F.col("__size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model of this corpus and its labels."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", quality.in_fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every document, scanned by content with an empty ledger."""
     found = secrets_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -60,7 +73,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_url_filters, op5_source_mix, op10_secret_scans)}
+    every = (op2_benchmark_decontamination, op3_url_filters, op5_source_mix, op8_simhash_near_dedup, op9_quality_classifier, op10_secret_scans)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

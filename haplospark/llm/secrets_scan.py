@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import text_or_empty
+from haplospark.llm.common import recount, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -201,3 +201,11 @@ def redact(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(found) == 0, text).otherwise(
         F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text))))
     )
+
+
+def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with every secret in text masked; all rows and columns stay, and n_chars, if there, follows the text."""
+    names = docs.columns
+    found = scan(docs.withColumnRenamed("text", "__body"), [*[c for c in names if c != "text"], "__body"], rules=rules, text="__body")
+    masked = found.withColumn("text", redact(F.col("__body"), F.col("found")))
+    return recount(masked, F.size("found") > 0).select(*names)
