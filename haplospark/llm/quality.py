@@ -51,6 +51,7 @@ SALTS = 16
 CHUNK = 1 << 17
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
+INVERSE = U(pow(int(BASE), -1, 1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,7 +91,7 @@ def _tokens(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = np.where(upper, buf + 32, buf)
     power = _powers(len(buf) + 1, BASE)
     sums = np.concatenate((np.zeros(1, U), np.cumsum((low.astype(U) + U(1)) * power[:-1], dtype=U)))
-    word = _mix((sums[stop] - sums[cut]) * power[len(buf) - cut])
+    word = _mix((sums[stop] - sums[cut]) * _powers(len(buf), INVERSE)[cut])
     capitals = np.concatenate(([0], np.cumsum(upper)))
     count, length = capitals[stop] - capitals[cut], stop - cut
     letters = kind[cut] == 1

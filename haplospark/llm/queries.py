@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplospark.llm import decontaminate, mix, quality, secrets_scan, simhash, url_filter
+from haplospark.llm import decontaminate, mix, quality, secrets_scan, simhash, suffix_dedup, url_filter
 from haplospark.llm.common import checkpoint, table
 
 URL_RULES = (
@@ -49,6 +49,12 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (copies * F.col("__size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to repeated 200-byte strings, and a digest of the rest."""
+    left = suffix_dedup.remove(table(spark, sf_dir, "documents"), ["doc_id"])
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
@@ -73,7 +79,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_benchmark_decontamination, op3_url_filters, op5_source_mix, op8_simhash_near_dedup, op9_quality_classifier, op10_secret_scans)
+    every = (op2_benchmark_decontamination, op3_url_filters, op5_source_mix, op7_suffix_array_dedup, op8_simhash_near_dedup, op9_quality_classifier, op10_secret_scans)
     return {f.__name__: f for f in every}
 
 
