@@ -8,8 +8,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 
 def ascii_lower(c: Column) -> Column:
@@ -88,3 +90,20 @@ def table_batches(batches, key: str, rows: int):
             rows = max(rows, 2 * n)
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def packed_text(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys`` and the text, compressed for a shuffle (null: the empty text), as ``packed``."""
+    rows = docs.select(*keys, F.col(text).cast("binary").alias("__t"))
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([pack.compress(x or b"") for x in b.column(len(keys)).to_pylist()], pa.binary())], names=[*keys, "packed"])
+
+    return rows.mapInArrow(run, StructType([*[rows.schema[k] for k in keys], StructField("packed", BinaryType())]))
+
+
+def unpacked_text(column: pa.Array) -> list[str]:
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(x).decode() for x in column.to_pylist()]

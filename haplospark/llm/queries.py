@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplospark.llm import decontaminate, mix, quality, secrets_scan, simhash, suffix_dedup, url_filter
+from haplospark.llm import chat_format, decontaminate, fingerprints, mix, quality, secrets_scan, simhash, substring_dedup, suffix_dedup, url_filter
 from haplospark.llm.common import checkpoint, table
 
 URL_RULES = (
@@ -19,6 +19,14 @@ URL_RULES = (
 )
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that every document loses to repeated runs, and a digest of the rest."""
+    left = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["i"].cast("string"), (x["j"] + 1).cast("string"))), ",")
+    kept = F.coalesce("text", F.lit(""))
+    return left.select("doc_id", "n_sentences", "n_removed", spans.alias("removed"), F.char_length(kept).cast("long").alias("n_kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document; see ``decontaminate``."""
     found = decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -35,6 +43,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, pages.where(F.contains("url", F.lit("utm_source="))).select("url"), URL_RULES)
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they and the next document are."""
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def mix_weights(sources: list) -> list[int]:
     return [(5, 2, 1)[i % 3] for i in range(len(sources))]
 
@@ -49,6 +62,12 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (copies * F.col("__size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from each participant's perspective."""
+    shown = chat_format.render(table(spark, sf_dir, "conversations"))
+    return shown.withColumn("mask", chat_format.mask_text(F.col("mask")))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to repeated 200-byte strings, and a digest of the rest."""
     left = suffix_dedup.remove(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -79,7 +98,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_benchmark_decontamination, op3_url_filters, op5_source_mix, op7_suffix_array_dedup, op8_simhash_near_dedup, op9_quality_classifier, op10_secret_scans)
+    every = (
+        op1_substring_dedup, op2_benchmark_decontamination, op3_url_filters, op4_document_fingerprints, op5_source_mix,
+        op6_chat_formatting, op7_suffix_array_dedup, op8_simhash_near_dedup, op9_quality_classifier, op10_secret_scans,
+    )
     return {f.__name__: f for f in every}
 
 
