@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Columns that say which variant a row is, those compared, and p-values, which are only reported.
@@ -24,11 +24,18 @@ class Tolerances:
         return self.frequency if column == "A1FREQ" else self.statistic
 
 
+def number(c: Column) -> Column:
+    """A text column as numbers; -nan, as some writers put it, is not a number."""
+    text = F.lower(c.cast("string"))
+    return F.when(text.isin("nan", "-nan"), F.lit(float("nan"))).otherwise(text.try_cast("double"))
+
+
 def difference(pairs: DataFrame, reference: str, actual: str) -> DataFrame:
-    """One row: n, max_abs, median_abs, p99_abs, max_rel, median_rel, p99_rel, pearson."""
-    r, a = F.col(reference).cast("double"), F.col(actual).cast("double")
+    """One row: n, max_abs, median_abs, p99_abs, max_rel, median_rel, p99_rel, pearson; of the pairs that are numbers."""
+    pairs = pairs.select(number(F.col(reference)).alias("__r"), number(F.col(actual)).alias("__a")).where(~F.isnan("__r") & ~F.isnan("__a"))
+    r, a = F.col("__r"), F.col("__a")
     gap = F.abs(a - r)
-    rel = F.when(r != 0, gap / F.abs(r)).otherwise(F.when(gap == 0, F.lit(0.0)))
+    rel = gap / F.greatest(F.abs(r), F.lit(1e-300))
     rows = pairs.select(r.alias("r"), a.alias("a"), gap.alias("gap"), rel.alias("rel"))
     return rows.agg(
         F.count("*").alias("n"), F.max("gap").alias("max_abs"), F.expr("percentile(gap, 0.5)").alias("median_abs"), F.expr("percentile(gap, 0.99)").alias("p99_abs"),
@@ -68,8 +75,8 @@ def compare_stats(reference: DataFrame, actual: DataFrame, tolerances: Tolerance
         out[c] = difference(both.select(F.col(f"r.{c}").alias("x"), F.col(f"a.{c}").alias("y")), "x", "y").first().asDict()
         if tolerances and c in NUMERIC:
             rtol, atol = tolerances.of(c)
-            x, y = F.col(f"r.{c}").cast("double"), F.col(f"a.{c}").cast("double")
-            near = F.coalesce(F.abs(y - x) <= atol + rtol * F.abs(x), F.lit(False)) | x.eqNullSafe(y)
+            x, y = number(F.col(f"r.{c}")), number(F.col(f"a.{c}"))
+            near = F.coalesce(~F.isnan(y - x) & (F.abs(y - x) <= atol + rtol * F.abs(x)), F.lit(False)) | x.eqNullSafe(y)
             out[c]["passed"] = both.where(~near).isEmpty()
             verdict(out[c]["passed"])
     return out

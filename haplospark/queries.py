@@ -557,7 +557,7 @@ def xtx_matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT p_retailprice AS r, p_retailprice + (p_partkey % 7 - 3) * 0.001E0 AS a FROM part),
-d AS (SELECT r, a, abs(a - r) AS gap, CASE WHEN r <> 0 THEN abs(a - r) / abs(r) WHEN abs(a - r) = 0 THEN 0.0E0 END AS rel FROM p)
+d AS (SELECT r, a, abs(a - r) AS gap, abs(a - r) / greatest(abs(r), 1.0E-300) AS rel FROM p)
 SELECT CAST(count(*) AS BIGINT) AS n, round(max(gap), 9) AS max_abs, round(median(gap), 9) AS median_abs, round(quantile_cont(gap, 0.99), 9) AS p99_abs,
        round(max(rel), 9) AS max_rel, round(median(rel), 9) AS median_rel, round(quantile_cont(rel, 0.99), 9) AS p99_rel, round(corr(r, a), 9) AS pearson FROM d""")
 def stats_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
