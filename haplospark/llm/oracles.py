@@ -125,9 +125,25 @@ FROM d LEFT JOIN g USING (doc)
 """
 
 
+_OP6 = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said, CAST(coalesce(floor(turn / 1024), 0) AS INTEGER) AS part FROM conversations),
+p AS (SELECT DISTINCT conv_id, who AS me FROM t WHERE who <> 'system'),
+x AS (
+  SELECT t.conv_id, p.me, t.part, t.turn, t.who, t.said, t.who = p.me AS own, t.said || '<|end|>' || chr(10) AS body,
+         CASE WHEN t.who = 'system' THEN '<|system|>' WHEN t.who = p.me THEN '<|assistant|>' ELSE '<|user name=' || t.who || '|>' END || chr(10) AS head
+  FROM t JOIN p ON p.conv_id IS NOT DISTINCT FROM t.conv_id),
+y AS (SELECT *, row_number() OVER w AS k, sum(length(head) + length(body)) OVER w AS stop FROM x WINDOW w AS (PARTITION BY conv_id, me, part ORDER BY turn NULLS FIRST, who, said ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, me AS perspective, part, CAST(count(*) AS BIGINT) AS n_turns, CAST(coalesce(sum(CASE WHEN own THEN length(body) END), 0) AS BIGINT) AS n_masked,
+       string_agg(head || body, '' ORDER BY k) AS text,
+       coalesce(string_agg(CASE WHEN own THEN CAST(CAST(stop - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) END, ',' ORDER BY k), '') AS mask
+FROM y GROUP BY conv_id, me, part
+"""
+
 SQL = {
     "op2_benchmark_decontamination": _OP2,
     "op3_url_filters": _OP3,
     "op5_source_mix": _op5(),
+    "op6_chat_formatting": _OP6,
     "op10_secret_scans": _op10(),
 }
