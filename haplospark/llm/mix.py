@@ -196,6 +196,7 @@ def mix(docs: DataFrame, sources: Column, weight: Callable[[list], list[int]], r
 
 
 def mixed(docs: DataFrame, sources: Column, weight: Callable[[list], list[int]]) -> DataFrame:
-    """The documents that the mix takes, with all their columns, and copies: how often."""
+    """The documents that the mix takes, with all their columns, and copies: how often (a column of that name gives way)."""
+    docs = docs.drop("copies")
     taken, _ = mix(docs, sources, weight)
     return taken.where("copies > 0").select(*docs.columns, F.col("copies").cast("int").alias("copies"))

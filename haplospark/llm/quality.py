@@ -290,8 +290,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return train(vectors, x, np.array([r["y"] for r in rows], np.float64))
 
 
-def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` and score of every row."""
+def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """``keys`` and the score, called ``name``, of every row."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keys, F.col(text).cast("binary").alias("__t"))
@@ -299,9 +299,9 @@ def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = sent.value.scores(pool(b.column(len(keys)), sent.value.vectors))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*keys, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*keys, name])
 
-    return rows.mapInArrow(run, StructType([*[rows.schema[k] for k in keys], StructField("score", DoubleType())]))
+    return rows.mapInArrow(run, StructType([*[rows.schema[k] for k in keys], StructField(name, DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -309,4 +309,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     names = docs.columns
     model = fit(docs, labels)
     rows = docs.withColumn("__scored", F.col("text"))
-    return score(rows, model, names, "__scored").where(F.col("score") >= threshold).select(*names)
+    return score(rows, model, names, "__scored", "__score").where(F.col("__score") >= threshold).select(*names)

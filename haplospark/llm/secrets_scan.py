@@ -151,10 +151,12 @@ def ledger_findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
 
 
 def join_back(docs: DataFrame, found: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of every document, and ``found`` (empty where nothing is)."""
-    paths = docs.select(*columns, F.unhex(F.sha2(text_or_empty(F.col(text)), 256)).alias("blob"))
+    """``columns`` of every document, and ``found`` (empty where nothing is); a column of that name gives way."""
+    kept = [c for c in columns if c != "found"]
+    paths = docs.select(*kept, F.unhex(F.sha2(text_or_empty(F.col(text)), 256)).alias("__blob"))
+    by_blob = found.select(F.col("blob").alias("__key"), F.col("found").alias("__found"))
     none = F.array().cast(f"array<{SPAN}>")
-    return paths.join(found, "blob", "left").select(*columns, F.coalesce("found", none).alias("found"))
+    return paths.join(by_blob, F.col("__blob") == F.col("__key"), "left").select(*kept, F.coalesce("__found", none).alias("found"))
 
 
 def scan(docs: DataFrame, columns: list[str], ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -206,6 +208,8 @@ def redact(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every secret in text masked; all rows and columns stay, and n_chars, if there, follows the text."""
     names = docs.columns
-    found = scan(docs.withColumnRenamed("text", "__body"), [*[c for c in names if c != "text"], "__body"], rules=rules, text="__body")
-    masked = found.withColumn("text", redact(F.col("__body"), F.col("found")))
-    return recount(masked, F.size("found") > 0).select(*names)
+    held = {c: f"__in_{c}" if c in ("text", "found") else c for c in names}
+    found = scan(docs.select(*[F.col(f"`{c}`").alias(h) for c, h in held.items()]), list(held.values()), rules=rules, text="__in_text")
+    masked = found.withColumn("text", redact(F.col("__in_text"), F.col("found")))
+    changed = recount(masked, F.size("found") > 0)
+    return changed.select(*[F.col("__in_found").alias("found") if c == "found" else F.col(f"`{c}`") for c in names])

@@ -94,11 +94,15 @@ def removals(docs: DataFrame, text: str = "text", least: int = SENTENCES, words:
 
 
 def dedup(docs: DataFrame, text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """``docs`` with cleaned ``text``, and n_sentences, n_removed (sentences) and spans (the ranges removed, in order)."""
+    """``docs`` with cleaned ``text``, and n_sentences, n_removed (sentences) and spans (the ranges removed, in order).
+
+    Columns of the latter names give way.
+    """
+    docs = docs.drop("n_sentences", "n_removed", "spans")
     names = docs.columns
-    gone = materialize(removals(docs, text, least, words).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), "spans"), "removals")
+    gone = materialize(removals(docs, text, least, words).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("spans").alias("__spans")), "removals")
     marked = _with_body(docs, text)
-    joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left").select(*names, F.col("spans").alias("__spans"))
+    joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left").select(*names, "__spans")
     schema = StructType(list(docs.schema)).add("n_sentences", "long").add("n_removed", "long").add("spans", ArrayType(StructType().add("i", "integer").add("j", "integer")))
     at = names.index(text)
 
