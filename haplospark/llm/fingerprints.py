@@ -18,10 +18,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.functions import PandasUDFType
+from pyspark.sql.types import StringType, StructType
 
 from haplospark.llm.common import packed_text, small_batches, unpacked_text
 
@@ -121,13 +123,10 @@ def likeness(a: np.ndarray, b: np.ndarray, some_a: np.ndarray, some_b: np.ndarra
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text, as a column."""
 
-    @F.pandas_udf("string")
-    def run(texts: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
-        import pandas as pd
-
+    def run(texts: pd.Series) -> pd.Series:
         return pd.Series(packed(*sketch([(t or "").encode() for t in texts])), dtype=object)
 
-    return run(text)
+    return F.pandas_udf(run, StringType(), PandasUDFType.SCALAR)(text)
 
 
 def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
