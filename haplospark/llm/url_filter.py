@@ -117,7 +117,8 @@ def judge(pages: DataFrame, listed_urls: DataFrame, rules: Sequence[Rule] = ())
         .select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "canonical")
         .withColumns({"rule": rule, "ruled": verdict})
     )
-    hits = listed_hits(judged, listed_urls).withColumn("listed", F.lit(True))
+    # Written first, so that the join has a shuffle on either side, and a URL of very many pages is split.
+    hits = checkpoint(listed_hits(judged, listed_urls)).withColumn("listed", F.lit(True))
     listed = F.coalesce("listed", F.lit(False))
     return judged.join(hits, "canonical", "left").select(
         "page_id", "host", "path", "rule",
