@@ -1,19 +1,25 @@
 r"""SimHash near-dedup by anchor-point covering.
 
-Fingerprint: words are cut at ASCII blanks, lower-cased (A-Z), joined to shingles of four (fewer words: all of
-them), hashed with XXH64 (seed 42); a bit is 1 where over half the hashes have it.  Two fingerprints link at
-``BITS`` = 4 or fewer differing bits.
-
-Search: the 64 bits fall into three blocks, so two linked fingerprints differ in at most one bit of some
-block.  A block's anchors are a covering code: the codewords of the Hamming(15,11) code, which covers with radius
-1, times all values of the block's other bits.  A fingerprint lives at the anchor nearest to it (at most 1 off),
-and is replicated to every anchor within radius plus threshold, 1 + 1 = 2.  So linked fingerprints meet at the
-home of either.  Each anchor compares its homes with its visitors.  A block has 2^17 or 2^18 anchors.
+Fingerprint: words are cut at ASCII blanks, lower-cased (A-Z), joined to shingles (fewer words: all of them), hashed with
+XXH64 (seed 42); a bit is 1 where over half the hashes have it.  There are two settings:
+
+* ``CONTRACT``: shingles of four words, 64 bits, a link at 4 or fewer differing bits.  Exact.
+* ``SIMILAR``: shingles of five words, 192 bits (two more words of bits by mixing each hash), a link at 34 or fewer
+  differing bits.  Texts of Jaccard similarity 0.8 differ in 29 of 192 bits on the average, 0.9 in 20, unlike ones
+  in 96.  This is what ``near_dedup`` takes: 64 bits cannot tell a similarity of 0.8 (10 bits) from one of 0.6 (15).
+
+Search: each 64 bits fall into three blocks.  A block's anchors are a covering code: the codewords of the
+Hamming(15,11) code, which covers with radius 1, times all values of the block's other bits.  A fingerprint lives at the
+anchor nearest to it (at most 1 off), and is replicated to every anchor within radius plus threshold, 1 + 1 = 2.  So two
+fingerprints that differ in at most one bit of some block meet at the home of either: with 64 bits and a
+threshold of 4 that is certain, with 192 bits and nine blocks it is for up to 17 bits (similarity 0.91 on the average),
+and likely beyond: about 0.9 at a similarity of 0.85 and 0.77 at 0.8, for one pair alone; groups have many pairs.
+Each anchor compares its homes with its visitors.  A block has 2^17 or 2^18 anchors.
 
 Groups: equal fingerprints are merged before the search.  An anchor emits no pairs, but a forest: at most one
-link for each fingerprint there, which keeps what is connected.  An anchor with over ``LARGE`` fingerprints is
-cut anew by five pieces of the other bits (four differences leave one piece equal), so it is not searched pair by pair.
-Components then come from ``graph_components``.
+link for each fingerprint there, which keeps what is connected.  With 64 bits, an anchor of over ``LARGE`` fingerprints
+is cut anew by five pieces of the other bits (four differences leave one piece equal), so it is not searched pair by
+pair.  Components then come from ``graph_components``.
 
 Defined edge cases: a null, empty or blank text has fingerprint zero, which links like any other.  Repeated
 rows are kept each, with equal fingerprints.  Null ids are kept; a component of null ids alone has a null
@@ -23,6 +29,7 @@ id.  Columns not asked for are not read.  An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, repeat
 
 import numpy as np
@@ -35,9 +42,20 @@ from pyspark.sql.types import LongType, StructField, StructType
 from haplospark.llm.common import checkpoint, materialize, small_batches, table_batches
 from haplospark.llm.graph_components import components
 
-SHINGLE = 4
-BITS = 4
 SEED = 42
+
+
+@dataclass(frozen=True)
+class Setting:
+    """Words of a shingle, 64-bit words of a fingerprint, and the most bits in which linked ones differ."""
+
+    shingle: int
+    words: int
+    bits: int
+
+
+CONTRACT = Setting(4, 1, 4)
+SIMILAR = Setting(5, 3, 34)
 #: (first bit, bits) of each block; the lowest 15 bits of a block carry the Hamming code.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 LARGE = 4096
@@ -46,10 +64,17 @@ PAIRS = 1_000_000
 U = np.uint64
 
 
-def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
-    words = (text or b"").lower().split()
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def fingerprint(text: bytes | None, how: Setting = CONTRACT) -> np.ndarray:
+    """The fingerprint's words."""
+    words, n = (text or b"").lower().split(), how.shingle
     if not words:
-        return 0
+        return np.zeros(how.words, U)
     whole = b" ".join(words)
     if len(words) <= n:
         hashes = np.array([xxhash.xxh64_intdigest(whole, SEED)], U)
@@ -58,21 +83,37 @@ def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         cuts = [whole[i:j] for i, j in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, cuts, repeat(SEED)), U, len(cuts))
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    out = np.zeros(how.words, U)
+    for w in range(how.words):
+        own, ones = (hashes if w == 0 else _mix(hashes + U(w))), np.zeros(64, np.int64)
+        for k in range(0, len(own), 65536):
+            ones += np.unpackbits(own[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(ones * 2 > len(own), bitorder="little").view("<u8")[0]
+    return out
+
+
+def node_of(fps: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each row of n x words: the fingerprint itself, or a hash of its words."""
+    name = fps[:, 0]
+    for w in range(1, fps.shape[1]):
+        name = _mix(_mix(name) ^ fps[:, w])
+    return name
 
 
-def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` and fp (the 64 bits as a signed long) of every row."""
-    rows = docs.select(*keys, F.col(text).cast("binary").alias("__text"))
-    schema = StructType([*[rows.schema[k] for k in keys], StructField("fp", LongType())])
+def _words(how: Setting) -> list[str]:
+    return [f"f{w}" for w in range(how.words)]
+
+
+def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", how: Setting = CONTRACT) -> DataFrame:
+    """``keys``, fp (the fingerprint's name as a signed long) and its words f0, f1, ... of every row."""
+    rows, names = docs.select(*keys, F.col(text).cast("binary").alias("__text")), [*keys, "fp", *_words(how)]
+    schema = StructType([*[rows.schema[k] for k in keys], *[StructField(c, LongType()) for c in names[len(keys) :]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(x.as_py()) for x in b.column(len(keys))), U, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=[*keys, "fp"])
+            fps = np.array([fingerprint(x.as_py(), how) for x in b.column(len(keys))], U).reshape(-1, how.words)
+            columns = [node_of(fps), *fps.T]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]], names=names)
 
     small_batches(docs.sparkSession)
     return rows.mapInArrow(run, schema)
@@ -101,10 +142,11 @@ PATTERNS, SYNDROMES = _patterns(), _syndromes()
 
 
 def cover(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, index into ``fps``, home) of every replica."""
+    """(anchor, index into ``fps`` (n x words), home) of every replica."""
     anchors, index, home = [], [], []
-    for block, (first, bits) in enumerate(BLOCKS):
-        value = (fps >> U(first) & U((1 << bits) - 1)).astype(np.int64)
+    for block in range(len(BLOCKS) * fps.shape[1]):
+        first, bits = BLOCKS[block % len(BLOCKS)]
+        value = (fps[:, block // len(BLOCKS)] >> U(first) & U((1 << bits) - 1)).astype(np.int64)
         code, rest = value & 0x7FFF, value >> 15
         syndrome = SYNDROMES[code]
         extra = bits - 15
@@ -143,12 +185,12 @@ def _expand(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return who, np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
 
 
-def _close(fps: np.ndarray, left: np.ndarray, starts: np.ndarray, counts: np.ndarray, links: list) -> None:
-    """Add to ``links`` a forest over fps of the pairs (left[k], member of k's range) that differ in ``BITS`` or fewer."""
+def _close(fps: np.ndarray, left: np.ndarray, starts: np.ndarray, counts: np.ndarray, links: list, most: int) -> None:
+    """Add to ``links`` a forest over fps of the pairs (left[k], member of k's range) that differ in ``most`` bits or fewer."""
     piece = np.flatnonzero(counts > PAIRS)
     for k in piece.tolist():  # one row with very many visitors: in parts
         for at in range(0, int(counts[k]), PAIRS):
-            _close(fps, left[k : k + 1], starts[k : k + 1] + at, np.minimum(counts[k : k + 1] - at, PAIRS), links)
+            _close(fps, left[k : k + 1], starts[k : k + 1] + at, np.minimum(counts[k : k + 1] - at, PAIRS), links, most)
     keep = np.flatnonzero(counts <= PAIRS)
     left, starts, counts = left[keep], starts[keep], counts[keep]
     total = np.cumsum(counts)
@@ -157,7 +199,10 @@ def _close(fps: np.ndarray, left: np.ndarray, starts: np.ndarray, counts: np.nda
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
         who, right = _expand(starts[at:to], counts[at:to])
         a = left[at:to][who]
-        hit = (np.bitwise_count(fps[a] ^ fps[right]) <= BITS) & (a != right)
+        off = np.zeros(len(a), np.uint8)
+        for w in range(fps.shape[1]):
+            off += np.bitwise_count(fps[a, w] ^ fps[right, w])
+        hit = (off <= most) & (a != right)
         if hit.any():
             nodes, where = np.unique(np.concatenate((a[hit], right[hit])), return_inverse=True)
             root = forest(len(nodes), *np.split(where, 2))
@@ -166,67 +211,72 @@ def _close(fps: np.ndarray, left: np.ndarray, starts: np.ndarray, counts: np.nda
         at = to
 
 
-def _pieces(anchor: int) -> list[tuple[int, int]]:
-    """Five pieces (first bit, bits) of the bits outside the anchor's block."""
+def _pieces(anchor: int) -> list[list[int]]:
+    """Five pieces of the bits outside the anchor's block (of a fingerprint of 64 bits)."""
     first, bits = BLOCKS[anchor >> 22]
     rest = [i for i in range(64) if not first <= i < first + bits]
     return [rest[k * len(rest) // 5 : (k + 1) * len(rest) // 5] for k in range(5)]
 
 
-def compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (u, v) that connect what is connected at each anchor; rows are ordered by anchor."""
+def compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, most: int = CONTRACT.bits) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) that connect what is connected at each anchor; rows (fps: n x words) are ordered by anchor."""
     links: list[tuple[np.ndarray, np.ndarray]] = []
     cut = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
     size = np.diff(cut)
     group = np.repeat(np.arange(len(size)), size)
-    homes = np.flatnonzero(home & (size[group] > 1) & (size[group] <= LARGE))
-    _close(fps, homes, cut[group[homes]], size[group[homes]], links)
-    for g in np.flatnonzero(size > LARGE).tolist():
+    certain = fps.shape[1] == 1 and most <= 4
+    homes = np.flatnonzero(home & (size[group] > 1) & ((size[group] <= LARGE) | (not certain)))
+    _close(fps, homes, cut[group[homes]], size[group[homes]], links, most)
+    for g in np.flatnonzero((size > LARGE) & certain).tolist():
         rows = slice(cut[g], cut[g + 1])
         for bits in _pieces(int(anchor[cut[g]])):
             part = np.zeros(size[g], U)
             for i, bit in enumerate(bits):
-                part |= (fps[rows] >> U(bit) & U(1)) << U(i)
+                part |= (fps[rows, 0] >> U(bit) & U(1)) << U(i)
             order = np.argsort(part, kind="stable")
             own, part = fps[rows][order], part[order]
             begin, end = np.searchsorted(part, part, "left"), np.searchsorted(part, part, "right")
             mine = np.flatnonzero(home[rows][order])
             inner: list = []
-            _close(own, mine, begin[mine], (end - begin)[mine], inner)
+            _close(own, mine, begin[mine], (end - begin)[mine], inner, most)
             links += [(order[a] + cut[g], order[b] + cut[g]) for a, b in inner]
     if not links:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*links, strict=True))
-    nodes, where = np.unique(fps[np.concatenate((a, b))], return_inverse=True)
+    nodes, where = np.unique(node_of(fps[np.concatenate((a, b))]), return_inverse=True)
     root = forest(len(nodes), *np.split(where, 2))
     own = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[own].view(np.int64), nodes[root[own]].view(np.int64)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(u, v) fingerprints such that what links connect is connected, from ``distinct(fp)``."""
+def links(distinct: DataFrame, how: Setting = CONTRACT) -> DataFrame:
+    """(u, v) names of fingerprints such that what links connect is connected, from ``distinct(f0, ...)``."""
+    words = _words(how)
+
+    def matrix(t) -> np.ndarray:
+        return np.stack([t[w].to_numpy() if isinstance(t, pa.Table) else t.column(w).to_numpy(zero_copy_only=False) for w in words], axis=1).view(U)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False).view(U)
+            fps = matrix(b)
             anchor, index, home = cover(fps)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fps[index].view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(home), *[pa.array(fps[index, w].view(np.int64)) for w in range(how.words)]], names=["anchor", "home", *words])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in table_batches(batches, "anchor", 200_000):
-            u, v = compare(t["anchor"].to_numpy(), t["fp"].to_numpy().view(U), t["home"].to_numpy(zero_copy_only=False).astype(bool))
+            u, v = compare(t["anchor"].to_numpy(), matrix(t), t["home"].to_numpy(zero_copy_only=False).astype(bool), how.bits)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     small_batches(distinct.sparkSession)
-    placed = distinct.select("fp").mapInArrow(replicate, "anchor int, fp long, home boolean")
+    placed = distinct.select(*words).mapInArrow(replicate, "anchor int, home boolean" + "".join(f", {w} long" for w in words))
     return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "u long, v long")
 
 
-def near_groups(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", how: Setting = CONTRACT) -> DataFrame:
     """``keys``, fp, root (of the component) and component_id (its least first key) of every row."""
-    base = materialize(fingerprints(docs, list(keys), text), "fingerprints")
-    least = checkpoint(base.groupBy("fp").agg(F.min(keys[0]).alias("least")))
-    root = components(links(least))
+    base = materialize(fingerprints(docs, list(keys), text, how), "fingerprints")
+    least = checkpoint(base.groupBy("fp").agg(F.min(keys[0]).alias("least"), *[F.first(w).alias(w) for w in _words(how)]))
+    root = components(links(least, how))
     rooted = materialize(least.join(root, least["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
     ids = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     label = materialize(rooted.join(ids, "root").select("fp", "root", "component_id"), "labels")
@@ -237,12 +287,12 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, how: Setting = SIMILAR) -> DataFrame:
     """One row of each group stays: the least doc_id (nulls last); among rows that share it, the one whose row hashes least."""
     names = docs.columns
-    marked = docs.withColumn("__order", F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in names]))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__order")
-    best = near_groups(marked, ("doc_id", "__order")).groupBy("root").agg(F.min(rank).alias("b"))
-    keep = materialize(best.select(F.col("b.doc_id").alias("__id"), F.col("b.__order").alias("__best")), "kept")
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__order") == F.col("__best")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__order"]).select(*names)
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]))
+    marked = docs.withColumn("__row", row).withColumns({"__k1": F.xxhash64("__row"), "__k2": F.xxhash64(F.lit(1), F.col("__row"))}).drop("__row")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k1", "__k2")
+    best = near_groups(marked, ("doc_id", "__k1", "__k2"), how=how).groupBy("root").agg(F.min(rank).alias("b"))
+    keep = materialize(best.select(F.col("b.__k1").alias("__k1"), F.col("b.__k2").alias("__k2")), "kept")
+    return marked.dropDuplicates(["__k1", "__k2"]).join(keep, ["__k1", "__k2"], "left_semi").select(*names)

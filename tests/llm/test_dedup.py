@@ -162,6 +162,11 @@ def test_suffix_empty(nothing):
 # --- simhash
 
 
+def test_fingerprint_words():
+    for t in (None, "", "a b", prose(3, 90), "x " * 5000):
+        assert int(simhash.fingerprint((t or "").encode())[0]) == slow_fingerprint(t)
+
+
 def slow_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
@@ -211,7 +216,7 @@ def test_cover_finds_every_link(spark, large, monkeypatch):
     centre = rng.getrandbits(64)
     prints += [flip(centre, rng.randint(1, 3)) for _ in range(300)]
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in set(prints)]
-    links = simhash.links(spark.createDataFrame(signed, "fp bigint"))
+    links = simhash.links(spark.createDataFrame(signed, "f0 bigint"))
     assert links.count() <= 4 * len(signed) * 46
     roots = {r["node"] % (1 << 64): r["root"] for r in graph_components.components(links).collect()}
     own = [f % (1 << 64) for (f,) in signed]
@@ -230,12 +235,12 @@ def test_cover_finds_every_link(spark, large, monkeypatch):
 
 def test_cover_geometry():
     rng = np.random.default_rng(0)
-    fps = rng.integers(0, 1 << 63, 200, dtype=np.int64).astype(np.uint64)
+    fps = rng.integers(0, 1 << 63, (200, 2), dtype=np.int64).astype(np.uint64)
     anchor, index, home = simhash.cover(fps)
-    assert home.sum() == 3 * len(fps)
+    assert home.sum() == 6 * len(fps)
     for a, i in zip(anchor.tolist(), index.tolist(), strict=True):
-        first, bits = simhash.BLOCKS[a >> 22]
-        assert ((int(fps[i]) >> first & ((1 << bits) - 1)) ^ (a & ((1 << 22) - 1))).bit_count() <= 2
+        first, bits = simhash.BLOCKS[(a >> 22) % 3]
+        assert ((int(fps[i, (a >> 22) // 3]) >> first & ((1 << bits) - 1)) ^ (a & ((1 << 22) - 1))).bit_count() <= 2
         assert simhash.SYNDROMES[a & 0x7FFF] == 0
 
 
@@ -253,7 +258,7 @@ def test_components(spark):
 
 
 def test_near_dedup_keeps_one(edges, nothing):
-    kept = simhash.near_dedup(edges)
+    kept = simhash.near_dedup(edges, simhash.CONTRACT)
     assert kept.columns == edges.columns
     rows = [(r["doc_id"], slow_fingerprint(r["text"])) for r in kept.collect()]
     every = [(r["doc_id"], slow_fingerprint(r["text"])) for r in edges.collect()]
@@ -264,6 +269,40 @@ def test_near_dedup_keeps_one(edges, nothing):
     assert simhash.near_dedup(nothing).count() == 0 and simhash.near_groups(nothing).count() == 0
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_similarity(spark):
+    """Copies with scattered words replaced: from a similarity of 0.85 on they go, nothing below 0.5 does."""
+    rng = random.Random(8)
+    docs, near, far = [], set(), set()
+    for k in range(60):
+        words = prose(500 + k, rng.choice([60, 150, 400])).split()
+        docs.append(document(10 * k, " ".join(words)))
+        for j, share in enumerate((0.01, 0.02, 0.03, 0.2), 1):
+            other = [f"zz{rng.random()}" if rng.random() < share else w for w in words]
+            docs.append(document(10 * k + j, " ".join(other)))
+            likeness = jaccard(" ".join(words), " ".join(other))
+            (near if likeness >= 0.85 else far if likeness < 0.5 else set()).add(10 * k + j)
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(docs, DOCUMENT)).collect()}
+    assert {10 * k for k in range(60)} | far <= kept
+    assert len(near & kept) <= 0.05 * len(near)
+
+
+def slow_similar(rows):
+    """doc_id -> least id of its group, over all pairs, in the setting that near_dedup takes."""
+    prints = np.array([simhash.fingerprint((t or "").encode(), simhash.SIMILAR) for _, t in rows])
+    off = sum(np.bitwise_count(prints[:, None, w] ^ prints[None, :, w]).astype(int) for w in range(3))
+    label = np.array([i for i, _ in rows])
+    while True:
+        new = np.array([label[off[k] <= simhash.SIMILAR.bits].min() for k in range(len(rows))])
+        if (new == label).all():
+            return set(label.tolist()), off
+        label = new
+
+
 def test_digest_is_of_the_kept_bytes(spark):
     from haplospark.llm import queries
 

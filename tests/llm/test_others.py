@@ -406,10 +406,13 @@ def test_pipeline(spark, nothing):
     labels = pd.read_parquet(f"{sf}/labels.parquet")
     good = set(labels[labels["quality"] == 1]["doc_id"]) & ids[""]
     assert len(good & ids["quality"]) > 0.9 * len(good)
-    from tests.llm.test_dedup import slow_components, slow_fingerprint
+    from tests.llm.test_dedup import slow_similar
 
-    rows = [(i, slow_fingerprint(t)) for i, t in zip(seen["quality"]["doc_id"], seen["quality"]["text"], strict=True)]
-    assert ids["near_dedup"] == set(slow_components(rows))
+    least, off = slow_similar(list(zip(seen["quality"]["doc_id"], seen["quality"]["text"], strict=True)))
+    every = seen["quality"]["doc_id"].to_numpy()
+    assert ids["near_dedup"] >= least and len(ids["near_dedup"] - least) <= 0.02 * len(every)
+    sure = np.argwhere((off <= 17) & (np.arange(len(every))[:, None] > np.arange(len(every))))
+    assert not any({every[a], every[b]} <= ids["near_dedup"] for a, b in sure)
     items = pd.read_parquet(f"{sf}/benchmark.parquet")
     want = slow_match(list(zip(seen["near_dedup"]["doc_id"], seen["near_dedup"]["text"], strict=True)), list(zip(items["item_id"], items["text"], strict=True)))
     assert ids["decontaminate"] == {i for i, n, hit, _ in want if not (hit and 20 * hit >= n)}
