@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -76,3 +76,9 @@ def log_delta(h2: float, x_norm2_sum: float, variants: float, dim: float) -> flo
 
 def heritability(log_ratio: float, x_norm2_sum: float, variants: float, dim: float) -> float:
     return x_norm2_sum / (x_norm2_sum + variants * dim * math.exp(log_ratio))
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``chi2_sf``, ``g6`` and ``p_value_text`` callable from SQL."""
+    for name, f in (("chi2_sf", _chi2_tail), ("g6", _six_digits), ("p_value_text", _p_text)):
+        spark.udf.register(name, f)

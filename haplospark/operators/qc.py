@@ -56,6 +56,14 @@ def global_index(variants: DataFrame, chrom: str = "chrom", row: str = "row", na
     return variants.join(F.broadcast(start), chrom).withColumn(name, (F.col("__start") + own).cast("bigint")).drop("__start")
 
 
+def sample_variants(variants: DataFrame, count: int, seed: int, key: str = "row") -> DataFrame:
+    """``count`` rows in a seeded random order without replacement; fewer are an error."""
+    chosen = variants.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(count)
+    if chosen.count() < count:
+        raise ValueError(f"fewer than {count} variants to choose from")
+    return chosen
+
+
 def contiguous_runs(rows: DataFrame, row: str = "row", by: list[str] | None = None) -> DataFrame:
     """first, last, n of each run of consecutive numbers, within ``by``."""
     keys = by or []

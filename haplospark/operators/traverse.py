@@ -46,6 +46,29 @@ class Spec:
         return self
 
 
+@dataclass(frozen=True)
+class Requirements:
+    """What a caller declares to need; anything beyond is refused before any work."""
+
+    max_rows_up: int | None = None
+    max_rows_down: int | None = None
+    miss_input: bool = True
+    miss_output: bool = True
+    init_vector: bool = True
+    init_matrix: bool = True
+    init_xtx: bool = True
+
+    def check(self, spec: Spec, operand: DataFrame | None = None) -> None:
+        declared = {InitMode.NONE: True, InitMode.VECTOR: self.init_vector, InitMode.MATRIX: self.init_matrix, InitMode.XTX: self.init_xtx}
+        if not declared[spec.init]:
+            raise RuntimeError(f"init mode {spec.init.value} was not declared")
+        if spec.miss and not (self.miss_output if spec.direction is Direction.UP else self.miss_input):
+            raise RuntimeError("missingness was not declared")
+        most = self.max_rows_up if spec.direction is Direction.UP else self.max_rows_down
+        if operand is not None and most is not None and operand.select("row").distinct().count() > most:
+            raise RuntimeError(f"more than {most} vectors, as declared")
+
+
 @dataclass(frozen=True)
 class Result:
     """``values``; for UP with miss also ``missing``, by mutation through the missingness selector."""
@@ -61,10 +84,12 @@ class PreparedTraversal:
     graph: GraphDataset
     spec: Spec
     strategy: Strategy | None = None
+    requirements: Requirements = Requirements()
 
     def __call__(self, operand: DataFrame, init: DataFrame | None = None, miss: DataFrame | None = None) -> Result:
         g, spec = self.graph, self.spec
         operand = _vector(operand, "operand")
+        self.requirements.check(spec, operand)
         if (spec.init in (InitMode.VECTOR, InitMode.MATRIX)) != (init is not None):
             raise ValueError(f"init mode {spec.init.value} " + ("needs an init table" if init is None else "takes no init table"))
         if miss is not None and (spec.direction is Direction.UP or not spec.miss):
@@ -104,8 +129,11 @@ def traverse(
     return prepare(graph, spec, strategy)(operand, init, miss if isinstance(miss, DataFrame) else None)
 
 
-def prepare(graph: GraphDataset, spec: Spec, strategy: Strategy | None = None) -> PreparedTraversal:
-    return PreparedTraversal(graph, spec.checked(graph), strategy)
+def prepare(graph: GraphDataset, spec: Spec, strategy: Strategy | None = None, requirements: Requirements | None = None) -> PreparedTraversal:
+    """A traversal checked once, to be called with any number of operands."""
+    requirements = requirements or Requirements()
+    requirements.check(spec)
+    return PreparedTraversal(graph, spec.checked(graph), strategy, requirements)
 
 
 def up(graph: GraphDataset, operand: DataFrame, **how) -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from haplospark import fixture
 from haplospark.operators import compare, frequency, genotypes, mixed_model, pca, qc
 from haplospark.operators.graph import GraphDataset
+from haplospark.operators.many import traverse_many
 from haplospark.operators.relatedness import Relatedness
 from haplospark.operators.traverse import accumulate, traverse
+from haplospark.plans import budget
 from haplospark.plans.strategy import Strategy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,6 +320,37 @@ def split_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(accumulate(half(0), half(1)))
 
 
+@query(f"""{_GRAPH},
+seed AS ({_SAMPLES}),
+val AS (SELECT w.top AS node, sum(s.v) AS v FROM seed s JOIN reach w ON w.bottom = s.node GROUP BY w.top),
+got AS (SELECT p.m, sum(val.v) AS v FROM val JOIN mut p ON p.node = val.node GROUP BY p.m),
+one AS (SELECT part.p_partkey AS id, CAST(coalesce(got.v, 0) AS BIGINT) AS value FROM part LEFT JOIN got ON got.m = part.p_partkey)
+SELECT 'first' AS graph_id, id, value FROM one UNION ALL SELECT 'second', id, 2 * value FROM one""")
+def multi_graph_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two graphs with an operand each, in one table."""
+    g = fixture.graph(spark, sf_dir)
+    x = _samples(g)
+    got = traverse_many({"first": g, "second": g}, {"first": x, "second": x.withColumn("value", 2 * F.col("value"))}, "up")
+    return got.select("graph_id", "id", F.round("value").cast("bigint").alias("value"))
+
+
+@query(f"""{_GRAPH}, c AS (
+  SELECT 1 AS k, 'edges' AS category, count(*) AS n, 16 AS w FROM edges UNION ALL SELECT 2, 'mutation selector', count(*), 16 FROM mut UNION ALL SELECT 3, 'missingness selector', count(*), 16 FROM miss
+  UNION ALL SELECT 4, 'node values', 4 * count(*), 8 FROM ids UNION ALL SELECT 5, 'operands and results', 4 * (k.s + (SELECT count(*) FROM part)), 8 FROM k)
+SELECT category, CAST(n AS BIGINT) AS entries, CAST(n * w AS BIGINT) AS nbytes FROM c""")
+def budget_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes by category for four vectors."""
+    return budget.accounting(fixture.graph(spark, sf_dir), 4)
+
+
+@query(f"""{_GRAPH},
+e AS (SELECT h.level, count(*) AS n FROM edges JOIN heights h ON h.node_id = edges.parent GROUP BY h.level)
+SELECT h.level AS level, CAST(count(*) AS BIGINT) AS max_nodes, CAST(coalesce(max(e.n), 0) AS BIGINT) AS max_edges FROM heights h LEFT JOIN e ON e.level = h.level GROUP BY h.level""")
+def largest_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = fixture.graph(spark, sf_dir)
+    return budget.largest_levels({"first": g, "second": g})
+
+
 # --- frequencies ----------------------------------------------------------------------------------------------------
 
 _COUNTS = f"""{_GRAPH},

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from haplospark import schema
-from haplospark.operators.graph import GraphDataset, Meta
+from haplospark.operators.graph import GraphDataset, Meta, compile_graph
 
 MAGIC = "haplospark-graph"
 VERSION = 1
@@ -46,8 +46,7 @@ def default_path(source: str, output_dir: str, name: str | None = None) -> str:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_path(path)}/meta/_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return _there(spark, f"{_path(path)}/meta/_SUCCESS")
 
 
 def save(graph: GraphDataset, path: str, overwrite: bool = False) -> str:
@@ -103,8 +102,7 @@ def load(spark: SparkSession, path: str) -> GraphDataset:
     path = _path(path)
     meta = _meta(spark, path)
     get = lambda name, s: spark.read.schema(s).parquet(f"{path}/{name}")
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bias/_SUCCESS")
-    biased = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    biased = _there(spark, f"{path}/bias/_SUCCESS")
     return GraphDataset(
         meta, get("nodes", schema.NODES), get("edges", schema.EDGES), get("mut_node", schema.SELECTOR), get("miss_node", schema.SELECTOR),
         get("mutations", schema.MUTATIONS), get("bias", schema.BIAS) if biased else None,
@@ -123,3 +121,26 @@ def ensure(spark: SparkSession, path: str, build) -> GraphDataset:
     except (FileNotFoundError, ValueError):
         save(build(), path, overwrite=True)
     return load(spark, path)
+
+
+def convert(spark: SparkSession, source: str, output_dir: str, name: str | None = None) -> str:
+    """Compile the tables below ``source`` and store the graph with its endpoint responses; returns the store's path.
+
+    ``source``: ``shape.parquet`` (one row: num_samples, num_nodes, ploidy), ``edges.parquet``, ``mutation_rows.parquet``, and,
+    where there are any, ``coalescence.parquet`` and ``mutations.parquet``.
+    """
+    shape = spark.read.parquet(f"{source}/shape.parquet").collect()
+    if len(shape) != 1:
+        raise ValueError(f"the shape of {source} has {len(shape)} rows, not one")
+    there = lambda n: _there(spark, f"{source}/{n}.parquet")
+    read = lambda n: spark.read.parquet(f"{source}/{n}.parquet")
+    graph = compile_graph(
+        read("edges"), read("mutation_rows"), shape[0]["num_samples"], shape[0]["num_nodes"], shape[0]["ploidy"],
+        read("coalescence") if there("coalescence") else None, read("mutations") if there("mutations") else None,
+    )
+    return save(graph.with_bias(), default_path(source, output_dir, name), overwrite=True)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

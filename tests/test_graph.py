@@ -4,7 +4,9 @@ import pytest
 from haplospark.operators import frequency
 from haplospark.operators import graph as graphs
 from haplospark.operators.graph import compile_graph
-from haplospark.operators.traverse import matmul, prepare, to_vectors, traverse, Spec
+from haplospark.operators.many import traverse_many
+from haplospark.operators.traverse import Requirements, Spec, matmul, prepare, to_vectors, traverse
+from haplospark.plans import budget
 from haplospark.plans.strategy import Strategy, choose
 from haplospark.schema import Direction, InitMode
 from haplospark.sources import store
@@ -171,3 +173,40 @@ def test_stream(spark, pair, tmp_path):
     got = {r["key"]: r["values"] for r in spark.table("streamed").collect()}
     assert sorted(got) == [0, 1, 2]
     np.testing.assert_allclose(got[2], 2 * expected)
+
+
+def test_requirements(spark, pair):
+    s, g = pair
+    two = to_vectors(spark, np.ones((2, s.num_samples)))
+    with pytest.raises(RuntimeError, match="vectors"):
+        prepare(g, Spec(Direction.UP), requirements=Requirements(max_rows_up=1))(two)
+    assert prepare(g, Spec(Direction.UP), requirements=Requirements(max_rows_up=2))(two).values.count() == 2 * s.num_mutations
+    with pytest.raises(RuntimeError, match="init mode"):
+        prepare(g, Spec(Direction.UP, init=InitMode.XTX), requirements=Requirements(init_xtx=False))
+    with pytest.raises(RuntimeError, match="missingness"):
+        prepare(g, Spec(Direction.DOWN, miss=True), requirements=Requirements(miss_input=False))
+
+
+def test_many_graphs_and_budget(spark, pair):
+    s, g = pair
+    x = to_vectors(spark, np.ones((1, s.num_samples)))
+    got = traverse_many({"a": g, "b": g}, {"a": x, "b": x}, "up")
+    assert got.count() == 2 * s.num_mutations and got.groupBy("id").agg({"value": "max", "*": "count"}).count() == s.num_mutations
+    with pytest.raises(ValueError, match="operand"):
+        traverse_many({"a": g}, {"b": x}, "up")
+    assert {r["category"]: r["entries"] for r in budget.accounting(g).collect()}["edges"] == len(s.parent)
+    order = [r["nnz"] for r in budget.promotion_order(g).collect()]
+    assert order == sorted(order, reverse=True) and sum(order) == len(s.parent)
+
+
+def test_convert(spark, pair, tmp_path):
+    s, g = pair
+    src = f"{tmp_path}/src"
+    spark.createDataFrame([(s.num_samples, s.num_nodes, s.ploidy)], "num_samples bigint, num_nodes bigint, ploidy int").write.parquet(f"{src}/shape.parquet")
+    g.edges.select("parent", "child").write.parquet(f"{src}/edges.parquet")
+    rows = [(int(m), int(n), None) for m, n in zip(*s.mut, strict=True)] + [(int(m), None, int(n)) for m, n in zip(*s.miss, strict=True)]
+    spark.createDataFrame(rows, ROWS).write.parquet(f"{src}/mutation_rows.parquet")
+    path = store.convert(spark, src, f"{tmp_path}/out", "mine")
+    assert path.endswith("/out/mine.graph")
+    v = np.ones((1, s.num_samples))
+    np.testing.assert_allclose(matmul(store.load(spark, path), v, "up"), matmul(g, v, "up"))

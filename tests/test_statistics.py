@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from haplospark.functions import random_bits as rb
-from haplospark.functions.statistics import chi2_sf, chi2_tail, g6, heritability, log_delta, p_text, p_value_text, six_digits
+from haplospark.functions.statistics import chi2_sf, chi2_tail, g6, heritability, log_delta, p_text, p_value_text, register, six_digits
 from haplospark.operators import mixed_model, qc, solvers
 from haplospark.schema import Direction, InitMode
 
@@ -40,6 +40,8 @@ def test_texts(spark):
     df = spark.createDataFrame([(3.841458820694124, 0.05), (0.0, 1.0)], "x double, p double")
     rows = df.select(chi2_sf(df.x).alias("s"), g6(df.x).alias("g"), p_value_text(df.p, df.x).alias("t")).collect()
     assert rows[0]["s"] == pytest.approx(0.05) and rows[0]["g"] == "3.84146" and rows[1]["t"] == "1.0E+00"
+    register(spark)
+    assert spark.sql("SELECT g6(chi2_sf(CAST(3.841458820694124 AS DOUBLE))) AS x").first()["x"] == "0.05"
     assert heritability(log_delta(0.3, 500.0, 20, 40), 500.0, 20, 40) == pytest.approx(0.3)
 
 
