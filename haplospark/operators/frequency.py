@@ -20,6 +20,11 @@ def allele_counts(graph: GraphDataset) -> DataFrame:
     return got.values.join(miss, "id").select(F.col("id").alias("mutation_id"), F.col("value").cast("bigint").alias("allele_count"), F.col("m").cast("bigint").alias("miss_count"))
 
 
+def miss_counts(graph: GraphDataset) -> DataFrame:
+    """mutation_id, miss_count: samples without a call, 0 where all have one."""
+    return traverse(graph, ones(graph), "up", miss=True).missing.select(F.col("id").alias("mutation_id"), F.col("value").cast("bigint").alias("miss_count"))
+
+
 def allele_frequencies(graph: GraphDataset) -> DataFrame:
     """mutation_id, freq, center, sigma: counts over called samples (0 if there is none), and what standardises a dosage."""
     called = F.lit(graph.meta.num_samples) - F.col("miss_count")

@@ -366,6 +366,11 @@ def allele_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.allele_counts(fixture.graph(spark, sf_dir))
 
 
+@query(f"{_COUNTS} SELECT mutation_id, miss_count FROM counts")
+def miss_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.miss_counts(fixture.graph(spark, sf_dir))
+
+
 @query(f"""{_COUNTS} SELECT mutation_id, round(freq, 6) AS freq, round(2 * freq, 6) AS center,
 round(CASE WHEN freq * (1 - freq) <= 0 THEN 1.0E0 ELSE sqrt(2 * freq * (1 - freq)) END, 6) AS sigma FROM freqs""")
 def allele_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
