@@ -8,13 +8,17 @@ XXH64 (seed 42); a bit is 1 where over half the hashes have it.  There are two s
   differing bits.  Texts of Jaccard similarity 0.8 differ in 29 of 192 bits on the average, 0.9 in 20, unlike ones
   in 96.  This is what ``near_dedup`` takes: 64 bits cannot tell a similarity of 0.8 (10 bits) from one of 0.6 (15).
 
-Search: each 64 bits fall into three blocks.  A block's anchors are a covering code: the codewords of the
+Search in ``CONTRACT``: the 64 bits fall into three blocks.  A block's anchors are a covering code: the codewords of the
 Hamming(15,11) code, which covers with radius 1, times all values of the block's other bits.  A fingerprint lives at the
 anchor nearest to it (at most 1 off), and is replicated to every anchor within radius plus threshold, 1 + 1 = 2.  So two
-fingerprints that differ in at most one bit of some block meet at the home of either: with 64 bits and a
-threshold of 4 that is certain, with 192 bits and nine blocks it is for up to 17 bits (similarity 0.91 on the average),
-and likely beyond: about 0.9 at a similarity of 0.85 and 0.77 at 0.8, for one pair alone; groups have many pairs.
-Each anchor compares its homes with its visitors.  A block has 2^17 or 2^18 anchors.
+fingerprints that differ in at most one bit of some block meet at the home of either: with a threshold of 4 that is
+certain.  Each anchor compares its homes with its visitors.  A block has 2^17 or 2^18 anchors.
+
+Search in ``SIMILAR``: the 192 bits fall into seven blocks of 27 or 28.  Were there five or more differing bits in each, there
+would be 35; so some block has four or fewer.  Its bits carry distinct nonzero vectors of GF(2)^5, and for each of the
+31 nonzero v there is an anchor: the block's bits whose vector has an odd product with v.  Four vectors leave a v
+orthogonal to all of them, and the anchor of that v has none of the differing bits.  So every two
+fingerprints that differ in 34 or fewer bits share one of 7 * 31 = 217 anchors, and all pairs at an anchor are compared.
 
 Groups: equal fingerprints are merged before the search.  An anchor emits no pairs, but a forest: at most one
 link for each fingerprint there, which keeps what is connected.  With 64 bits, an anchor of over ``LARGE`` fingerprints
@@ -163,6 +167,28 @@ def cover(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(anchors), np.concatenate(index), np.concatenate(home)
 
 
+def masks(how: Setting) -> np.ndarray:
+    """The bits (n x words) that each anchor keeps: whatever ``how.bits`` bits differ, some mask has none of them."""
+    most = 4
+    blocks = -(-(how.bits + 1) // (most + 1))
+    cuts = [64 * how.words * k // blocks for k in range(blocks + 1)]
+    out = []
+    for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+        for v in range(1, 1 << most + 1):
+            row = np.zeros(how.words, U)
+            for i in range(first, end):
+                if ((i - first) % ((2 << most) - 1) + 1 & v).bit_count() & 1:
+                    row[i // 64] |= U(1 << i % 64)
+            out.append(row)
+    return np.stack(out)
+
+
+def masked(fps: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, index into ``fps`` (n x words)) of every replica: a hash of the bits that each mask keeps, and of the mask's number."""
+    anchors = [node_of(fps & row) ^ _mix(np.array([k + 1], U)) for k, row in enumerate(keep)]
+    return np.concatenate(anchors).view(np.int64), np.tile(np.arange(len(fps)), len(keep))
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least node reachable from each of ``n`` nodes by the links a-b."""
     root = np.arange(n)
@@ -218,6 +244,15 @@ def _pieces(anchor: int) -> list[list[int]]:
     return [rest[k * len(rest) // 5 : (k + 1) * len(rest) // 5] for k in range(5)]
 
 
+def compare_all(anchor: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) that connect what is connected at each anchor, of all pairs there; rows (fps: n x words) are ordered by anchor."""
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    cut = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
+    left = np.arange(len(anchor))
+    _close(fps, left, left + 1, np.repeat(cut[1:], np.diff(cut)) - left - 1, links, most)
+    return _named(fps, links)
+
+
 def compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, most: int = CONTRACT.bits) -> tuple[np.ndarray, np.ndarray]:
     """Links (u, v) that connect what is connected at each anchor; rows (fps: n x words) are ordered by anchor."""
     links: list[tuple[np.ndarray, np.ndarray]] = []
@@ -240,6 +275,11 @@ def compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, most: int = C
             inner: list = []
             _close(own, mine, begin[mine], (end - begin)[mine], inner, most)
             links += [(order[a] + cut[g], order[b] + cut[g]) for a, b in inner]
+    return _named(fps, links)
+
+
+def _named(fps: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the names of the rows that ``links`` connect."""
     if not links:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*links, strict=True))
@@ -267,9 +307,24 @@ def links(distinct: DataFrame, how: Setting = CONTRACT) -> DataFrame:
             u, v = compare(t["anchor"].to_numpy(), matrix(t), t["home"].to_numpy(zero_copy_only=False).astype(bool), how.bits)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
+    def replicate_masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = masks(how)
+        for b in batches:
+            fps = matrix(b)
+            anchor, index = masked(fps, keep)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), *[pa.array(fps[index, w].view(np.int64)) for w in range(how.words)]], names=["anchor", *words])
+
+    def search_masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in table_batches(batches, "anchor", 200_000):
+            u, v = compare_all(t["anchor"].to_numpy(), matrix(t), how.bits)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
     small_batches(distinct.sparkSession)
-    placed = distinct.select(*words).mapInArrow(replicate, "anchor int, home boolean" + "".join(f", {w} long" for w in words))
-    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "u long, v long")
+    if how.words == 1 and how.bits <= 4:
+        placed = distinct.select(*words).mapInArrow(replicate, "anchor int, home boolean" + "".join(f", {w} long" for w in words))
+        return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "u long, v long")
+    placed = distinct.select(*words).mapInArrow(replicate_masked, "anchor long" + "".join(f", {w} long" for w in words))
+    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search_masked, "u long, v long")
 
 
 def near_groups(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", how: Setting = CONTRACT) -> DataFrame:

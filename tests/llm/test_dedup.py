@@ -303,6 +303,33 @@ def slow_similar(rows):
         label = new
 
 
+def test_similar_finds_every_link(spark):
+    """Isolated pairs at every number of bits up to the threshold are linked, those just above it are not."""
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for bits in range(1, 39):
+        for _ in range(12):
+            f = rng.getrandbits(192)
+            g = f ^ sum(1 << b for b in rng.sample(range(192), bits))
+            pairs.append((bits, *[np.array([[x >> 64 * w & (1 << 64) - 1 for w in range(3)]], np.uint64) for x in (f, g)]))
+            rows += [tuple(int(x) for x in p[0].view(np.int64)) for p in pairs[-1][1:]]
+    found = {frozenset((r["u"], r["v"])) for r in simhash.links(spark.createDataFrame(rows, "f0 bigint, f1 bigint, f2 bigint"), simhash.SIMILAR).collect()}
+    name = lambda x: int(simhash.node_of(x).view(np.int64)[0])
+    assert found == {frozenset((name(f), name(g))) for bits, f, g in pairs if bits <= simhash.SIMILAR.bits}
+
+
+def test_near_dedup_keeps_what_all_pairs_keep(spark):
+    rng = random.Random(12)
+    docs = []
+    for k in range(80):
+        words = prose(900 + k, rng.choice([60, 150])).split()
+        docs.append(document(2 * k, " ".join(words)))
+        docs.append(document(2 * k + 1, " ".join(f"zz{rng.random()}" if rng.random() < 0.04 else w for w in words)))
+    want, off = slow_similar([(d[0], d[1]) for d in docs])
+    assert ((off >= 18) & (off <= simhash.SIMILAR.bits)).sum() > 40
+    assert {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(docs, DOCUMENT)).collect()} == want
+
+
 def test_digest_is_of_the_kept_bytes(spark):
     from haplospark.llm import queries
 
