@@ -396,11 +396,17 @@ x AS (SELECT mut.m AS v, CAST(floor(reach.bottom / 2) AS BIGINT) AS i, count(*)
 
 @query(f"{_X} SELECT v AS variant_id, i AS individual_id, CAST(g AS BIGINT) AS dosage FROM x WHERE v % 10 = 3")
 def explicit_dosages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix of every tenth mutation, written out (which mutations to write out is the operator's argument)."""
+    """The matrix of every tenth mutation only; ``explicit_dosages_all`` has the whole one."""
     g = fixture.graph(spark, sf_dir)
     return genotypes.dosages(g, g.mutation_ids.where("mutation_id % 10 = 3")).select("variant_id", "individual_id", F.col("dosage").cast("bigint").alias("dosage"))
 
 
+@query(f"{_X} SELECT v AS variant_id, i AS individual_id, CAST(g AS BIGINT) AS dosage FROM x")
+def explicit_dosages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole matrix, every mutation, written out."""
+    return genotypes.dosages(fixture.graph(spark, sf_dir)).select("variant_id", "individual_id", F.col("dosage").cast("bigint").alias("dosage"))
+
+
 @query(f"{_X} SELECT v AS mutation_id, CAST(sum(g * g) AS BIGINT) AS value FROM x WHERE v IN (SELECT m FROM mut GROUP BY m HAVING count(*) = 1) GROUP BY v")
 def dosage_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of squared dosages from coalescence counts; defined for mutations of exactly one node."""
