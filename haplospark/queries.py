@@ -515,13 +515,17 @@ def projected_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- association ----------------------------------------------------------------------------------------------------
 
 
-def _model(spark: SparkSession, sf_dir: str, keep: Callable[[Column], Column] = lambda m: m % 2 == 0) -> Relatedness:
-    """The relatedness of the customers from the parts that ``keep`` chooses as a panel; the constant is the only covariate."""
+def _even(m: Column) -> Column:
+    return m % 2 == 0
+
+
+def _model(spark: SparkSession, sf_dir: str, keep: Callable[[Column], Column] | None = None) -> Relatedness:
+    """The relatedness of the customers from all parts, or those that ``keep`` chooses as a panel; the constant is the only covariate."""
     import numpy as np
 
     g = fixture.graph(spark, sf_dir)
     n = g.meta.num_individuals
-    chosen = g.mutation_ids.where(keep(F.col("mutation_id")))
+    chosen = None if keep is None else g.mutation_ids.where(keep(F.col("mutation_id")))
     stats = qc.snp_stats(genotypes.dosages(g, chosen), n)
     c = F.col("mean_center_norm2")
     table = stats.select(F.col("variant_id").alias("mutation_id"), (19 + F.col("variant_id") % 4).cast("int").alias("chrom"), "mean", "mean_center_norm2", "norm_scale", c.alias("proj_norm2"), (c * F.col("norm_scale") * F.col("norm_scale")).alias("x_norm2"), "a1freq", "missing")
@@ -536,24 +540,42 @@ def _phenotype(spark: SparkSession, sf_dir: str):
     return fixture.read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").toPandas().sort_values("c_custkey")["c_acctbal"].to_numpy(np.float64)
 
 
-_PANEL = f"""{_X},
+def _panel_sql(where: str = "") -> str:
+    return f"""{_X},
 n AS (SELECT count(*) * 1.0E0 AS n FROM customer),
-st AS (SELECT v, sum(g) / n AS mean, sum(g * g) - sum(g) * sum(g) / n AS c FROM x CROSS JOIN n WHERE v % 2 = 0 GROUP BY v, n),
+st AS (SELECT v, sum(g) / n AS mean, sum(g * g) - sum(g) * sum(g) / n AS c FROM x CROSS JOIN n{where} GROUP BY v, n),
 ok AS (SELECT v, mean, c, sqrt((n - 1) / c) AS scale, CAST(19 + v % 4 AS INTEGER) AS chrom FROM st CROSS JOIN n WHERE c >= 0.1E0)"""
 
 
-@query(f"""{_PANEL},
+_PANEL, _WHOLE = _panel_sql(" WHERE v % 2 = 0"), _panel_sql()
+
+
+def _linreg_sql(panel: str) -> str:
+    return f"""{panel},
 y AS (SELECT c_custkey AS i, c_acctbal - avg(c_acctbal) OVER () AS y FROM customer),
 yy AS (SELECT sum(y * y) AS y2 FROM y),
 xy AS (SELECT x.v, sum(x.g * y.y) AS s FROM x JOIN y ON y.i = x.i GROUP BY x.v)
-SELECT st.v AS mutation_id, round(CASE WHEN st.c >= 0.1E0 THEN s * s / y2 / st.c * (n - 1) ELSE -1.0E9 END, 6) AS chisq FROM st CROSS JOIN yy CROSS JOIN n JOIN xy ON xy.v = st.v""")
-def linreg_assoc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _model(spark, sf_dir)
+SELECT st.v AS mutation_id, round(CASE WHEN st.c >= 0.1E0 THEN s * s / y2 / st.c * (n - 1) ELSE -1.0E9 END, 6) AS chisq FROM st CROSS JOIN yy CROSS JOIN n JOIN xy ON xy.v = st.v"""
+
+
+def _linreg(spark: SparkSession, sf_dir: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    k = _model(spark, sf_dir, keep)
     return mixed_model.association(k, _phenotype(spark, sf_dir)).select("mutation_id", F.round("chisq_linreg", 6).alias("chisq"))
 
 
-def _grm_sql(loco: str) -> str:
-    return f"""{_PANEL},
+@query(_linreg_sql(_PANEL))
+def linreg_assoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel of even mutations only; ``linreg_assoc_all`` has the whole table."""
+    return _linreg(spark, sf_dir, _even)
+
+
+@query(_linreg_sql(_WHOLE))
+def linreg_assoc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linreg(spark, sf_dir)
+
+
+def _grm_sql(loco: str, panel: str) -> str:
+    return f"""{panel},
 u AS (SELECT c_custkey AS i, (c_custkey % 11 - 5) - avg(c_custkey % 11 - 5) OVER () AS u FROM customer),
 sc AS (SELECT ok.v, ok.mean, ok.scale, ok.scale * sum(x.g * u.u) AS s FROM ok JOIN x ON x.v = ok.v JOIN u ON u.i = x.i WHERE {loco} GROUP BY ok.v, ok.mean, ok.scale),
 tot AS (SELECT sum(mean * scale * s) AS shift, count(*) AS m FROM sc),
@@ -561,23 +583,35 @@ back AS (SELECT x.i, sum(x.g * sc.scale * sc.s) AS b FROM x JOIN sc ON sc.v = x.
 SELECT c_custkey AS id, round((coalesce(b, 0) - shift) / m, 6) + 0.0 AS value FROM customer CROSS JOIN tot LEFT JOIN back ON back.i = c_custkey"""
 
 
-def _grm(spark: SparkSession, sf_dir: str, without: int | None) -> DataFrame:
+def _grm(spark: SparkSession, sf_dir: str, without: int | None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    k = _model(spark, sf_dir)
+    k = _model(spark, sf_dir, keep)
     v = (np.arange(k.n) % 11 - 5).astype(float)
     out = k.apply(v[:, None], [without])[:, 0]
     return spark.createDataFrame(pd.DataFrame({"id": np.arange(k.n), "value": out})).select("id", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
-@query(_grm_sql("true"))
+@query(_grm_sql("true", _PANEL))
 def grm_matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grm(spark, sf_dir, None)
+    """The panel of even mutations only; ``grm_matvec_all`` has the whole matrix."""
+    return _grm(spark, sf_dir, None, _even)
 
 
-@query(_grm_sql("ok.chrom <> 19"))
+@query(_grm_sql("ok.chrom <> 19", _PANEL))
 def grm_loco_matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel of even mutations only; ``grm_loco_matvec_all`` has the whole matrix."""
+    return _grm(spark, sf_dir, 19, _even)
+
+
+@query(_grm_sql("true", _WHOLE))
+def grm_matvec_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grm(spark, sf_dir, None)
+
+
+@query(_grm_sql("ok.chrom <> 19", _WHOLE))
+def grm_loco_matvec_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grm(spark, sf_dir, 19)
 
 
@@ -620,7 +654,7 @@ def pca_rr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lmm_inf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixed-model table of the panel for the account balances."""
+    """The mixed-model table of all mutations for the account balances."""
     k, y = _model(spark, sf_dir), _phenotype(spark, sf_dir)
     fit = mixed_model.fit_variance(k, y)
     calibration = mixed_model.calibrate(k, y, fit)

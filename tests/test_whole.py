@@ -28,3 +28,9 @@ def test_dosages_of_all_mutations(spark):
     rows = queries.QUERIES["explicit_dosages_all"](spark, SF).collect()
     assert len(rows) == len({(r["variant_id"], r["individual_id"]) for r in rows})
     assert {(r["variant_id"], r["individual_id"]): r["dosage"] for r in rows} == dosages(spark)
+
+
+def test_models_of_all_mutations(spark):
+    """The relatedness of the model covers every mutation that has a dosage."""
+    table = queries._model(spark, SF).variants
+    assert {r["mutation_id"] for r in table.select("mutation_id").collect()} == {m for m, _ in dosages(spark)}
