@@ -20,8 +20,17 @@ URL_RULES = (
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences that every document loses to repeated runs, and a digest of the rest."""
-    left = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Sentences that every document loses to repeated runs of 20 words and more, and a digest of the rest."""
+    return _substring_dedup(spark, sf_dir, substring_dedup.WORDS)
+
+
+def op1_substring_dedup_every_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every repeated run of two sentences and more, however short."""
+    return _substring_dedup(spark, sf_dir, 0)
+
+
+def _substring_dedup(spark: SparkSession, sf_dir: str, words: int) -> DataFrame:
+    left = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), words=words)
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["i"].cast("string"), (x["j"] + 1).cast("string"))), ",")
     kept = F.coalesce("text", F.lit(""))
     return left.select("doc_id", "n_sentences", "n_removed", spans.alias("removed"), F.char_length(kept).cast("long").alias("n_kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
@@ -99,7 +108,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_substring_dedup, op2_benchmark_decontamination, op3_url_filters, op4_document_fingerprints, op5_source_mix,
+        op1_substring_dedup, op1_substring_dedup_every_run, op2_benchmark_decontamination, op3_url_filters, op4_document_fingerprints, op5_source_mix,
         op6_chat_formatting, op7_suffix_array_dedup, op8_simhash_near_dedup, op9_quality_classifier, op10_secret_scans,
     )
     return {f.__name__: f for f in every}
