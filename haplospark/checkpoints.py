@@ -1,25 +1,77 @@
-"""Cutting lineage so that a lost executor costs a read, not a recomputation: tables in the folder that all executors share."""
+"""Cutting lineage so that a lost executor costs a read, not a recomputation: tables in the folder that all executors share.
+
+The folder is the session's ``spark.checkpoint.dir``.  Where the session names none, a folder of our own is made only if
+driver and executors are one process; on several machines that would be a different disk for each, so it is an error.
+All tables of an application are below one folder, which goes when the application ends; ``release`` deletes a table as
+soon as its last reader is done.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a Python worker is handed at once, at most, while a table is written.
+BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop's."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one only where the session names none (as in tests)."""
+    """The folder of this application's tables."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
         named = tempfile.mkdtemp(prefix="haplospark-")
         sc.setCheckpointDir(named)
-    return named.rstrip("/")
+    own = f"{named.rstrip('/')}/haplospark-{sc.applicationId}"
+    system, path = _files(spark, own)
+    if not system.exists(path):
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return own
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within, Arrow batches have at most so many rows and ``BATCH_BYTES`` bytes; the session's own settings come back afterwards."""
+    before = {k: spark.conf.get(k) for k in _LIMITS}
+    for k, v in _LIMITS.items():
+        spark.conf.set(k, str(v if k.endswith("maxBytesPerBatch") else rows))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared folder, and read from there; the tables ``done`` are deleted, once it is there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with small_batches(spark):
+        df.write.parquet(path)
+    release(*done)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder, and read from there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` wrote; others, and those that are gone, are left alone."""
+    for t in tables:
+        path = getattr(t, "__dict__", {}).pop("_stored_at", None)
+        if path is not None:
+            system, p = _files(t.sparkSession, path)
+            system.delete(p, True)
