@@ -2,8 +2,13 @@
 
 The listed URLs are brought into a canonical form and folded into a blocked Bloom filter: a table
 with one row of four 64-bit lanes for each block, built by ``bit_or`` (it combines map-side, so no
-key gets hot).  Each distinct canonical URL looks at one block only; what passes is checked by an
-exact join with the list, which removes the false positives.
+key gets hot).
+
+1. Every page looks at one block of the filter, map side, before anything is shuffled.  Distinct canonical URLs that
+   pass are written: a barrier, behind which the optimizer cannot move the exact join.
+2. An exact hash join of these few with the list removes the false positives.
+3. The hits go back to the pages: broadcast, if they are small (their bytes are counted), else by a hash join of the pages that
+   passed the filter; pages that did not pass are never shuffled.
 
 Defined edge cases: a null url, or one without ``://``, has an empty host and path, no canonical
 form, and is never listed.  Null entries of the list are ignored, repeated ones count once, an empty
@@ -17,7 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import ascii_lower, checkpoint
+from haplospark.checkpoints import stored
+from haplospark.llm.common import ascii_lower
 
 #: (verdict, host, path prefix); a handful of configured rules, compiled into one expression.
 Rule = tuple[str, str, str]
@@ -26,6 +32,8 @@ BITS_PER_URL = 20
 BLOCK_BITS = 256
 #: A block is 5 longs; the filter is broadcast up to 40 MB, else joined by block.
 MAX_BROADCAST_BLOCKS = 1_000_000
+#: Bytes of URLs that are broadcast.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -87,22 +95,30 @@ def bloom_blocks(listed: DataFrame, n_urls: int) -> tuple[DataFrame, int]:
     return blocks, n_blocks
 
 
-def possible_hits(candidates: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
-    """Rows of ``candidates(canonical)`` whose two bits are set in every lane of their block."""
-    probe = candidates.withColumn("block", _block(F.col("canonical"), n_blocks))
-    side = F.broadcast(blocks) if n_blocks <= MAX_BROADCAST_BLOCKS else blocks
-    hit = F.lit(True)
+def passes(pages: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
+    """``pages(canonical, ...)`` and __passes: whether both bits are set in every lane of the URL's block; no page is shuffled where the filter is broadcast."""
+    side = blocks.select(F.col("block").alias("__block"), *[F.col(f"lane{i}").alias(f"__lane{i}") for i in range(4)])
+    probe = pages.withColumn("__at", _block(F.col("canonical"), n_blocks))
+    hit = F.col("canonical").isNotNull()
     for i, m in enumerate(_lanes(F.col("canonical"))):
-        hit = hit & (F.col(f"lane{i}").bitwiseAND(m) == m)
-    return probe.join(side, "block").where(hit).select("canonical")
+        hit = hit & (F.col(f"__lane{i}").bitwiseAND(m) == m)
+    joined = probe.join(F.broadcast(side) if n_blocks <= MAX_BROADCAST_BLOCKS else side, F.col("__at") == F.col("__block"), "left")
+    return joined.select(*pages.columns, F.coalesce(hit, F.lit(False)).alias("__passes"))
 
 
-def listed_hits(candidates: DataFrame, listed_urls: DataFrame) -> DataFrame:
-    """Distinct ``canonical`` of ``candidates`` that stand in ``listed_urls(url)``: Bloom filter, then exact join."""
-    listed = checkpoint(listed_urls.select(canonical_url(F.col("url")).alias("canonical")).where("canonical is not null").distinct())
-    blocks, n_blocks = bloom_blocks(listed, listed.count())
-    distinct = candidates.select("canonical").where("canonical is not null").distinct()
-    return possible_hits(distinct, blocks, n_blocks).join(listed, "canonical", "left_semi")
+def possible_hits(candidates: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
+    """Distinct ``canonical`` of ``candidates`` that pass the filter."""
+    return passes(candidates.select("canonical"), blocks, n_blocks).where("__passes").select("canonical").distinct()
+
+
+def _small(urls: DataFrame) -> bool:
+    n, size = urls.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("canonical")), F.lit(0))).first()
+    return size + 64 * n <= MAX_BROADCAST_BYTES
+
+
+def exact_hits(possible: DataFrame, listed: DataFrame) -> DataFrame:
+    """The stored, distinct ``canonical`` of ``possible`` that stand in ``listed``, by a hash join on the smaller side."""
+    return listed.join(F.broadcast(possible) if _small(possible) else possible.hint("shuffle_hash"), "canonical").select("canonical")
 
 
 def judge(pages: DataFrame, listed_urls: DataFrame, rules: Sequence[Rule] = ()) -> DataFrame:
@@ -117,11 +133,21 @@ def judge(pages: DataFrame, listed_urls: DataFrame, rules: Sequence[Rule] = ())
         .select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "canonical")
         .withColumns({"rule": rule, "ruled": verdict})
     )
-    # Written first, so that the join has a shuffle on either side, and a URL of very many pages is split.
-    hits = checkpoint(listed_hits(judged, listed_urls)).withColumn("listed", F.lit(True))
-    listed = F.coalesce("listed", F.lit(False))
-    return judged.join(hits, "canonical", "left").select(
+    listed = stored(listed_urls.select(canonical_url(F.col("url")).alias("canonical")).where("canonical is not null").distinct(), "listed")
+    blocks, n_blocks = bloom_blocks(listed, listed.count())
+    blocks = stored(blocks, "bloom")
+    possible = stored(possible_hits(judged, blocks, n_blocks), "possible")
+    hits = stored(exact_hits(possible, listed), "hits", possible, listed)
+    there = hits.withColumn("listed", F.lit(True))
+    if _small(hits):
+        joined = judged.join(F.broadcast(there), "canonical", "left")
+    else:
+        probed = passes(judged, blocks, n_blocks)
+        rest = probed.where("not __passes").withColumn("listed", F.lit(None).cast("boolean"))
+        joined = probed.where("__passes").join(there.hint("shuffle_hash"), "canonical", "left").unionByName(rest)
+    on_list = F.coalesce("listed", F.lit(False))
+    return joined.select(
         "page_id", "host", "path", "rule",
-        F.coalesce("ruled", F.when(listed, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        "canonical", listed.alias("listed"),
+        F.coalesce("ruled", F.when(on_list, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        "canonical", on_list.alias("listed"),
     )
