@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -37,45 +35,37 @@ def recount(docs: DataFrame, changed: Column) -> DataFrame:
     return docs.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="haplospark-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint (survives the loss of executors)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again (columnar, compressed)."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows: a Python worker holds a few MB of text at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def key_batches(batches, key: str, rows: int, most: int):
+    """(table, whether it is part of a run longer than ``most``): the stream, ordered by ``key``, in whole runs of equal keys.
 
+    About ``rows`` rows at once.  A run longer than ``most`` is handed on in pieces as it comes, and never held.
+    """
+    held, n, long = [], 0, None
+
+    def parted(t: pa.Table):
+        at = t[key].to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        size = np.diff(np.append(first, len(at)))
+        for k in np.flatnonzero(size > most).tolist():
+            yield t.slice(first[k], size[k]).combine_chunks(), True
+        rest = t if (size <= most).all() else t.filter(pa.array(np.repeat(size <= most, size)))
+        if rest.num_rows:
+            yield rest.combine_chunks(), False
 
-def table_batches(batches, key: str, rows: int):
-    """Tables of whole runs of equal ``key`` (by which the stream is ordered), each of about ``rows`` rows unless one run is longer."""
-    held, n = [], 0
     for b in batches:
         if not b.num_rows:
             continue
+        if long is not None:
+            same = int(np.searchsorted(b.column(key).to_numpy(), long, "right"))
+            if same:
+                yield pa.Table.from_batches([b.slice(0, same)]).combine_chunks(), True
+            if same == b.num_rows:
+                continue
+            b, long = b.slice(same), None
         held.append(b)
         n += b.num_rows
         if n < rows:
@@ -83,13 +73,16 @@ def table_batches(batches, key: str, rows: int):
         t = pa.Table.from_batches(held).combine_chunks()
         at = t[key].to_numpy()
         cut = int(np.searchsorted(at, at[-1], "left"))
-        if cut:
-            yield t.slice(0, cut).combine_chunks()
-            held, n = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+        yield from parted(t.slice(0, cut)) if cut else ()
+        left = t.slice(cut).combine_chunks()
+        if left.num_rows > most:
+            yield left, True
+            held, n, long = [], 0, at[-1]
         else:
+            held, n = left.to_batches(), left.num_rows
             rows = max(rows, 2 * n)
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield from parted(pa.Table.from_batches(held).combine_chunks())
 
 
 def packed_text(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating stars.
 
 No link, node or component comes to the driver: each round is a few joins and partial aggregations, its result
-is written to a reliable checkpoint, and only two counters say whether it changed anything.
+is written to the shared folder, and only two counters say whether it changed anything.  Alternating stars settle in a number
+of rounds that grows with the square of the logarithm of the number of nodes, so there is no limit on rounds.
 """
 
 from __future__ import annotations
@@ -9,28 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import materialize
-
-MAX_ROUNDS = 60
+from haplospark.checkpoints import stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``links(u, v)``; root is the least node reachable.
+    """Stored (node, root) of every node of ``links(u, v)``; root is the least node reachable.  Nodes are of any type that has an order.
 
     Links may repeat, point either way or join a node with itself; nulls are ignored.  No links give no rows.
     """
-    edges = _save(links.where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    edges = stored(links.where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(edges)
-    for _ in range(MAX_ROUNDS):
-        edges = _save(_small_star(_large_star(edges)))
+    while True:
+        moved = stored(_large_star(edges).distinct(), "stars", edges)
+        edges = stored(_small_star(moved).distinct(), "links", moved)
         before, state = state, _state(edges)
         if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-
-
-def _save(edges: DataFrame) -> DataFrame:
-    return materialize(edges.distinct(), "links")
+            both = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")))
+            return stored(both.distinct(), "roots", edges)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -41,13 +37,12 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the least of itself and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = materialize(least.select("u", F.least("u", "m").alias("m")), "least")
+    least = stored(least.select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v >= u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u >= v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node hands itself and its smaller neighbours to the least of them."""
-    edges = materialize(edges.distinct(), "stars")
-    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))

@@ -4,9 +4,10 @@ Fingerprint: words are cut at ASCII blanks, lower-cased (A-Z), joined to shingle
 XXH64 (seed 42); a bit is 1 where over half the hashes have it.  There are two settings:
 
 * ``CONTRACT``: shingles of four words, 64 bits, a link at 4 or fewer differing bits.  Exact.
-* ``SIMILAR``: shingles of five words, 192 bits (two more words of bits by mixing each hash), a link at 34 or fewer
-  differing bits.  Texts of Jaccard similarity 0.8 differ in 29 of 192 bits on the average, 0.9 in 20, unlike ones
-  in 96.  This is what ``near_dedup`` takes: 64 bits cannot tell a similarity of 0.8 (10 bits) from one of 0.6 (15).
+* ``SIMILAR``: distinct shingles of five words, 192 bits (two more words of bits by mixing each hash).  Two texts are linked
+  if their sets of shingles have a Jaccard similarity of 0.8 or more.  The bits only find candidates, at 44 or fewer
+  differing bits (a similarity of 0.8 gives 29 on the average, and over 44 once in a thousand times); every link is then
+  verified on the shingles themselves.
 
 Search in ``CONTRACT``: the 64 bits fall into three blocks.  A block's anchors are a covering code: the codewords of the
 Hamming(15,11) code, which covers with radius 1, times all values of the block's other bits.  A fingerprint lives at the
@@ -14,16 +15,22 @@ anchor nearest to it (at most 1 off), and is replicated to every anchor within r
 fingerprints that differ in at most one bit of some block meet at the home of either: with a threshold of 4 that is
 certain.  Each anchor compares its homes with its visitors.  A block has 2^17 or 2^18 anchors.
 
-Search in ``SIMILAR``: the 192 bits fall into seven blocks of 27 or 28.  Were there five or more differing bits in each, there
-would be 35; so some block has four or fewer.  Its bits carry distinct nonzero vectors of GF(2)^5, and for each of the
-31 nonzero v there is an anchor: the block's bits whose vector has an odd product with v.  Four vectors leave a v
-orthogonal to all of them, and the anchor of that v has none of the differing bits.  So every two
-fingerprints that differ in 34 or fewer bits share one of 7 * 31 = 217 anchors, and all pairs at an anchor are compared.
+Search in ``SIMILAR``: the 192 bits fall into blocks.  A block's bits carry vectors of GF(2)^dim, and for each of
+the nonzero v of that space there is an anchor: the block's bits whose vector has an odd product with v (the words of a
+linear code, so any ``dim`` - 1 differing bits of a block leave an anchor that has none of them).  Fingerprints that agree in all bits of
+an anchor meet there.  How many blocks and dimensions there are depends on the number of fingerprints (``covering``): about as
+many bits are kept as tell so many of them apart, so anchors stay small as the input grows.
 
-Groups: equal fingerprints are merged before the search.  An anchor emits no pairs, but a forest: at most one
-link for each fingerprint there, which keeps what is connected.  With 64 bits, an anchor of over ``LARGE`` fingerprints
-is cut anew by five pieces of the other bits (four differences leave one piece equal), so it is not searched pair by
-pair.  Components then come from ``graph_components``.
+An anchor compares its members and emits no pairs, but spanning forests of candidates: the links of least distance that
+connect what is connected.  Verified links make components; where links of a forest failed and others had been left out for
+it, those nodes are searched again, with components contracted and more forests, until nothing was left out.  So components are those of
+all verified candidates, without a pair within a group being emitted.
+
+Anchors of over ``HOT`` rows leave the task that finds them: with ``CONTRACT`` they are dealt anew by five pieces of the other bits
+(four differences leave one piece equal); what is still too large is cut into parts, and each pair of parts is a
+task of its own.
+
+Groups: equal fingerprints are merged before the search.  Components come from ``graph_components``.
 
 Defined edge cases: a null, empty or blank text has fingerprint zero, which links like any other.  Repeated
 rows are kept each, with equal fingerprints.  Null ids are kept; a component of null ids alone has a null
@@ -32,7 +39,7 @@ id.  Columns not asked for are not read.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations, repeat
 
@@ -41,9 +48,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from haplospark.llm.common import checkpoint, materialize, small_batches, table_batches
+from haplospark.checkpoints import release, stored
+from haplospark.llm.common import key_batches
 from haplospark.llm.graph_components import components
 
 SEED = 42
@@ -51,15 +59,25 @@ SEED = 42
 
 @dataclass(frozen=True)
 class Setting:
-    """Words of a shingle, 64-bit words of a fingerprint, and the most bits in which linked ones differ."""
+    """Words of a shingle, 64-bit words of a fingerprint, the most bits in which candidates differ, and the similarity that links need (None: the bits decide)."""
 
     shingle: int
     words: int
     bits: int
+    similarity: float | None = None
+
+    @property
+    def kind(self) -> str:
+        """Of a fingerprint's name: all its words."""
+        return "long" if self.words == 1 else "binary"
 
 
 CONTRACT = Setting(4, 1, 4)
-SIMILAR = Setting(5, 3, 34)
+SIMILAR = Setting(5, 3, 44, 0.8)
+#: Candidates that are fetched by a broadcast of their names (about 100 bytes each); more go through a shuffle.
+MAX_BROADCAST_NAMES = 300_000
+#: Rows of an anchor that one task compares, by the number of words.
+HOT = {1: 200_000, 3: 16_384}
 #: (first bit, bits) of each block; the lowest 15 bits of a block carry the Hamming code.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 LARGE = 4096
@@ -74,20 +92,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def fingerprint(text: bytes | None, how: Setting = CONTRACT) -> np.ndarray:
-    """The fingerprint's words."""
+def shingle_hashes(text: bytes | None, how: Setting = CONTRACT) -> np.ndarray:
+    """Hashes of the shingles; distinct ones in order where similarity is to be verified."""
     words, n = (text or b"").lower().split(), how.shingle
     if not words:
-        return np.zeros(how.words, U)
+        return np.zeros(0, U)
     whole = b" ".join(words)
     if len(words) <= n:
-        hashes = np.array([xxhash.xxh64_intdigest(whole, SEED)], U)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        cuts = [whole[i:j] for i, j in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, cuts, repeat(SEED)), U, len(cuts))
-    out = np.zeros(how.words, U)
+        return np.array([xxhash.xxh64_intdigest(whole, SEED)], U)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    cuts = [whole[i:j] for i, j in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, cuts, repeat(SEED)), U, len(cuts))
+    return np.unique(hashes) if how.similarity else hashes
+
+
+def fingerprint(text: bytes | None, how: Setting = CONTRACT) -> np.ndarray:
+    """The fingerprint's words."""
+    hashes, out = shingle_hashes(text, how), np.zeros(how.words, U)
+    if not len(hashes):
+        return out
     for w in range(how.words):
         own, ones = (hashes if w == 0 else _mix(hashes + U(w))), np.zeros(64, np.int64)
         for k in range(0, len(own), 65536):
@@ -96,8 +120,25 @@ def fingerprint(text: bytes | None, how: Setting = CONTRACT) -> np.ndarray:
     return out
 
 
-def node_of(fps: np.ndarray) -> np.ndarray:
-    """One 64-bit name for each row of n x words: the fingerprint itself, or a hash of its words."""
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sets of distinct hashes; two empty ones are alike."""
+    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+    if not len(x) and not len(y):
+        return 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def names_of(fps: np.ndarray) -> pa.Array:
+    """One name for each row of n x words: the fingerprint itself, as a signed long or as its bytes."""
+    fps = np.ascontiguousarray(fps)
+    if fps.shape[1] == 1:
+        return pa.array(fps[:, 0].view(np.int64))
+    return pa.Array.from_buffers(pa.binary(8 * fps.shape[1]), len(fps), [None, pa.py_buffer(fps.tobytes())]).cast(pa.binary())
+
+
+def _hashed(fps: np.ndarray) -> np.ndarray:
+    """One hash for each row of n x words."""
     name = fps[:, 0]
     for w in range(1, fps.shape[1]):
         name = _mix(_mix(name) ^ fps[:, w])
@@ -109,17 +150,16 @@ def _words(how: Setting) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", how: Setting = CONTRACT) -> DataFrame:
-    """``keys``, fp (the fingerprint's name as a signed long) and its words f0, f1, ... of every row."""
+    """``keys``, fp (the fingerprint's name) and its words f0, f1, ... of every row."""
     rows, names = docs.select(*keys, F.col(text).cast("binary").alias("__text")), [*keys, "fp", *_words(how)]
-    schema = StructType([*[rows.schema[k] for k in keys], *[StructField(c, LongType()) for c in names[len(keys) :]]])
+    name = LongType() if how.words == 1 else BinaryType()
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("fp", name), *[StructField(c, LongType()) for c in _words(how)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x.as_py(), how) for x in b.column(len(keys))], U).reshape(-1, how.words)
-            columns = [node_of(fps), *fps.T]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], names_of(fps), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T]], names=names)
 
-    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, schema)
 
 
@@ -167,17 +207,37 @@ def cover(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(anchors), np.concatenate(index), np.concatenate(home)
 
 
-def masks(how: Setting) -> np.ndarray:
-    """The bits (n x words) that each anchor keeps: whatever ``how.bits`` bits differ, some mask has none of them."""
-    most = 4
-    blocks = -(-(how.bits + 1) // (most + 1))
-    cuts = [64 * how.words * k // blocks for k in range(blocks + 1)]
-    out = []
+def covering(n: int) -> tuple[int, int]:
+    """(blocks, dimensions) for ``n`` fingerprints of 192 bits: a pair of similarity 0.8 meets with 0.98 or more in each."""
+    if n <= 1 << 22:
+        return 6, 5  # 186 anchors of 16 bits
+    return (5, 6) if n <= 1 << 26 else (4, 8)  # 315 of about 19, 1020 of about 24
+
+
+def _vectors(bits: int, dim: int) -> np.ndarray:
+    """A nonzero vector of GF(2)^dim for each bit, such that every product keeps about half of the bits."""
+    whole = (1 << dim) - 1
+    if bits >= whole:
+        return np.arange(bits) % whole + 1
+    rng, best, most = np.random.default_rng([bits, dim]), None, -1
+    products = np.array([[(v & x).bit_count() & 1 for x in range(whole + 1)] for v in range(1, whole + 1)])
+    for _ in range(300):
+        x = rng.permutation(whole)[:bits] + 1
+        least = int(products[:, x].sum(axis=1).min())
+        if least > most:
+            best, most = x, least
+    return best
+
+
+def masks(blocks: int, dim: int, words: int = 3) -> np.ndarray:
+    """The bits (n x words) that each anchor keeps: of any ``dim`` - 1 bits of a block, some mask has none."""
+    cuts, out = [64 * words * k // blocks for k in range(blocks + 1)], []
     for first, end in zip(cuts[:-1], cuts[1:], strict=True):
-        for v in range(1, 1 << most + 1):
-            row = np.zeros(how.words, U)
+        x = _vectors(end - first, dim).tolist()
+        for v in range(1, 1 << dim):
+            row = np.zeros(words, U)
             for i in range(first, end):
-                if ((i - first) % ((2 << most) - 1) + 1 & v).bit_count() & 1:
+                if (x[i - first] & v).bit_count() & 1:
                     row[i // 64] |= U(1 << i % 64)
             out.append(row)
     return np.stack(out)
@@ -185,7 +245,7 @@ def masks(how: Setting) -> np.ndarray:
 
 def masked(fps: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, index into ``fps`` (n x words)) of every replica: a hash of the bits that each mask keeps, and of the mask's number."""
-    anchors = [node_of(fps & row) ^ _mix(np.array([k + 1], U)) for k, row in enumerate(keep)]
+    anchors = [_hashed(fps & row) ^ _mix(np.array([k + 1], U)) for k, row in enumerate(keep)]
     return np.concatenate(anchors).view(np.int64), np.tile(np.arange(len(fps)), len(keep))
 
 
@@ -205,18 +265,35 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indices of the links of the lightest spanning forest of n nodes, the least node reachable from each)."""
+    order = np.lexsort((b, a, weight))
+    a, b = a[order], b[order]
+    root, live, chosen = np.arange(n), np.arange(len(a)), [np.zeros(0, np.int64)]
+    while len(live):
+        live = live[root[a[live]] != root[b[live]]]
+        if not len(live):
+            break
+        best = np.full(n, len(a))  # of each component, its first link that leaves it
+        np.minimum.at(best, root[a[live]], live)
+        np.minimum.at(best, root[b[live]], live)
+        pick = np.unique(best[best < len(a)])
+        chosen.append(pick)
+        root = forest(n, root[a[pick]], root[b[pick]])[root]
+    return order[np.concatenate(chosen)], root
+
+
 def _expand(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every k with every member of its range starts[k] .. starts[k]+counts[k]-1."""
     who = np.repeat(np.arange(len(starts)), counts)
     return who, np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
 
 
-def _close(fps: np.ndarray, left: np.ndarray, starts: np.ndarray, counts: np.ndarray, links: list, most: int) -> None:
-    """Add to ``links`` a forest over fps of the pairs (left[k], member of k's range) that differ in ``most`` bits or fewer."""
-    piece = np.flatnonzero(counts > PAIRS)
-    for k in piece.tolist():  # one row with very many visitors: in parts
+def _close(fps: np.ndarray, left: np.ndarray, starts: np.ndarray, counts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, differing bits) of the pairs (left[k], member of k's range) that differ in ``most`` bits or fewer, some at a time."""
+    for k in np.flatnonzero(counts > PAIRS).tolist():  # one row with very many visitors: in parts
         for at in range(0, int(counts[k]), PAIRS):
-            _close(fps, left[k : k + 1], starts[k : k + 1] + at, np.minimum(counts[k : k + 1] - at, PAIRS), links, most)
+            yield from _close(fps, left[k : k + 1], starts[k : k + 1] + at, np.minimum(counts[k : k + 1] - at, PAIRS), most)
     keep = np.flatnonzero(counts <= PAIRS)
     left, starts, counts = left[keep], starts[keep], counts[keep]
     total = np.cumsum(counts)
@@ -228,15 +305,62 @@ def _close(fps: np.ndarray, left: np.ndarray, starts: np.ndarray, counts: np.nda
         off = np.zeros(len(a), np.uint8)
         for w in range(fps.shape[1]):
             off += np.bitwise_count(fps[a, w] ^ fps[right, w])
-        hit = (off <= most) & (a != right)
-        if hit.any():
-            nodes, where = np.unique(np.concatenate((a[hit], right[hit])), return_inverse=True)
-            root = forest(len(nodes), *np.split(where, 2))
-            own = np.flatnonzero(root != np.arange(len(nodes)))
-            links.append((nodes[own], nodes[root[own]]))
+        hit = np.flatnonzero((off <= most) & (a != right))
+        if len(hit):
+            yield a[hit], right[hit], off[hit]
         at = to
 
 
+def _connected(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what ``pairs`` connect, fewer than nodes in each piece."""
+    out = []
+    for a, b, _ in pairs:
+        nodes, where = np.unique(np.concatenate((a, b)), return_inverse=True)
+        root = forest(len(nodes), *np.split(where, 2))
+        own = np.flatnonzero(root != np.arange(len(nodes)))
+        out.append((nodes[own], nodes[root[own]]))
+    return out
+
+
+def _runs(anchor: np.ndarray) -> np.ndarray:
+    """Where runs of equal anchors begin, and the end."""
+    return np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
+
+
+def candidates(group: np.ndarray, fps: np.ndarray, label: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], forests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, node, root): links a-b of the ``forests`` lightest edge-disjoint spanning forests of ``pairs``, and nodes of links left out, with a name for what they hang together with.
+
+    Nodes of one group with equal labels count as one.
+    """
+    key = np.stack((group.astype(np.int64), label), axis=1)
+    _, lead, node = np.unique(key, axis=0, return_index=True, return_inverse=True)
+    node, n = node.ravel(), len(lead)
+    kept = [np.zeros((3, 0), np.int64)]
+    left = [np.zeros(0, np.int64)]
+
+    def thin(links: np.ndarray) -> np.ndarray:
+        rest, chosen = np.arange(links.shape[1]), []
+        for _ in range(forests):
+            if not len(rest):
+                break
+            pick, _ = spanning(n, node[links[0, rest]], node[links[1, rest]], links[2, rest])
+            chosen.append(rest[pick])
+            rest = np.delete(rest, pick)
+        left.append(np.unique(links[:2, rest]))
+        return links[:, np.concatenate(chosen)] if chosen else links[:, :0]
+
+    for a, b, off in pairs:
+        cross = node[a] != node[b]
+        if cross.any():
+            kept.append(thin(np.stack((a[cross], b[cross], off[cross]))))
+            if sum(x.shape[1] for x in kept) > PAIRS:
+                kept = [thin(np.concatenate(kept, axis=1))]
+    links = thin(np.concatenate(kept, axis=1))
+    out = np.unique(np.concatenate(left))
+    _, root = spanning(n, node[links[0]], node[links[1]], links[2])
+    return links[0], links[1], out, lead[root[node[out]]]
+
+
 def _pieces(anchor: int) -> list[list[int]]:
     """Five pieces of the bits outside the anchor's block (of a fingerprint of 64 bits)."""
     first, bits = BLOCKS[anchor >> 22]
@@ -244,97 +368,238 @@ def _pieces(anchor: int) -> list[list[int]]:
     return [rest[k * len(rest) // 5 : (k + 1) * len(rest) // 5] for k in range(5)]
 
 
-def compare_all(anchor: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (u, v) that connect what is connected at each anchor, of all pairs there; rows (fps: n x words) are ordered by anchor."""
-    links: list[tuple[np.ndarray, np.ndarray]] = []
-    cut = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
-    left = np.arange(len(anchor))
-    _close(fps, left, left + 1, np.repeat(cut[1:], np.diff(cut)) - left - 1, links, most)
-    return _named(fps, links)
-
-
-def compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, most: int = CONTRACT.bits) -> tuple[np.ndarray, np.ndarray]:
-    """Links (u, v) that connect what is connected at each anchor; rows (fps: n x words) are ordered by anchor."""
-    links: list[tuple[np.ndarray, np.ndarray]] = []
-    cut = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
+def compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, most: int = CONTRACT.bits) -> tuple[pa.Array, pa.Array]:
+    """Links (u, v) that connect what is connected at each anchor; rows (fps: n x 1) are ordered by anchor."""
+    cut = _runs(anchor)
     size = np.diff(cut)
     group = np.repeat(np.arange(len(size)), size)
-    certain = fps.shape[1] == 1 and most <= 4
-    homes = np.flatnonzero(home & (size[group] > 1) & ((size[group] <= LARGE) | (not certain)))
-    _close(fps, homes, cut[group[homes]], size[group[homes]], links, most)
-    for g in np.flatnonzero((size > LARGE) & certain).tolist():
+    homes = np.flatnonzero(home & (size[group] > 1) & (size[group] <= LARGE))
+    links = _connected(_close(fps, homes, cut[group[homes]], size[group[homes]], most))
+    for g in np.flatnonzero(size > LARGE).tolist():
         rows = slice(cut[g], cut[g + 1])
         for bits in _pieces(int(anchor[cut[g]])):
-            part = np.zeros(size[g], U)
-            for i, bit in enumerate(bits):
-                part |= (fps[rows, 0] >> U(bit) & U(1)) << U(i)
+            part = _piece(fps[rows, 0], bits)
             order = np.argsort(part, kind="stable")
             own, part = fps[rows][order], part[order]
             begin, end = np.searchsorted(part, part, "left"), np.searchsorted(part, part, "right")
             mine = np.flatnonzero(home[rows][order])
-            inner: list = []
-            _close(own, mine, begin[mine], (end - begin)[mine], inner, most)
-            links += [(order[a] + cut[g], order[b] + cut[g]) for a, b in inner]
+            links += [(order[a] + cut[g], order[b] + cut[g]) for a, b in _connected(_close(own, mine, begin[mine], (end - begin)[mine], most))]
     return _named(fps, links)
 
 
-def _named(fps: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _piece(words: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The given bits of each word, side by side."""
+    part = np.zeros(len(words), U)
+    for i, bit in enumerate(bits):
+        part |= (words >> U(bit) & U(1)) << U(i)
+    return part
+
+
+def _named(fps: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[pa.Array, pa.Array]:
     """A forest of the names of the rows that ``links`` connect."""
     if not links:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return pa.array([], pa.int64()), pa.array([], pa.int64())
     a, b = (np.concatenate(x) for x in zip(*links, strict=True))
-    nodes, where = np.unique(node_of(fps[np.concatenate((a, b))]), return_inverse=True)
+    nodes, where = np.unique(fps[np.concatenate((a, b)), 0], return_inverse=True)
     root = forest(len(nodes), *np.split(where, 2))
     own = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[own].view(np.int64), nodes[root[own]].view(np.int64)
+    return names_of(nodes[own][:, None]), names_of(nodes[root[own]][:, None])
 
 
-def links(distinct: DataFrame, how: Setting = CONTRACT) -> DataFrame:
-    """(u, v) names of fingerprints such that what links connect is connected, from ``distinct(f0, ...)``."""
-    words = _words(how)
+#: What a search gives: links (u, v); nodes of links left out (u) with a name of what they hang together with (v); and the rows of anchors too large for it.
+LINK, OUT, LEFT = 0, 1, 2
+
+
+def _found_schema(how: Setting) -> str:
+    return f"kind tinyint, u {how.kind}, v {how.kind}, anchor long, home boolean, label long" + "".join(f", {w} long" for w in _words(how))
+
+
+def _matrix(t, how: Setting) -> np.ndarray:
+    return np.stack([t[w].to_numpy() if isinstance(t, pa.Table) else t.column(w).to_numpy(zero_copy_only=False) for w in _words(how)], axis=1).view(U)
+
 
-    def matrix(t) -> np.ndarray:
-        return np.stack([t[w].to_numpy() if isinstance(t, pa.Table) else t.column(w).to_numpy(zero_copy_only=False) for w in words], axis=1).view(U)
+def _found(kind: int, u: pa.Array, v: pa.Array, how: Setting) -> pa.RecordBatch:
+    n = len(u)
+    own = pa.int64() if how.words == 1 else pa.binary()
+    none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int64())] * how.words]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), u.cast(own), v.cast(own), *none], names=["kind", "u", "v", "anchor", "home", "label", *_words(how)])
+
+
+def _left(t: pa.Table, how: Setting) -> pa.RecordBatch:
+    n, own = t.num_rows, pa.int64() if how.words == 1 else pa.binary()
+    columns = [t[c].combine_chunks() for c in ("anchor", "home", "label", *_words(how))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, LEFT, np.int8)), pa.nulls(n, own), pa.nulls(n, own), *columns], names=["kind", "u", "v", "anchor", "home", "label", *_words(how)])
+
+
+def _placed(nodes: DataFrame, how: Setting, keep: np.ndarray | None) -> DataFrame:
+    """anchor, home, label and words: every node (label, words) at each of its anchors."""
+    words = _words(how)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = matrix(b)
-            anchor, index, home = cover(fps)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(home), *[pa.array(fps[index, w].view(np.int64)) for w in range(how.words)]], names=["anchor", "home", *words])
+            fps, label = _matrix(b, how), b.column("label").to_numpy()
+            for k in range(0, len(fps), 2000):
+                part = fps[k : k + 2000]
+                anchor, index, home = cover(part) if keep is None else (*masked(part, keep), np.ones(len(part) * len(keep), bool))
+                columns = [pa.array(anchor.astype(np.int64)), pa.array(home), pa.array(label[k : k + 2000][index]), *[pa.array(part[index, w].view(np.int64)) for w in range(how.words)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "home", "label", *words])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in table_batches(batches, "anchor", 200_000):
-            u, v = compare(t["anchor"].to_numpy(), matrix(t), t["home"].to_numpy(zero_copy_only=False).astype(bool), how.bits)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    return nodes.select("label", *words).mapInArrow(replicate, "anchor long, home boolean, label long" + "".join(f", {w} long" for w in words))
 
-    def replicate_masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = masks(how)
+
+def _compared(t: pa.Table, how: Setting, forests: int, starts: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of rows t, each with the rows starts .. starts+counts-1."""
+    fps, rows = _matrix(t, how), np.flatnonzero(counts > 0)
+    pairs = _close(fps, rows, starts[rows], counts[rows], how.bits)
+    if not how.similarity:
+        yield _found(LINK, *_named(fps, _connected(pairs)), how)
+        return
+    a, b, out, root = candidates(t["anchor"].to_numpy(), fps, t["label"].to_numpy(), pairs, forests)
+    yield _found(LINK, names_of(fps[a]), names_of(fps[b]), how)
+    yield _found(OUT, names_of(fps[out]), names_of(fps[root]), how)
+
+
+def _search(placed: DataFrame, how: Setting, forests: int, certain: bool) -> DataFrame:
+    """What the anchors find; ``certain``: rows are at anchors of ``cover``, homes and visitors."""
+    hot = HOT[how.words]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, large in key_batches(batches, "anchor", 200_000, hot):
+            if large:
+                yield _left(t, how)
+            elif certain:
+                yield _found(LINK, *compare(t["anchor"].to_numpy(), _matrix(t, how), t["home"].to_numpy(zero_copy_only=False).astype(bool), how.bits), how)
+            else:
+                cut = _runs(t["anchor"].to_numpy())
+                here = np.arange(t.num_rows)
+                yield from _compared(t, how, forests, here + 1, np.repeat(cut[1:], np.diff(cut)) - here - 1)
+
+    return placed.repartition("anchor").sortWithinPartitions("anchor", *_words(how)).mapInArrow(run, _found_schema(how))
+
+
+def _by_pieces(left: DataFrame, how: Setting) -> DataFrame:
+    """Rows of large anchors of ``cover``, each at five anchors more, one for each piece of the bits outside the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = matrix(b)
-            anchor, index = masked(fps, keep)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), *[pa.array(fps[index, w].view(np.int64)) for w in range(how.words)]], names=["anchor", *words])
+            anchor, words = b.column("anchor").to_numpy(), b.column("f0").to_numpy().view(U)
+            for block in np.unique(anchor >> 22).tolist():
+                own = np.flatnonzero(anchor >> 22 == block)
+                at = pa.array(own)
+                for k, bits in enumerate(_pieces(block << 22)):
+                    name = _hashed(np.stack((anchor[own].view(U), _piece(words[own], bits), np.full(len(own), k, U)), axis=1))
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *[b.column(c).take(at) for c in ("home", "label", "f0")]], names=["anchor", "home", "label", "f0"])
+
+    return left.select("anchor", "home", "label", "f0").mapInArrow(run, "anchor long, home boolean, label long, f0 long")
+
+
+def _by_parts(left: DataFrame, how: Setting, forests: int) -> DataFrame:
+    """What anchors too large for a task find: cut into parts, each pair of parts a cell."""
+    hot, words = HOT[how.words], _words(how)
+    sizes = left.groupBy("anchor").agg(F.ceil(F.count("*") / hot).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(*words), F.col("parts")).cast("int")
+    cells = left.join(sizes, "anchor").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.xxhash64("anchor", F.least("part", "other"), F.greatest("part", "other"))
+    placed = cells.select(cell.alias("anchor"), "label", *words, (F.col("part") <= F.col("other")).alias("first"), (F.col("part") == F.col("other")).alias("same"))
 
-    def search_masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in table_batches(batches, "anchor", 200_000):
-            u, v = compare_all(t["anchor"].to_numpy(), matrix(t), how.bits)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in key_batches(batches, "anchor", 2 * hot, 1 << 62):
+            cut = _runs(t["anchor"].to_numpy())
+            size, here = np.diff(cut), np.arange(t.num_rows)
+            first, same = (t[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("first", "same"))
+            upper = np.add.reduceat(first.astype(np.int64), cut[:-1])  # a cell's first part stands before its second
+            start = np.where(same, here + 1, np.repeat(cut[:-1] + upper, size))
+            yield from _compared(t, how, forests, start, np.where(first, np.repeat(cut[1:], size) - start, 0))
+
+    return placed.repartition("anchor").sortWithinPartitions("anchor", F.col("first").desc(), *words).mapInArrow(run, _found_schema(how))
 
-    small_batches(distinct.sparkSession)
-    if how.words == 1 and how.bits <= 4:
-        placed = distinct.select(*words).mapInArrow(replicate, "anchor int, home boolean" + "".join(f", {w} long" for w in words))
-        return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "u long, v long")
-    placed = distinct.select(*words).mapInArrow(replicate_masked, "anchor long" + "".join(f", {w} long" for w in words))
-    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search_masked, "u long, v long")
+
+def _found_in(nodes: DataFrame, how: Setting, keep: np.ndarray | None, forests: int) -> DataFrame:
+    """kind, u, v of all anchors, large ones included."""
+    found = stored(_search(_placed(nodes, how, keep), how, forests, keep is None), "found")
+    left = found.where(F.col("kind") == LEFT)
+    if not left.isEmpty():
+        if keep is None:
+            found = stored(found.where(F.col("kind") != LEFT).unionByName(_search(_by_pieces(left, how), how, forests, False)), "found", found)
+            left = found.where(F.col("kind") == LEFT)
+        found = stored(found.where(F.col("kind") != LEFT).unionByName(_by_parts(left, how, forests)), "found", found)
+    return found
+
+
+def links(distinct: DataFrame, how: Setting = CONTRACT) -> DataFrame:
+    """(u, v) names of fingerprints such that what links of few bits connect is connected, from ``distinct(f0)``."""
+    found = _found_in(distinct.select(F.lit(0).cast("long").alias("label"), *_words(how)), how, None, 1)
+    return found.where(F.col("kind") == LINK).select("u", "v")
+
+
+def verified_links(distinct: DataFrame, sets: Callable[[DataFrame], DataFrame], how: Setting = SIMILAR) -> DataFrame:
+    """Stored links (u, v) of similarity ``how.similarity`` or more, from ``distinct(fp, f0, ...)``; ``sets`` gives (fp, set) of a table of fps."""
+    keep = masks(*covering(distinct.count()), how.words)
+    nodes, forests, good = distinct.select(F.xxhash64("fp").alias("label"), *_words(how)), 1, None
+    while True:
+        found = _found_in(nodes, how, keep, forests)
+        pairs = stored(found.where(F.col("kind") == LINK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
+        own = stored(sets(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()), "sets")
+        new = stored(_alike(pairs, own, how), "links", pairs, own)
+        good = new if good is None else stored(good.unionByName(new).distinct(), "links", good, new)
+        out = found.where(F.col("kind") == OUT).select(F.col("u").alias("fp"), F.col("v").alias("hangs")).distinct()
+        if out.isEmpty():
+            release(found)
+            return good
+        root = components(good)
+        labelled = stored(out.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "hangs", F.xxhash64(F.coalesce("root", "fp")).alias("label")), "labelled", found)
+        open_ = labelled.groupBy("hangs").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("hangs")
+        again = stored(labelled.join(open_, "hangs", "left_semi").groupBy("fp").agg(F.first("label").alias("label")).join(distinct, "fp").select("label", *_words(how)), "again", labelled, root)
+        if again.isEmpty():
+            release(again)
+            return good
+        nodes, forests = again, forests * 4
+
+
+def _alike(pairs: DataFrame, own: DataFrame, how: Setting) -> DataFrame:
+    """The ``pairs`` (u, v) whose sets, by ``own(fp, set)``, are alike enough."""
+    both = pairs.join(own.select(F.col("fp").alias("u"), F.col("set").alias("a")), "u").join(own.select(F.col("fp").alias("v"), F.col("set").alias("b")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            near = [jaccard(a, b) >= how.similarity for a, b in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+
+
+def _text_key(text: str) -> list[Column]:
+    own = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(own).alias("__d1"), F.xxhash64(F.lit(1), own).alias("__d2")]
+
+
+def _sets(docs: DataFrame, text: str, one: DataFrame, how: Setting) -> Callable[[DataFrame], DataFrame]:
+    """(fp, set of shingle hashes) of one text of each fp; ``one(fp, __d1, __d2)`` says which."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t, how).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["fp", "set"])
+
+    def sets(names: DataFrame) -> DataFrame:
+        wanted = stored(one.join(names, "fp").select("fp", "__d1", "__d2"), "wanted")
+        side = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_NAMES else wanted
+        found = docs.select(*_text_key(text), F.col(text).cast("binary").alias("t")).join(side, ["__d1", "__d2"])
+        return found.groupBy("fp").agg(F.first("t").alias("t")).mapInArrow(run, "fp binary, set binary")
+
+    return sets
 
 
 def near_groups(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", how: Setting = CONTRACT) -> DataFrame:
     """``keys``, fp, root (of the component) and component_id (its least first key) of every row."""
-    base = materialize(fingerprints(docs, list(keys), text, how), "fingerprints")
-    least = checkpoint(base.groupBy("fp").agg(F.min(keys[0]).alias("least"), *[F.first(w).alias(w) for w in _words(how)]))
-    root = components(links(least, how))
-    rooted = materialize(least.join(root, least["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
-    ids = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    label = materialize(rooted.join(ids, "root").select("fp", "root", "component_id"), "labels")
+    words, own = _words(how), _text_key(text) if how.similarity else []
+    base = stored(fingerprints(docs.select(*keys, text, *own), [*keys, *(["__d1", "__d2"] if own else [])], text, how), "fingerprints")
+    one = [F.min(F.struct("__d1", "__d2")).alias("__one")] if own else []
+    least = stored(base.groupBy("fp").agg(F.min(keys[0]).alias("least"), *[F.first(w).alias(w) for w in words], *one), "distinct")
+    found = verified_links(least.select("fp", *words), _sets(docs, text, least.select("fp", "__one.*"), how), how) if own else links(least, how)
+    root = components(found)
+    rooted = stored(least.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted", least, found, root)
+    ids = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    label = stored(rooted.join(ids, "root").select("fp", "root", "component_id"), "labels", rooted, ids)
     return base.join(label, "fp").select(*keys, "fp", "root", "component_id")
 
 
@@ -343,11 +608,21 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def near_dedup(docs: DataFrame, how: Setting = SIMILAR) -> DataFrame:
-    """One row of each group stays: the least doc_id (nulls last); among rows that share it, the one whose row hashes least."""
+    """One row of each group stays: the least doc_id (nulls last); among rows that share it, the one whose row hashes least.
+
+    What is joined back is not the rows that stay, but those that do not: of a broadcast size where they are few, else by a shuffle.
+    """
     names = docs.columns
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]))
-    marked = docs.withColumn("__row", row).withColumns({"__k1": F.xxhash64("__row"), "__k2": F.xxhash64(F.lit(1), F.col("__row"))}).drop("__row")
+    flat = [F.to_json(F.struct(F.col(f"`{c}`"))) if f.dataType.simpleString().startswith(("map", "array", "struct")) else F.col(f"`{c}`") for c, f in zip(names, docs.schema, strict=True)]
+    row = [*flat, *[F.col(f"`{c}`").isNull() for c in names]]
+    marked = docs.withColumns({"__k1": F.xxhash64(*row), "__k2": F.xxhash64(F.lit(1), *row)})
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k1", "__k2")
-    best = near_groups(marked, ("doc_id", "__k1", "__k2"), how=how).groupBy("root").agg(F.min(rank).alias("b"))
-    keep = materialize(best.select(F.col("b.__k1").alias("__k1"), F.col("b.__k2").alias("__k2")), "kept")
-    return marked.dropDuplicates(["__k1", "__k2"]).join(keep, ["__k1", "__k2"], "left_semi").select(*names)
+    groups = stored(near_groups(marked, ("doc_id", "__k1", "__k2"), how=how).select("root", "doc_id", "__k1", "__k2"), "groups")
+    best = groups.groupBy("root").agg(F.min(rank).alias("b")).select("root", F.col("b.__k1").alias("__b1"), F.col("b.__k2").alias("__b2"))
+    stays = (F.col("__k1") == F.col("__b1")) & (F.col("__k2") == F.col("__b2"))
+    decided = groups.join(stored(best, "best"), "root").groupBy("__k1", "__k2").agg(F.max(stays).alias("__stays"), F.count("*").alias("__n"))
+    special = stored(decided.where("not __stays or __n > 1").select("__k1", "__k2", "__stays"), "special", groups)
+    side = F.broadcast(special) if special.count() <= MAX_BROADCAST_NAMES else special
+    joined = marked.join(side, ["__k1", "__k2"], "left")
+    repeated = joined.where("__stays").dropDuplicates(["__k1", "__k2"])
+    return joined.where("__stays is null").unionByName(repeated).select(*names)

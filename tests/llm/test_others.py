@@ -408,11 +408,11 @@ def test_pipeline(spark, nothing):
     assert len(good & ids["quality"]) > 0.9 * len(good)
     from tests.llm.test_dedup import slow_similar
 
-    least, off = slow_similar(list(zip(seen["quality"]["doc_id"], seen["quality"]["text"], strict=True)))
-    every = seen["quality"]["doc_id"].to_numpy()
+    label, alike = slow_similar(list(zip(seen["quality"]["doc_id"], seen["quality"]["text"], strict=True)))
+    every, least = seen["quality"]["doc_id"].to_numpy(), set(label.tolist())
     assert ids["near_dedup"] >= least and len(ids["near_dedup"] - least) <= 0.02 * len(every)
-    sure = np.argwhere((off <= 17) & (np.arange(len(every))[:, None] > np.arange(len(every))))
-    assert not any({every[a], every[b]} <= ids["near_dedup"] for a, b in sure)
+    sure = np.argwhere((alike >= 0.85) & (np.arange(len(every))[:, None] > np.arange(len(every))))
+    assert len(sure) and not any({every[a], every[b]} <= ids["near_dedup"] for a, b in sure)
     items = pd.read_parquet(f"{sf}/benchmark.parquet")
     want = slow_match(list(zip(seen["near_dedup"]["doc_id"], seen["near_dedup"]["text"], strict=True)), list(zip(items["item_id"], items["text"], strict=True)))
     assert ids["decontaminate"] == {i for i, n, hit, _ in want if not (hit and 20 * hit >= n)}
@@ -425,8 +425,21 @@ def test_pipeline(spark, nothing):
 def test_pipeline_on_edges(spark, edges):
     import corpus_pipeline as p
 
-    for _, stage in p.STAGES:
-        assert stage(spark, edges, "/root/testdata/sf0.001").count() >= 0
+    sf, rows = "/root/testdata/sf0.001", [(r["doc_id"], r["text"]) for r in edges.collect()]
+    texts = Counter(rows)
+    out = {name: stage(spark, edges, sf).collect() for name, stage in p.STAGES}
+    left = {name: Counter((r["doc_id"], r["text"]) for r in got) for name, got in out.items()}
+    # quality: a subset, repeated rows go or stay together
+    assert all(left["quality"][k] == n for k, n in texts.items() if k in left["quality"]) and set(left["quality"]) <= set(texts)
+    # near_dedup: one row of each group; texts without words are one group
+    assert max(left["near_dedup"].values()) == 1 and [i for i, t in left["near_dedup"] if not (t or "").split()] == [3]
+    assert {i for i, _ in left["near_dedup"]} >= {0, 3, 6, 7, 10, 11, 12, 13, 14, None} and (1, rows[1][1]) not in left["near_dedup"]
+    # decontaminate, secrets: every row, nulls included; texts change where there is a hit or a secret
+    assert left["decontaminate"] == texts
+    assert Counter(r["doc_id"] for r in out["secrets"]) == Counter(i for i, _ in rows) and left["secrets"][3, None] == 1
+    assert {i for i, t in left["secrets"] if (i, t) not in texts} == {14} and not any("hunter22" in (t or "") for _, t in left["secrets"])
+    # mix: rows with words, each at most twice
+    assert all((t or "").split() for _, t in left["mix"]) and all(1 <= r["copies"] <= 2 for r in out["mix"]) and set(left["mix"]) <= set(texts)
 
 
 def test_the_rest_does_not_need_the_subpackage():
