@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import checkpoint, recount, split_words, text_or_empty
+from haplospark.checkpoints import stored
+from haplospark.llm.common import recount, split_words, text_or_empty
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same as a set for a token, with its leading separators (any case).
@@ -81,7 +82,7 @@ def _scan(docs: DataFrame, chunk: DataFrame, lengths: list[int]) -> DataFrame:
 
 def match(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """A row for each row of ``docs``: doc_id, body_hash, n_words, n_hit, items, hits (array of (pos, len), 1-based words)."""
-    table = checkpoint(windows(benchmark, n))
+    table = stored(windows(benchmark, n), "windows")
     stats = table.agg(F.count("*").alias("rows"), F.sum(F.greatest(F.size("items"), F.lit(1))).alias("refs"), F.collect_set("len").alias("lens")).first()
     lengths = sorted(stats["lens"], reverse=True) or [n]
     chunks = max(1, -(-(stats["refs"] or 0) // MAX_BROADCAST_WINDOWS))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 from pyspark.sql.types import StringType, StructType
 
-from haplospark.llm.common import packed_text, small_batches, unpacked_text
+from haplospark.llm.common import packed_text, unpacked_text
 
 SHINGLE = 5
 BINS = 512
@@ -161,7 +161,6 @@ def edited_text(text: str, following: str) -> str:
 
 def compare_edited(docs: DataFrame, text: str = "text") -> DataFrame:
     """Fingerprints of every document and its edited text, and how alike they are."""
-    small_batches(docs.sparkSession, 500)
     rows = with_next(docs, text)
     schema = StructType([rows.schema["doc_id"]]).add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string").add("near_edited", "double").add("near_next", "double")
 

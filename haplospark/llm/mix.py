@@ -25,7 +25,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import checkpoint, split_words
+from haplospark.checkpoints import stored
+from haplospark.llm.common import split_words
 
 #: Distinct membership patterns; they and 256 bins each come to the driver.
 MAX_PATTERNS = 10_000
@@ -189,7 +190,7 @@ def apply_plan(rows: DataFrame, by_pattern: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, sources: Column, weight: Callable[[list], list[int]], ratio: float = 1.5, cap: int = 2, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """(``docs`` with __pattern, __size, __hash and copies, the table of sources with their targets)."""
     rows = prepared(docs, sources, seed)
-    small = checkpoint(rows.select("__pattern", "__size", "__hash"))
+    small = stored(rows.select("__pattern", "__size", "__hash"), "sizes")
     by_pattern, by_source = plan(small, weight, ratio, cap)
     taken = apply_plan(rows, by_pattern)
     return taken.withColumn("copies", F.when(F.col("__size") > 0, F.col("__whole") + F.col("__extra")).otherwise(0)).drop("__whole", "__extra"), by_source

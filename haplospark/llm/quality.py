@@ -15,7 +15,7 @@ Neither lang, source nor doc_id is an input of a score; doc_id only says which l
 
 Defined edge cases: null, empty and blank texts have no token; they share one score, that of the zero vector.
 Null labels and labels of unknown documents are ignored; a label given several times counts once, the least quality
-wins.  With labels of one class only, or none, the score is that class's smoothed share.  Repeated rows get
+wins; of a document with several texts the one with the least MD5 is learned from.  With labels of one class only, or none, the score is that class's smoothed share.  Repeated rows get
 equal scores.  An empty table gives no rows.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from haplospark.llm.common import checkpoint, small_batches
+from haplospark.checkpoints import stored
 
 SLOTS = 1 << 13
 DIM = 48
@@ -136,7 +136,6 @@ def _count(table: np.ndarray, slot: np.ndarray, text: np.ndarray) -> None:
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """SLOTS x DIM, from sums over the whole corpus; of a fixed size whatever the input."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("binary").alias("t"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +171,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     schema = "block int, salt int, counts binary"
     sums = rows.mapInArrow(partial, schema).repartition("block", "salt").mapInArrow(total, schema).repartition("block").mapInArrow(total, schema)
     table = np.zeros((SLOTS // BLOCK, BLOCK * ROW), np.float64)
-    for r in sums.collect():  # SLOTS / BLOCK rows
+    for r in stored(sums, "counts").collect():  # SLOTS / BLOCK rows
         table[r["block"]] += np.frombuffer(r["counts"], np.int64)
     return from_counts(table.reshape(SLOTS, ROW))
 
@@ -275,24 +274,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     spark = docs.sparkSession
     vectors = word_vectors(docs)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = checkpoint(known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_labelled))
+    sample = stored(known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_labelled), "sample")
     sent = spark.sparkContext.broadcast(vectors)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = pool(b.column(2), sent.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.float64()), pa.array([r.tobytes() for r in x], pa.binary())], names=["k", "y", "x"])
+            x = pool(b.column(3), sent.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).cast(pa.float64()), pa.array([r.tobytes() for r in x], pa.binary())], names=["k", "h", "y", "x"])
 
     # The sample has at most max_labelled rows of two numbers.
-    picked = docs.join(F.broadcast(sample), "doc_id").select(F.md5(F.col("doc_id").cast("string")).alias("k"), "quality", F.col("text").cast("binary").alias("t"))
-    rows = picked.mapInArrow(pooled, "k string, y double, x binary").dropDuplicates(["k"]).orderBy("k").collect()
+    picked = docs.join(F.broadcast(sample), "doc_id").select(F.md5(F.col("doc_id").cast("string")).alias("k"), F.md5(F.coalesce("text", F.lit(""))).alias("h"), "quality", F.col("text").cast("binary").alias("t"))
+    one = picked.mapInArrow(pooled, "k string, h string, y double, x binary").groupBy("k").agg(F.min(F.struct("h", "y", "x")).alias("r"))
+    rows = stored(one.select("k", "r.y", "r.x"), "learned").orderBy("k").collect()  # at most max_labelled rows
     x = np.array([np.frombuffer(r["x"], np.float64) for r in rows]).reshape(len(rows), DIM + 1)
     return train(vectors, x, np.array([r["y"] for r in rows], np.float64))
 
 
 def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text", name: str = "score") -> DataFrame:
     """``keys`` and the score, called ``name``, of every row."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keys, F.col(text).cast("binary").alias("__t"))
 

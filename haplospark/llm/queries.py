@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haplospark.llm import chat_format, decontaminate, fingerprints, mix, quality, secrets_scan, simhash, substring_dedup, suffix_dedup, url_filter
-from haplospark.llm.common import checkpoint, table
+from haplospark.checkpoints import stored
+from haplospark.llm.common import table
 
 URL_RULES = (
     ("allow", "com", "/"),
@@ -64,7 +65,7 @@ def mix_weights(sources: list) -> list[int]:
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document; the one source of a document is its membership pattern."""
     docs = table(spark, sf_dir, "documents")
-    rows = checkpoint(mix.prepared(docs, F.array("source")).select("doc_id", F.col("source").alias("__source_of"), "__pattern", "__size", "__hash"))
+    rows = stored(mix.prepared(docs, F.array("source")).select("doc_id", F.col("source").alias("__source_of"), "__pattern", "__size", "__hash"), "sizes")
     by_pattern, by_source = mix.plan(rows, mix_weights)
     taken = mix.apply_plan(rows, by_pattern).join(F.broadcast(by_source), F.col("__source_of").eqNullSafe(F.col("__source")))
     copies = F.when(F.col("__size") > 0, F.col("__whole") + F.col("__extra")).otherwise(0)

@@ -22,7 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import materialize, recount, text_or_empty
+from haplospark.checkpoints import stored
+from haplospark.llm.common import recount, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -155,7 +156,7 @@ def join_back(docs: DataFrame, found: DataFrame, columns: list[str], text: str =
     kept = [c for c in columns if c != "found"]
     paths = docs.select(*kept, F.unhex(F.sha2(text_or_empty(F.col(text)), 256)).alias("__blob"))
     # Written first, so that the join has a shuffle on either side, and a blob of very many documents is split.
-    by_blob = materialize(found, "findings").select(F.col("blob").alias("__key"), F.col("found").alias("__found"))
+    by_blob = stored(found, "findings").select(F.col("blob").alias("__key"), F.col("found").alias("__found"))
     none = F.array().cast(f"array<{SPAN}>")
     return paths.join(by_blob, F.col("__blob") == F.col("__key"), "left").select(*kept, F.coalesce("__found", none).alias("found"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from haplospark.llm.common import materialize, small_batches
+from haplospark.checkpoints import stored
 
 SENTENCES = 2
 WORDS = 20
@@ -80,15 +80,14 @@ def _occurrences(docs: DataFrame, text: str, least: int, words: int) -> DataFram
                 at = pa.array(owner, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), b.column(0).take(at), pa.array(names, pa.binary()).take(at), pa.array(i, pa.int32()), pa.array(j, pa.int32())], names=schema.names)
 
-    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, schema)
 
 
 def removals(docs: DataFrame, text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """doc_id, body, spans: array of (i, j) sentence ranges to remove, of the documents that have any."""
-    every = materialize(_occurrences(docs, text, least, words), "runs")
+    every = stored(_occurrences(docs, text, least, words), "runs")
     place = F.struct("doc_id", "body", "i", "j")
-    first = materialize(every.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("run", "first"), "repeated")
+    first = stored(every.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("run", "first"), "repeated")
     again = every.join(first, "run").where(~place.eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "body").agg(F.collect_set(F.struct("i", "j")).alias("spans"))
 
@@ -100,7 +99,7 @@ def dedup(docs: DataFrame, text: str = "text", least: int = SENTENCES, words: in
     """
     docs = docs.drop("n_sentences", "n_removed", "spans")
     names = docs.columns
-    gone = materialize(removals(docs, text, least, words).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("spans").alias("__spans")), "removals")
+    gone = stored(removals(docs, text, least, words).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("spans").alias("__spans")), "removals")
     marked = _with_body(docs, text)
     joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left").select(*names, "__spans")
     schema = StructType(list(docs.schema)).add("n_sentences", "long").add("n_removed", "long").add("spans", ArrayType(StructType().add("i", "integer").add("j", "integer")))

@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from haplospark.llm.common import materialize, small_batches, table_batches
+from haplospark.checkpoints import stored
+from haplospark.llm.common import key_batches
 
 LENGTH = 200
 GRAM = 32
@@ -300,7 +301,7 @@ def repeated_windows(group: np.ndarray, contexts: list[bytes], anchor: np.ndarra
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in table_batches(batches, "g", SORTED):
+    for t, _ in key_batches(batches, "g", SORTED, 1 << 62):
         group = t["g"].to_numpy()
         s, p = t["s"].to_numpy().astype(np.int64), t["p"].to_numpy().astype(np.int64)
         body = t["body"].to_pylist()
@@ -354,18 +355,17 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def covered(docs: DataFrame, text: str = "text") -> DataFrame:
     """(blob, spans): for each text with repeated windows, array of (s, e) byte ranges, in any order, that may overlap."""
-    small_batches(docs.sparkSession)
-    every = materialize(docs.select(F.col(text).cast("binary")).mapInArrow(_anchors, OCCURRENCE), "runs")
+    every = stored(docs.select(F.col(text).cast("binary")).mapInArrow(_anchors, OCCURRENCE), "runs")
     local = every.where("ah is null").select("blob", "s", "e")
     found = every.where("ah is not null")
-    again = materialize(found.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("a"), F.max("ch").alias("b")).where("n > 1").select("ah", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
-    met = materialize(found.join(again, "ah"), "met")
-    kinds = materialize(
+    again = stored(found.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("a"), F.max("ch").alias("b")).where("n > 1").select("ah", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
+    met = stored(found.join(again, "ah"), "met")
+    kinds = stored(
         met.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.max("dup").alias("dup"), F.max("mixed").alias("mixed"), F.min(F.struct("blob", "s", "e", "p")).alias("one")), "contexts"
     )
     whole = met.join(kinds.where("n > 1").select("ah", "ch"), ["ah", "ch"]).select("blob", "s", "e")
     mixed = kinds.where("mixed")
-    sizes = materialize(mixed.groupBy("ah").agg(F.count("*").alias("m")), "sizes")
+    sizes = stored(mixed.groupBy("ah").agg(F.count("*").alias("m")), "sizes")
     parts = F.ceil(F.col("m") / MAX_GROUP)
     dealt = mixed.join(sizes, "ah").select(
         "one.*", ((F.col("n") == 1) & ~F.col("dup")).alias("alone"), (parts > 1).alias("split"),
@@ -374,18 +374,18 @@ def covered(docs: DataFrame, text: str = "text") -> DataFrame:
     places = dealt.groupBy("blob").agg(F.collect_list(F.struct("g", "s", "e", "p", "alone", "split")).alias("places"))
     texts = _packed(docs, [], text).groupBy("blob").agg(F.first("packed").alias("packed"))
     bodies = texts.join(places, "blob").select("blob", "packed", "places").mapInArrow(_cut_contexts, "g long, blob binary, s int, p int, alone boolean, split boolean, body binary")
-    sought = materialize(bodies.repartition("g").sortWithinPartitions("g").mapInArrow(_search, "blob binary, s int, e int, window binary, done boolean"), "windows")
+    sought = stored(bodies.repartition("g").sortWithinPartitions("g").mapInArrow(_search, "blob binary, s int, e int, window binary, done boolean"), "windows")
     spans = local.unionByName(whole).unionByName(sought.where("window is null").select("blob", "s", "e"))
     left = sought.where("window is not null")
     if not left.isEmpty():
-        twice = materialize(left.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "twice")
+        twice = stored(left.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "twice")
         spans = spans.unionByName(left.where("not done").join(twice, "window").select("blob", "s", "e"))
     return spans.groupBy("blob").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def remove(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys``, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row."""
-    found = materialize(covered(docs, text), "covered")
+    found = stored(covered(docs, text), "covered")
     rows = _packed(docs, keys, text).join(found, "blob", "left").select(*keys, "packed", "spans")
     schema = StructType([rows.schema[k] for k in keys]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
