@@ -14,11 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haplospark.checkpoints import stored
 from haplospark.llm import decontaminate as decontamination
 from haplospark.llm import mix as mixing
 from haplospark.llm import quality as classifier
 from haplospark.llm import secrets_scan, simhash
-from haplospark.llm.common import materialize, table
+from haplospark.llm.common import table
 from haplospark.llm.queries import mix_weights
 
 
@@ -50,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table of documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", docs)
     return docs
