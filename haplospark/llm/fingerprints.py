@@ -6,9 +6,12 @@ the hash of another bin by optimal densification: it has its own random order of
 document, and takes the first that is not empty.  ``BITS`` low-order bits of each bin are kept, packed and written as
 hexadecimal digits.  Two unlike hashes still agree in these bits by chance; ``likeness`` takes that out.
 
+The next document: rows are dealt by range and sorted, in parts of about ``PART_BYTES``; each task compares its rows, and only what stands at
+the borders, the first and the last row of each part, is joined once more.  What comes to the driver is the parts' numbers.
+
 Defined edge cases: a null, empty or blank text has the empty fingerprint, which is like itself (1) and unlike any
-other (0).  Equal texts have equal fingerprints.  A document alone is its own next one.  Rows that share an id are
-ordered by a hash of the text; null ids come last.  Repeated rows each get a result.  Other columns are not
+other (0).  Equal texts have equal fingerprints.  A document alone is its own next one.  Ids may be numbers or strings.  Rows that
+share an id are ordered by a hash of the text; null ids come last.  Repeated rows each get a result.  Other columns are not
 read.  An empty table gives no rows.
 """
 
@@ -23,20 +26,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from haplospark.checkpoints import stored
 from haplospark.llm.common import packed_text, unpacked_text
 
 SHINGLE = 5
 BINS = 512
 BITS = 4
 CHUNK = 1 << 17
+#: Text of one part of the order, about; and rows compared at once.
+PART_BYTES, ROWS = 32 << 20, 500
 U = np.uint64
 BASE = U(0x2545F4914F6CDD1D)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 #: Bins in the order in which an empty bin asks them, and the place of each bin in that order.
 DONORS = np.array([np.random.default_rng([BINS, k]).permutation(BINS) for k in range(BINS)], np.int64)
 RANKS = np.argsort(DONORS, axis=1)
+np.fill_diagonal(RANKS, -1)  # a bin that is not empty keeps its own hash
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -129,28 +136,16 @@ def fingerprint(text: Column) -> Column:
     return F.pandas_udf(run, StringType(), PandasUDFType.SCALAR)(text)
 
 
-def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, bucket, guest, packed text, ordered by descending id in each bucket; a bucket ends with a guest, the next document.
+def in_order(docs: DataFrame, text: str = "text") -> DataFrame:
+    """part, doc_id, packed text: parts, and rows within them, by descending id (nulls last), then by a hash of the text.
 
-    Ids are cut into buckets at their percentiles; what comes to the driver is one row for each bucket.
+    Rows alike in both are told apart by their place in the input, so that they may be dealt to several parts.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    cuts = small.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<long>"), lambda x: x <= F.col("doc_id"))))
-    order = F.struct("doc_id", F.bitwise_not("h").alias("h"))
-    tops = {r["b"]: r["top"] for r in small.groupBy(bucket.alias("b")).agg(F.max(order).alias("top")).collect()}
-    names = sorted(tops)
-    guest = F.lit(None).cast("int")
-    for k, b in enumerate(names):
-        top = tops[b]
-        own = F.col("doc_id").eqNullSafe(F.lit(top["doc_id"])) & (F.bitwise_not("h") == top["h"])
-        guest = F.when(own & (F.col("b") == b), F.lit(names[(k + 1) % len(names)])).otherwise(guest)
-    rows = packed_text(docs.withColumn("h", F.xxhash64(F.coalesce(F.col(text), F.lit("")))), ["doc_id", "h"], text).withColumn("b", bucket).withColumn("g", guest)
-    seats = F.array_compact(F.array(F.struct(F.col("b").alias("bucket"), F.lit(False).alias("guest")), F.when(F.col("g").isNotNull(), F.struct(F.col("g").alias("bucket"), F.lit(True).alias("guest")))))
-    dealt = rows.select("doc_id", "h", "packed", F.explode(seats).alias("seat")).select("doc_id", "h", "packed", "seat.*")
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "h").select("doc_id", "bucket", "guest", "packed")
+    n = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // PART_BYTES))
+    rows = packed_text(docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("place"), text), ["doc_id", "h", "place"], text)
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("place")]
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "packed")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -159,40 +154,62 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+_RESULT, _FIRST, _LAST = range(3)
+
+
 def compare_edited(docs: DataFrame, text: str = "text") -> DataFrame:
     """Fingerprints of every document and its edited text, and how alike they are."""
-    rows = with_next(docs, text)
+    rows = in_order(docs, text)
+    out = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = StructType([rows.schema["doc_id"]]).add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string").add("near_edited", "double").add("near_next", "double")
+    marked = StructType([*schema.fields, StructField("kind", rows.schema["part"].dataType), StructField("part", rows.schema["part"].dataType)]).add("packed", "binary")
 
-    def finished(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """``held``: rows in order; each but a guest and the last has its next one behind it."""
-        own = [k for k in range(len(held) - 1) if not held[k][2]]
-        if not own:
-            return
-        texts = [r[3] for r in held]
-        edits = [edited_text(texts[k], texts[k + 1]) for k in own]
+    def compared(ids: pa.Array, texts: list[str]) -> list[pa.Array]:
+        """The columns of all rows but the last, whose next one is not known here."""
+        edits = [edited_text(a, b) for a, b in zip(texts, texts[1:], strict=False)]
         codes, some = sketch([t.encode() for t in texts])
         changed, has = sketch([t.encode() for t in edits])
-        at = np.array(own)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([held[k][0] for k in own], kind), pa.array([len(texts[k]) for k in own], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edits]),
-                pa.array(packed(codes[at], some[at]), pa.string()), pa.array(packed(changed, has), pa.string()),
-                pa.array(likeness(codes[at], changed, some[at], has)), pa.array(likeness(codes[at], codes[at + 1], some[at], some[at + 1])),
-            ],
-            names=schema.names,
-        )
-
-    kind = pa.int64()
-    if rows.schema["doc_id"].dataType.simpleString() == "int":
-        kind = pa.int32()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        return [
+            ids, pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edits], pa.string()),
+            pa.array(packed(codes[:-1], some[:-1]), pa.string()), pa.array(packed(changed, has), pa.string()),
+            pa.array(likeness(codes[:-1], changed, some[:-1], has)), pa.array(likeness(codes[:-1], codes[1:], some[:-1], some[1:])),
+        ]
+
+    def batch(columns: list[pa.Array], kind: int, part: int, body: pa.Array | None) -> pa.RecordBatch:
+        n = len(columns[0])
+        tail = [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), pa.nulls(n, pa.binary()) if body is None else body]
+        return pa.RecordBatch.from_arrays([*columns, *tail], names=marked.names)
+
+    def border(row: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+        return batch([row.column(1), *none], kind, row.column(0)[0].as_py(), row.column(2))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, ""
         for b in batches:
-            bodies = unpacked_text(b.column(3))
-            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), bodies, strict=True)
-            yield from finished(held)
-            held = held[-1:]
-
-    return rows.mapInArrow(run, schema)
+            for k in range(0, b.num_rows, ROWS):
+                own = b.slice(k, ROWS)
+                texts = unpacked_text(own.column(2))
+                if last is None:
+                    yield border(own.slice(0, 1), _FIRST)
+                    ids, shown = own.column(1).slice(0, len(own) - 1), texts
+                else:
+                    ids, shown = pa.concat_arrays([last.column(1), own.column(1).slice(0, len(own) - 1)]), [before, *texts]
+                yield batch(compared(ids, shown), _RESULT, 0, None)
+                last, before = own.slice(own.num_rows - 1), texts[-1]
+        if last is not None:
+            yield border(last, _LAST)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                own = b.slice(k, 1)
+                yield pa.RecordBatch.from_arrays(compared(own.column(0), [unpacked_text(own.column(1))[0], unpacked_text(own.column(2))[0]]), names=out)
+
+    done = stored(rows.mapInArrow(within, marked), "compared")
+    borders = done.where(F.col("kind") != _RESULT)
+    parts = [r[0] for r in borders.select("part").distinct().orderBy("part").collect()]  # a number for each part
+    following = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, following int")
+    first = borders.where(F.col("kind") == _FIRST).select(F.col("part").alias("following"), F.col("packed").alias("next"))
+    last = borders.where(F.col("kind") == _LAST).join(F.broadcast(following), "part").join(first, "following")
+    return done.where(F.col("kind") == _RESULT).select(*out).unionByName(last.select("doc_id", "packed", "next").mapInArrow(across, schema))

@@ -114,6 +114,23 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in url_filter.judge(pages, listed.limit(0)).collect()} == {"allow"}
 
 
+def test_the_filter_runs_before_any_shuffle(spark):
+    """In the executed plan only what passed the filter is exchanged, and the exact join is not in that plan at all."""
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(URLS)], "page_id bigint, url string").select("page_id", url_filter.canonical_url(F.col("url")).alias("canonical"))
+    listed = spark.range(3).select(F.concat(F.lit("b.org/"), F.col("id")).alias("canonical"))
+    blocks, n = url_filter.bloom_blocks(listed, 3)
+    plan = url_filter.possible_hits(pages, blocks, n)._jdf.queryExecution().executedPlan().toString()
+    own = plan[: plan.index("BroadcastExchange")]  # what feeds the broadcast stands behind it
+    assert own.count("Exchange hashpartitioning") == 1 and "LeftSemi" not in plan and "SortMergeJoin" not in plan
+    assert own.index("Exchange hashpartitioning") < own.index("Filter") < own.index("BroadcastHashJoin")
+
+
+@pytest.mark.parametrize("size", [0, 32 << 20])
+def test_hits_by_broadcast_or_by_hash_join(spark, size, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_BYTES", size)
+    test_url_filter(spark)
+
+
 def test_bloom_filter_has_no_false_negative_and_few_positives(spark, monkeypatch):
     listed = spark.range(5000).select(F.concat(F.lit("a.io/"), F.col("id")).alias("canonical"))
     other = spark.range(5000, 25_000).select(F.concat(F.lit("a.io/"), F.col("id")).alias("canonical"))
@@ -169,6 +186,56 @@ def test_next_document_and_likeness(spark, count):
     assert np.abs(errors).max() < 0.2 and abs(np.mean(errors)) < 0.03
 
 
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_next_document_over_many_parts(spark, kind, monkeypatch):
+    """Ids of either type, null and much-repeated ones, over hundreds of parts."""
+    monkeypatch.setattr(fingerprints, "PART_BYTES", 100)
+    rng = random.Random(7)
+    rows = [(None if k % 9 == 0 else 500 if k % 3 == 0 else rng.randint(0, 900), prose(600 + k, rng.choice([0, 4, 30]))) for k in range(200)] + [(500, "same text")] * 40
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    hashed = {r[0]: r[1] for r in docs.select("text", F.xxhash64("text")).distinct().collect()}
+    name = (lambda i: i) if kind == "bigint" else str
+    order = sorted([(name(i), t) for i, t in rows if i is not None], key=lambda r: hashed[r[1]])
+    order = sorted(order, key=lambda r: r[0], reverse=True) + sorted([r for r in rows if r[0] is None], key=lambda r: hashed[r[1]])
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        want[i, len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + following[: len(t) // 3]).encode()).hexdigest()] += 1
+    assert fingerprints.in_order(docs).select("part").distinct().count() > 50
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.compare_edited(docs).collect()) == want
+
+
+def slow_print(text):
+    """The fingerprint, bin by bin and straight from its description."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return ""
+    u64, mix = (1 << 64) - 1, lambda x: int(fingerprints._mix(np.array([x], np.uint64))[0])
+    base = int(fingerprints.BASE)
+    word = [mix((sum((c + 1) * pow(base, k, 1 << 64) for k, c in enumerate(w)) + len(w)) & u64) for w in words]
+    least = {}
+    for i in range(max(1, len(word) - 4)):
+        value = n = min(5, len(word))
+        for k in range(n):
+            value = mix((value * base + word[i + k]) & u64)
+        least[value >> 55] = min(least.get(value >> 55, u64), value)
+    codes = []
+    for b in range(fingerprints.BINS):
+        donor = b if b in least else next(d for d in fingerprints.DONORS[b].tolist() if d in least)
+        codes.append(least[donor] & 15)
+    return "".join(f"{c:x}" for c in codes)
+
+
+@pytest.mark.parametrize("words", [0, 1, 4, 5, 6, 20, 40, 60, 300, 2000])
+def test_fingerprint_against_plain_binning(words):
+    """Binning, optimal densification (of few and of many bins) and packing."""
+    text = prose(words, words) if words else " \n"
+    codes, some = fingerprints.sketch([text.encode(), b"En en", prose(1, 700).encode(), text.upper().encode()])
+    got = fingerprints.packed(codes, some)
+    lowered = "".join(c.lower() if c.isascii() else c for c in text)
+    assert got[0] == slow_print(lowered) and got[2] == slow_print(prose(1, 700)) and got[1] == slow_print("en en")
+
+
 def test_likeness_is_unbiased():
     rng = random.Random(0)
     words = [f"w{k}" for k in range(100_000)]
