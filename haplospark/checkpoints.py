@@ -26,6 +26,11 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    system, p = _files(spark, path)
+    return system.exists(p)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of this application's tables."""
     sc = spark.sparkContext
@@ -37,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(named)
     own = f"{named.rstrip('/')}/haplospark-{sc.applicationId}"
     system, path = _files(spark, own)
-    if not system.exists(path):
+    if not there(spark, own):
         system.mkdirs(path)
         system.deleteOnExit(path)
     return own
