@@ -98,8 +98,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of every document, scanned by content with an empty ledger."""
-    found = secrets_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    """Findings of every document through a ledger that is filled in two steps: the base rules first, then only the pairs that the added rules bring."""
+    docs, ledger = table(spark, sf_dir, "documents"), secrets_scan.new_ledger(spark)
+    secrets_scan.update_ledger(spark, docs, ledger, secrets_scan.BASE_RULES)
+    found = secrets_scan.scan(docs, ["doc_id"], ledger)
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     kinds = tuple(r.kind for r in secrets_scan.BASE_RULES)
     return found.select(

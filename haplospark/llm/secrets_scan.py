@@ -1,14 +1,16 @@
 r"""Secret scans with an incremental blob ledger.
 
-Every text is addressed by its SHA-256.  A ledger holds, for each (blob, rule, version) scanned so
-far, the spans found.  A scan takes each blob once, drops the pairs that the ledger has, runs the
-remaining rules, and joins the findings back to all documents ("paths") with that content.  So
-copies are scanned once, unchanged versions never again, and a new rule version alone is run over
-old blobs.
+Every text is addressed by its SHA-256.  A ledger holds, for each (blob, rule, version) scanned so far, the spans found.
+A scan goes by keys first: 32-byte names of blobs, with flags of which rules may match, less the (blob, rule, version) pairs that the
+ledger has.  Bodies are fetched only for unseen pairs whose rule may match, one for each blob; all other unseen pairs
+are entered as empty.  Findings are joined back to all documents ("paths") and versions with that content.  So copies are
+scanned once, unchanged versions never again, and a new rule version alone is run over old blobs.
 
-Positions come from the built-in regular expressions alone: ``\G(.*?)(rule)`` takes each gap with
-the match behind it in one linear pass, and lengths are summed up.  Positions are code points, the
-end exclusive.
+Positions come from the built-in regular expressions alone: the text split at a rule gives the gaps, and the matches themselves
+stand between them; a running sum of lengths over (blob, rule) gives every position.  All steps are linear in the text and its findings.
+Positions are code points, the end exclusive.
+
+Masking cuts a text into chunks of ``CHUNK`` code points, and spans at the borders of chunks, so each chunk is masked by itself.
 
 Defined edge cases: a null text is the empty text (no findings).  Repeated rows, or equal texts under
 several ids, share one blob and get its findings each.  An empty table gives an empty result.  Only
@@ -17,18 +19,19 @@ the columns asked for are read, so other columns may have any names.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from haplospark.checkpoints import stored
+from haplospark.checkpoints import release, shared_dir, stored, there
 from haplospark.llm.common import recount, text_or_empty
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` has no capturing group, or one (the value).  A match counts if its value has ``least`` characters."""
+    """``pattern`` has one capturing group, the value.  A match counts if its value has ``least`` characters."""
 
     kind: str
     pattern: str
@@ -36,6 +39,13 @@ class Rule:
     version: int = 1
     #: The rule can only match a text that holds one of these (compared in lower case).
     hints: tuple[str, ...] = ()
+    #: The same without a group and with the least length inside; for rules whose value is the whole match, where no match that is too short holds a longer one.
+    quick: str | None = None
+
+    @property
+    def whole(self) -> bool:
+        """The value is the whole match."""
+        return self.pattern.startswith("(") and not self.pattern.startswith("(?") and self.pattern.endswith(")")
 
     @property
     def key(self) -> str:
@@ -49,8 +59,8 @@ def either_case(word: str) -> str:
 _KEYWORDS = "|".join([*map(either_case, ("password", "passwd", "secret", "token")), either_case("api") + "_?" + either_case("key")])
 BASE_RULES = (
     Rule("assign", rf"(?:{_KEYWORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, hints=("password", "passwd", "secret", "token", "apikey", "api_key")),
-    Rule("access", r"(AKIA[A-Z0-9]+)", 20, hints=("akia",)),
-    Rule("hex", r"([0-9a-f]+)", 24),
+    Rule("access", r"(AKIA[A-Z0-9]+)", 20, hints=("akia",), quick=r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"([0-9a-f]+)", 24, quick=r"[0-9a-f]{24,}"),
 )
 #: What the method adds: formats with a published, unmistakable prefix.
 MORE_RULES = (
@@ -63,124 +73,120 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
+#: Code points that are masked at once, and bytes of masked texts that are joined back by a broadcast.
+CHUNK, MAX_BROADCAST_BYTES = 512, 32 << 20
 LEDGER_SCHEMA = "blob binary, rule string, spans array<struct<start:int,end:int>>"
 
 
-def rule_spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start,end>>: the rule's matches, leftmost and non-overlapping, without those too short."""
-    gapped = r"(?s)\G(.*?)(" + rule.pattern + ")"
-    part = lambda g: F.regexp_extract_all(text, F.lit(gapped), F.lit(g))
-    steps = F.arrays_zip(
-        F.transform(part(1), F.char_length).alias("gap"), F.transform(part(2), F.char_length).alias("all"), F.transform(part(3), F.char_length).alias("value")
-    )
-    empty = F.lit(None).cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["all"]
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["value"] >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(steps, start, step)["spans"]
+def matches(text: Column, rule: Rule) -> Column:
+    """array<struct<gap,whole,value>>: lengths of each match, of what stands before it, and of its value, in order."""
+    pattern = rule.quick or rule.pattern
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = found if rule.whole else F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    length = lambda c, name: F.transform(c, F.char_length).alias(name)
+    zipped = F.arrays_zip(length(F.split(text, pattern, -1), "gap"), length(found, "whole"), length(value, "value"))
+    return F.filter(zipped, lambda m: m["whole"].isNotNull())  # behind the last match is one gap more
 
 
 def may_match(text: Column, low: Column, rule: Rule) -> Column:
     """A cheap test that no text with a finding fails."""
     if not rule.hints:
-        return text.rlike("[0-9a-f]{%d}" % rule.least) if rule.kind == "hex" else F.lit(True)
+        return text.rlike(rule.quick or rule.pattern)
     hit = F.lit(False)
     for h in rule.hints:
         hit = hit | F.contains(low, F.lit(h))
     return hit
 
 
-def blobs_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each content: blob (SHA-256), body."""
-    body = text_or_empty(F.col(text))
-    return docs.select(F.unhex(F.sha2(body, 256)).alias("blob"), body.alias("body")).dropDuplicates(["blob"])
-
+def blob_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text_or_empty(text), 256))
 
-def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, and for each rule an array of spans; null where the ledger already has that (blob, rule:version).
 
-    Blobs with no unseen pair are left out.
-    """
-    keys = [r.key for r in rules]
+def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """blob, todo: (rule:version, whether it may match) of every pair that the ledger lacks; blobs with none are left out.  No body is shuffled."""
+    own = docs.select(blob_of(F.col(text)).alias("blob"), text_or_empty(F.col(text)).alias("body")).withColumn("low", F.lower("body"))
+    pairs = F.array(*[F.struct(F.lit(r.key).alias("rule"), may_match(F.col("body"), F.col("low"), r).alias("may")) for r in rules])
+    blobs = own.groupBy("blob").agg(F.first(pairs).alias("todo"))
     if ledger is None:
-        todo = blobs.withColumn("todo", F.array(*map(F.lit, keys)))
-    else:
-        seen = ledger.where(F.col("rule").isin(keys)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        left = F.array_except(F.array(*map(F.lit, keys)), F.coalesce("seen", F.array().cast("array<string>")))
-        todo = blobs.join(seen, "blob", "left").withColumn("todo", left).where(F.size("todo") > 0)
-    text, none = F.col("body"), F.array().cast("array<struct<start:int,end:int>>")
-    low = todo.withColumn("low", F.lower(text))
-    flagged = low.select("blob", "body", "todo", *[may_match(text, F.col("low"), r).alias(f"may{i}") for i, r in enumerate(rules)])
-    return flagged.select(
-        "blob",
-        *[F.when(F.array_contains("todo", r.key), F.when(F.col(f"may{i}"), rule_spans(text, r)).otherwise(none)).alias(r.key) for i, r in enumerate(rules)],
-    )
-
-
-def to_ledger(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Ledger rows (blob, rule:version, spans) of what ``scan_blobs`` scanned."""
-    pairs = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.col(f"`{r.key}`").alias("spans")) for r in rules])
-    return scanned.select("blob", F.explode(F.filter(pairs, lambda p: p["spans"].isNotNull())).alias("p")).select("blob", "p.rule", "p.spans")
-
-
-def findings(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, found (all spans by start, then rule order) of the blobs with a finding, from ``scan_blobs``."""
+        return blobs
+    seen = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    left = F.filter("todo", lambda p: ~F.array_contains(F.coalesce("seen", F.array().cast("array<string>")), p["rule"]))
+    return blobs.join(seen, "blob", "left").select("blob", left.alias("todo")).where(F.size("todo") > 0)
+
+
+def scan_blobs(docs: DataFrame, todo: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """blob, rule:version, spans: the non-empty ones of the pairs in ``todo`` (as ``unseen`` gives them)."""
+    wanted = todo.select("blob", F.transform(F.filter("todo", lambda p: p["may"]), lambda p: p["rule"]).alias("run")).where(F.size("run") > 0)
+    low = F.lower("body")
+    any_ = F.lit(False)
+    for r in rules:
+        any_ = any_ | may_match(F.col("body"), low, r)
+    bodies = docs.select(blob_of(F.col(text)).alias("blob"), text_or_empty(F.col(text)).alias("body")).where(any_)
+    once = bodies.join(wanted, "blob").groupBy("blob").agg(F.first("body").alias("body"), F.first("run").alias("run"))
+    none = F.array().cast("array<struct<gap:int,whole:int,value:int>>")
+    each = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.lit(r.least).alias("least"), F.when(F.array_contains("run", r.key), matches(F.col("body"), r)).otherwise(none).alias("found")) for r in rules])
+    flat = once.select("blob", F.explode(each).alias("r")).select("blob", "r.rule", "r.least", F.posexplode("r.found").alias("pos", "m"))
+    upto = F.sum(F.col("m.gap") + F.col("m.whole")).over(Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    spans = flat.withColumn("end", upto).where(F.col("m.value") >= F.col("least")).select("blob", "rule", F.struct((F.col("end") - F.col("m.whole")).alias("start"), "end").alias("s"))
+    return spans.groupBy("blob", "rule").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+
+
+def ledger_rows(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """blob, rule:version, spans (may be empty) of every pair that the ledger lacks."""
+    todo = stored(unseen(docs, ledger, rules, text), "unseen")
+    found = scan_blobs(docs, todo, rules, text)
+    pairs = todo.select("blob", F.explode("todo").alias("p")).select("blob", F.col("p.rule").alias("rule"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def ranked(i: int, r: Rule) -> Column:
-        spans = F.coalesce(F.col(f"`{r.key}`"), none)
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("rank"), F.lit(r.kind).alias("kind"), s["end"].alias("end")))
-
-    each = [ranked(i, r) for i, r in enumerate(rules)]
-    return scanned.select("blob", F.array_sort(F.concat(*each)).alias("found")).where(F.size("found") > 0)
+    return pairs.join(found, ["blob", "rule"], "left").select("blob", "rule", F.coalesce("spans", none).alias("spans"))
 
 
 def ledger_findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """As ``findings``, from a ledger; only the given rules' current versions count."""
+    """blob, found (all spans by start, then rule order) of the blobs with a finding; only the given rules' current versions count."""
     rank, kind = F.lit(None).cast("int"), F.lit(None).cast("string")
     for i, r in enumerate(rules):
         rank = F.when(F.col("rule") == r.key, F.lit(i)).otherwise(rank)
         kind = F.when(F.col("rule") == r.key, F.lit(r.kind)).otherwise(kind)
     flat = ledger.where(F.col("rule").isin([r.key for r in rules])).select("blob", rank.alias("rank"), kind.alias("kind"), F.explode("spans").alias("s"))
     span = F.struct(F.col("s.start").alias("start"), "rank", "kind", F.col("s.end").alias("end"))
-    return flat.groupBy("blob").agg(F.array_sort(F.collect_set(span)).alias("found"))
+    return flat.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("found"))
 
 
 def join_back(docs: DataFrame, found: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     """``columns`` of every document, and ``found`` (empty where nothing is); a column of that name gives way."""
     kept = [c for c in columns if c != "found"]
-    paths = docs.select(*kept, F.unhex(F.sha2(text_or_empty(F.col(text)), 256)).alias("__blob"))
+    paths = docs.select(*kept, blob_of(F.col(text)).alias("__blob"))
     # Written first, so that the join has a shuffle on either side, and a blob of very many documents is split.
     by_blob = stored(found, "findings").select(F.col("blob").alias("__key"), F.col("found").alias("__found"))
     none = F.array().cast(f"array<{SPAN}>")
     return paths.join(by_blob, F.col("__blob") == F.col("__key"), "left").select(*kept, F.coalesce("__found", none).alias("found"))
 
 
-def scan(docs: DataFrame, columns: list[str], ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``columns`` and ``found`` of every document; what the ledger has is taken from it."""
-    scanned = scan_blobs(blobs_of(docs, text), ledger, rules)
-    found = findings(scanned, rules) if ledger is None else ledger_findings(ledger.unionByName(to_ledger(scanned, rules)), rules)
-    return join_back(docs, found, columns, text)
+def new_ledger(spark: SparkSession) -> str:
+    """A place for a ledger that lasts as long as the application."""
+    return f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path) if there(spark, path) else None
 
 
 def update_ledger(spark: SparkSession, docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Scan what the ledger at ``path`` (Parquet, made if missing) lacks, append it, and return the whole ledger.
 
-    The append is one job's commit: a run that dies leaves the ledger as it was, and is repeated.
+    ``docs`` may hold any number of historical versions of its documents, a row each.  The append is one job's commit: a run
+    that dies leaves the ledger as it was, and is repeated.
     """
-    try:
-        old = spark.read.schema(LEDGER_SCHEMA).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    to_ledger(scan_blobs(blobs_of(docs, text), old, rules), rules).write.mode("append").parquet(path)
-    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    rows = stored(ledger_rows(docs, read_ledger(spark, path), rules, text), "scanned")
+    rows.write.mode("append").parquet(path)
+    release(rows)
+    return read_ledger(spark, path)
+
+
+def scan(docs: DataFrame, columns: list[str], ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """``columns`` and ``found`` of every document, through the ledger at the given path (None: one of its own), which it brings up to date."""
+    spark = docs.sparkSession
+    known = update_ledger(spark, docs, ledger or new_ledger(spark), rules, text)
+    return join_back(docs, ledger_findings(known, rules), columns, text)
 
 
 def span_text(found: Column, kinds: tuple[str, ...] | None = None) -> Column:
@@ -189,29 +195,42 @@ def span_text(found: Column, kinds: tuple[str, ...] | None = None) -> Column:
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
-    """``text`` with each maximal run of found characters replaced by ``mask``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substr(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        joined = fresh & (s["start"] == acc["at"]) & (acc["at"] > 0)
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(joined | ~fresh, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mask))).alias("out"),
-        )
-
-    return F.when(F.size(found) == 0, text).otherwise(
-        F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text))))
-    )
-
-
-def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every secret in text masked; all rows and columns stay, and n_chars, if there, follows the text."""
-    names = docs.columns
-    held = {c: f"__in_{c}" if c in ("text", "found") else c for c in names}
-    found = scan(docs.select(*[F.col(f"`{c}`").alias(h) for c, h in held.items()]), list(held.values()), rules=rules, text="__in_text")
-    masked = found.withColumn("text", redact(F.col("__in_text"), F.col("found")))
-    changed = recount(masked, F.size("found") > 0)
-    return changed.select(*[F.col("__in_found").alias("found") if c == "found" else F.col(f"`{c}`") for c in names])
+def masked(bodies: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """``key``, masked: of ``bodies(key, body, found)`` each maximal run of found characters replaced by ``mask``."""
+    order = Window.partitionBy("key").orderBy("s.start", "s.end")
+    before = F.max("s.end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = bodies.select("key", F.explode("found").alias("s")).withColumn("fresh", F.coalesce(F.col("s.start") > before, F.lit(True)).cast("int"))
+    run = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    whole = spans.withColumn("run", run).groupBy("key", "run").agg(F.min("s.start").alias("start"), F.max("s.end").alias("end"))
+    # A span is cut at the borders of chunks; only its first piece leaves a mask.
+    first, last = F.floor(F.col("start") / CHUNK).cast("int"), F.floor((F.col("end") - 1) / CHUNK).cast("int")
+    cut = whole.select("key", "start", "end", F.explode(F.sequence(first, last)).alias("chunk"))
+    at = lambda c: (c - F.col("chunk") * CHUNK).cast("int")
+    piece = F.struct(F.greatest(at(F.col("start")), F.lit(0)).alias("start"), F.least(at(F.col("end")), F.lit(CHUNK)).alias("end"), (at(F.col("start")) >= 0).alias("lead"))
+    pieces = cut.select("key", "chunk", piece.alias("p")).groupBy("key", "chunk").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
+    chunks = bodies.select("key", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s).{1,%d}" % CHUNK), F.lit(0))).alias("chunk", "c"))
+    here = chunks.join(pieces, ["key", "chunk"], "left")
+    ends = F.concat(F.array(F.lit(0)), F.transform("pieces", lambda p: p["end"]))  # where each gap of the chunk begins
+    gaps = F.transform("pieces", lambda p, i: F.concat(F.substr("c", F.get(ends, i) + 1, p["start"] - F.get(ends, i)), F.when(p["lead"], F.lit(mask)).otherwise(F.lit(""))))
+    rest = F.substr("c", F.element_at(ends, -1) + 1, F.lit(CHUNK))
+    shown = F.when(F.col("pieces").isNull(), F.col("c")).otherwise(F.concat(F.array_join(gaps, ""), rest))
+    parts = here.select("key", "chunk", shown.alias("c")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "c"))).alias("parts"))
+    return parts.select("key", F.array_join(F.transform("parts", lambda p: p["c"]), "").alias("masked"))
+
+
+def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: str | None = None) -> DataFrame:
+    """``docs`` with every secret in text masked; all rows and columns stay, and n_chars, if there, follows the text.
+
+    Masked texts, one for each blob with a finding, are joined back: by a broadcast where they are small, else by a shuffle.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    known = update_ledger(spark, docs.select("text"), ledger or new_ledger(spark), rules)
+    found = stored(ledger_findings(known, rules), "findings")
+    body = docs.select(blob_of(F.col("text")).alias("key"), F.col("text").alias("body")).join(found.withColumnRenamed("blob", "key"), "key")
+    bodies = stored(body.groupBy("key").agg(F.first("body").alias("body"), F.first("found").alias("found")), "bodies", found)
+    clean = stored(masked(bodies), "masked", bodies)
+    size = clean.agg(F.sum(F.octet_length("masked"))).first()[0] or 0
+    side = clean.select(F.col("key").alias("__key"), F.col("masked").alias("__masked"))
+    joined = docs.withColumn("__blob", blob_of(F.col("text"))).join(F.broadcast(side) if size <= MAX_BROADCAST_BYTES else side, F.col("__blob") == F.col("__key"), "left")
+    changed = F.col("__masked").isNotNull()
+    return recount(joined.withColumn("text", F.coalesce("__masked", "text")), changed).select(*names)

@@ -3,12 +3,16 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
+from dataclasses import replace
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from haplospark.llm import chat_format, decontaminate, fingerprints, mix, oracles, quality, queries, secrets_scan, url_filter
@@ -431,15 +435,51 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     path = str(tmp_path / "ledger")
     first = secrets_scan.update_ledger(spark, docs.where("doc_id < 5"), path, secrets_scan.BASE_RULES)
     assert first.count() == 5 * 3
-    todo = secrets_scan.scan_blobs(secrets_scan.blobs_of(docs.where("doc_id < 5")), first, secrets_scan.BASE_RULES)
-    assert todo.count() == 0
+    assert secrets_scan.unseen(docs.where("doc_id < 5"), first, secrets_scan.BASE_RULES).count() == 0
     more = secrets_scan.update_ledger(spark, docs.where("doc_id < 7"), path, secrets_scan.RULES)
     assert more.count() == 5 * 3 + 5 * 5 + 2 * 8
-    newer = tuple(secrets_scan.Rule(r.kind, r.pattern, r.least, 2, r.hints) if r.kind == "hex" else r for r in secrets_scan.BASE_RULES)
-    again = secrets_scan.scan_blobs(secrets_scan.blobs_of(docs.where("doc_id < 5")), more, newer)
-    assert all(r["assign:1"] is None and r["hex:2"] is not None for r in again.collect()) and again.count() == 5
+    newer = tuple(replace(r, version=2) if r.kind == "hex" else r for r in secrets_scan.BASE_RULES)
+    again = secrets_scan.unseen(docs.where("doc_id < 5"), more, newer).collect()
+    assert all([p["rule"] for p in r["todo"]] == ["hex:2"] for r in again) and len(again) == 5
     whole = {r["doc_id"]: r["found"] for r in secrets_scan.scan(docs, ["doc_id"]).collect()}
-    assert {r["doc_id"]: r["found"] for r in secrets_scan.scan(docs, ["doc_id"], more).collect()} == whole
+    assert {r["doc_id"]: r["found"] for r in secrets_scan.scan(docs, ["doc_id"], path).collect()} == whole
+
+
+def test_ledger_over_historical_versions(spark, tmp_path):
+    """Every version of every path; what was scanned in an earlier version, or under another path, is not scanned again."""
+    versions = [(0, 1, SECRETS[0]), (0, 2, SECRETS[0] + " token=0123456789"), (1, 1, SECRETS[1]), (1, 2, SECRETS[1]), (1, 3, SECRETS[0]), (2, 1, None), (2, 2, SECRETS[3])]
+    history = spark.createDataFrame(versions, "path int, version int, text string")
+    ledger = str(tmp_path / "ledger")
+    early, every = history.where("version = 1"), secrets_scan.RULES
+    assert secrets_scan.update_ledger(spark, early, ledger).count() == 3 * len(every)
+    assert secrets_scan.unseen(history, secrets_scan.read_ledger(spark, ledger)).count() == 2
+    found = secrets_scan.scan(history, ["path", "version"], ledger).collect()
+    assert secrets_scan.read_ledger(spark, ledger).count() == 5 * len(every)
+    assert {(r["path"], r["version"]): [(s["kind"], s["start"], s["end"]) for s in r["found"]] for r in found} == {(p, v): slow_spans(t) for p, v, t in versions}
+
+
+def test_very_many_findings_in_one_text(spark):
+    """100,000 findings: positions and masking are linear in the text."""
+    rng = random.Random(4)
+    text = "".join(f"token={rng.getrandbits(64):016x}{rng.choice([' ', ' é ', chr(10)])}" for _ in range(100_000))
+    docs = spark.createDataFrame([document(0, text), document(1, text), document(2, "clean")], DOCUMENT)
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["found"] for r in secrets_scan.scan(docs, ["doc_id"]).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secrets_scan.redact_secrets(docs).collect()}
+    took = time.perf_counter() - began
+    spans = slow_spans(text)
+    assert [(s["kind"], s["start"], s["end"]) for s in got[0]] == spans and len(spans) >= 100_000 and len(got[1]) == len(spans) and not got[2]
+    assert masked[0] == masked[1] == re.sub(r"token=[0-9a-f]+", "[SECRET]", text) and masked[2] == "clean"
+    assert took < 60
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.text(alphabet="AKIab09x ", max_size=60))
+def test_quick_rules_are_the_same(text):
+    for r in secrets_scan.BASE_RULES[1:]:
+        quick = re.compile(r.quick.replace("16,", "2,").replace("24,", "4,"))
+        least = 6 if r.kind == "access" else 4
+        assert [m.span() for m in quick.finditer(text)] == [m.span() for m in re.finditer(r.pattern, text) if len(m[1]) >= least]
 
 
 # --- SQL and pipeline
