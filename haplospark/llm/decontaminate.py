@@ -2,13 +2,14 @@ r"""Benchmark decontamination with a broadcast hash set of n-grams.
 
 Items and documents are lower-cased (A-Z) and cut into words.  Every run of 13 consecutive words of an
 item is a window; an item of fewer words is one window.  Each document's windows are hashed in place
-(64 bits of 13 word hashes), looked up in the broadcast window table, and each hit is verified word by
-word inside the same join, so a hash collision cannot make a hit.  No document text is shuffled: what
-leaves the map side are the hits, and one row for each document, sent along as an always-matching
-sentinel window.
+(64 bits of 13 word hashes) and looked up in the broadcast set of window hashes.  What is found there carries
+its words, and is verified word by word against the windows themselves, so a hash collision cannot make a hit: by a
+broadcast if the windows are small, else by a join of the few rows that were found.  No document text is
+shuffled: what leaves the map side are those rows, and one row for each document, sent along as an
+always-found sentinel.
 
-The window table is cut into chunks of at most ``MAX_BROADCAST_WINDOWS`` rows, each broadcast in a pass
-of its own, so a benchmark of any size stays within the bound.
+The set has at most ``MAX_BROADCAST_WINDOWS`` hashes; of a larger benchmark, each such part of the set is a pass over the
+documents of its own, so a benchmark of any size stays within the bound.
 
 Defined edge cases: a null or empty text has no words and no hits.  An item without words has no
 window; an item with a null id hits, but is not counted.  Repeated items count once.  Repeated document
@@ -29,8 +30,10 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TOKEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TAIL = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$"
 N = 13
-#: About 300 bytes a window and reference to an item: 60 MB.
-MAX_BROADCAST_WINDOWS = 200_000
+#: Hashes of a set: about 60 bytes each, 60 MB.
+MAX_BROADCAST_WINDOWS = 1_000_000
+#: Bytes of windows and of their items that are broadcast to verify what was found.
+MAX_BROADCAST_BYTES = 32 << 20
 _SENTINEL = 0x5EED0FD0C5
 
 
@@ -62,38 +65,41 @@ def windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     return each.select(by_len.alias("hash"), "len", "win", "items")
 
 
-def _scan(docs: DataFrame, chunk: DataFrame, lengths: list[int]) -> DataFrame:
-    """doc_id, body_hash, n_words, pos, len, items: one row for each hit, and one with null pos for each document."""
+def _scan(docs: DataFrame, hashes: DataFrame, lengths: list[int]) -> DataFrame:
+    """doc_id, body_hash, n_words, pos, len, hash, found (words): a row for each window whose hash is in the set, and one with pos 0 for each document."""
     h, w = F.col("h"), F.col("w")
     base = docs.select("doc_id", F.md5(text_or_empty(F.col("text"))).alias("body_hash"), document_words(F.col("text")).alias("w"))
     base = base.withColumns({"n_words": F.size(w), "h": F.transform(w, lambda x: F.xxhash64(x))})
     mark = F.array(F.lit(_SENTINEL).cast("long"))
 
-    def hashes(n: int) -> Column:
+    def windowed(n: int) -> Column:
         here = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), lambda i: _window_hash(h, i, n))
         return F.struct(F.lit(n).alias("n"), F.when(F.size(h) >= n, F.concat(mark, here)).otherwise(mark).alias("g"))
 
-    sets = base.select("doc_id", "body_hash", "n_words", "w", hashes(lengths[0]).alias("s")) if len(lengths) == 1 else base.select("doc_id", "body_hash", "n_words", "w", F.explode(F.array(*map(hashes, lengths))).alias("s"))
+    sets = base.select("doc_id", "body_hash", "n_words", "w", windowed(lengths[0]).alias("s")) if len(lengths) == 1 else base.select("doc_id", "body_hash", "n_words", "w", F.explode(F.array(*map(windowed, lengths))).alias("s"))
     rows = sets.select("doc_id", "body_hash", "n_words", "w", F.col("s.n").alias("n"), F.posexplode("s.g").alias("pos", "g"))
-    verified = (F.col("g") == F.col("hash")) & F.when(F.col("pos") == 0, F.col("len") == 0).otherwise((F.col("len") == F.col("n")) & (F.slice("w", F.greatest("pos", F.lit(1)), F.col("n")) == F.col("win")))
-    found = rows.join(F.broadcast(chunk), verified)
-    return found.select("doc_id", "body_hash", "n_words", F.when(F.col("pos") > 0, F.struct("pos", "len")).alias("hit"), "items", (F.col("n") == lengths[0]).alias("first"))
+    # The sentinel stands at place 0 only; a window with its hash, further on, goes on to be verified.
+    found = rows.join(F.broadcast(hashes), (F.col("g") == F.col("hash")) & ((F.col("pos") > 0) | (F.col("g") == _SENTINEL)))
+    return found.select("doc_id", "body_hash", "n_words", "pos", F.col("n").alias("len"), "hash", F.when(F.col("pos") > 0, F.slice("w", F.greatest("pos", F.lit(1)), F.col("n"))).alias("found"), (F.col("n") == lengths[0]).alias("first"))
 
 
 def match(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """A row for each row of ``docs``: doc_id, body_hash, n_words, n_hit, items, hits (array of (pos, len), 1-based words)."""
     table = stored(windows(benchmark, n), "windows")
-    stats = table.agg(F.count("*").alias("rows"), F.sum(F.greatest(F.size("items"), F.lit(1))).alias("refs"), F.collect_set("len").alias("lens")).first()
+    size = F.sum(F.octet_length(F.array_join("win", " ")) + 40 * F.size("win") + 40 * F.greatest(F.size("items"), F.lit(1)))
+    stats = table.agg(F.count("*").alias("rows"), F.coalesce(size, F.lit(0)).alias("bytes"), F.collect_set("len").alias("lens")).first()
     lengths = sorted(stats["lens"], reverse=True) or [n]
-    chunks = max(1, -(-(stats["refs"] or 0) // MAX_BROADCAST_WINDOWS))
-    spark = docs.sparkSession
-    kind = table.schema["items"].dataType.simpleString()
-    sentinel = spark.range(1).select(F.lit(_SENTINEL).cast("long").alias("hash"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("win"), F.array().cast(kind).alias("items"))
-    hits = None
+    chunks = max(1, -(-stats["rows"] // MAX_BROADCAST_WINDOWS))
+    spark, scanned = docs.sparkSession, None
+    sentinel = spark.range(1).select(F.lit(_SENTINEL).cast("long").alias("hash"))
     for k in range(chunks):
-        part = _scan(docs, table.where(F.pmod("hash", F.lit(chunks)) == k).unionByName(sentinel), lengths).withColumn("pass", F.lit(k))
-        hits = part if hits is None else hits.unionByName(part)
-    copy = F.col("hit").isNull() & F.col("first") & (F.col("pass") == 0)
+        part = _scan(docs, table.where(F.pmod("hash", F.lit(chunks)) == k).select("hash").unionByName(sentinel).distinct(), lengths).withColumn("pass", F.lit(k))
+        scanned = part if scanned is None else scanned.unionByName(part)
+    known = table.select(F.col("hash").alias("__hash"), F.col("len").alias("__len"), "win", "items")
+    verified = (F.col("hash") == F.col("__hash")) & (F.col("len") == F.col("__len")) & (F.col("found") == F.col("win"))
+    both = scanned.join(F.broadcast(known) if stats["bytes"] <= MAX_BROADCAST_BYTES else known, verified, "left")
+    hits = both.withColumn("hit", F.when(F.col("win").isNotNull(), F.struct("pos", "len")))
+    copy = (F.col("pos") == 0) & F.col("first") & (F.col("pass") == 0)
     grouped = hits.groupBy("doc_id", "body_hash").agg(
         F.first("n_words").alias("n_words"),
         F.sum(copy.cast("int")).alias("copies"),
@@ -120,9 +126,9 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 def cut_words(text: Column, hits: Column) -> Column:
     """``text`` without the words in ``hits`` and the separators before each of them."""
     tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    gone = F.array_distinct(F.flatten(F.transform(hits, lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1))))
-    slots = F.array_sort(gone)
-    kept = F.filter(F.transform(tokens, lambda t, i: F.when(~F.array_contains(slots, i + 1), t)), lambda t: t.isNotNull())
+    gone = F.flatten(F.transform(hits, lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))
+    every = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    kept = F.transform(F.array_except(every, gone), lambda i: F.element_at(tokens, i))  # by a hash set, in order
     return F.concat(F.array_join(kept, ""), F.regexp_extract(text, _TAIL, 0))
 
 
