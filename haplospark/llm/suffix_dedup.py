@@ -5,7 +5,7 @@ nothing is lost by that: every 200-byte window picks one of its 32-byte grams, t
 polynomial hash (the leftmost of equals), by its content alone, so equal windows have equal anchors at equal
 places.  Consecutive windows with one anchor form a run; a run's context is the text that its windows span.
 
-1. ``_anchors``, map side, no text leaves: one row for each run (anchor hash, context hash, place).  Runs met twice
+1. ``_anchors``, map side, no text leaves: one row for each run (64-bit anchor hash, 128-bit context hash, place).  Runs met twice
    in a task are settled there, and one of them goes on; so a hot passage shrinks before any shuffle.
 2. Anchors met once are dropped.  Of the others, contexts met twice are covered whole: all their windows repeat.
 3. Different contexts around one anchor (the borders of repeated passages, and edits): one of each context
@@ -54,7 +54,7 @@ U = np.uint64
 BASE = U(0x5851F42D4C957F2D)
 _LOW = U(0xFFFFFF)
 
-OCCURRENCE = "ah long, ch long, dup boolean, blob binary, s int, e int, p int"
+OCCURRENCE = "ah long, ch long, cl long, dup boolean, blob binary, s int, e int, p int"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -160,10 +160,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for body, begin, end, which, place in _pieces(texts):
             piece, first, last, anchor, ah = runs(np.frombuffer(body, np.uint8), begin, end)
             if len(piece):
-                digest = xxhash.xxh3_64_intdigest
-                ch = np.fromiter((digest(body[i:j]) for i, j in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)), U, len(first))
+                digest = xxhash.xxh3_128_digest
+                names = b"".join([digest(body[i:j]) for i, j in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)])
+                ch, cl = np.ascontiguousarray(np.frombuffer(names, "<u8").reshape(-1, 2).T)
                 shift = place[piece] - begin[piece]
-                found.append((ah, ch, which[piece] + base, first + shift, last + shift + LENGTH, anchor + shift))
+                found.append((ah, ch, cl, which[piece] + base, first + shift, last + shift + LENGTH, anchor + shift))
                 n += len(piece)
         if n >= HELD:
             yield _settled(blobs, found)
@@ -173,10 +174,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settled(blobs: list[bytes], found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    ah, ch, owner, s, e, p = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((ch, ah))
-    ah, ch, owner, s, e, p = (x[order] for x in (ah, ch, owner, s, e, p))
-    first = np.flatnonzero(np.concatenate(([True], (ah[1:] != ah[:-1]) | (ch[1:] != ch[:-1]))))
+    ah, ch, cl, owner, s, e, p = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((cl, ch, ah))
+    ah, ch, cl, owner, s, e, p = (x[order] for x in (ah, ch, cl, owner, s, e, p))
+    first = np.flatnonzero(np.concatenate(([True], (ah[1:] != ah[:-1]) | (ch[1:] != ch[:-1]) | (cl[1:] != cl[:-1]))))
     count = np.diff(np.append(first, len(ah)))
     again = np.repeat(count > 1, count)
     who, begin, end = merge_ranges(owner[again], s[again], e[again])
@@ -185,11 +186,11 @@ def _settled(blobs: list[bytes], found: list[tuple[np.ndarray, ...]]) -> pa.Reco
     whole = lambda a, b, kind: pa.concat_arrays([pa.array(a).cast(kind), pa.array(b).cast(kind)])
     return pa.RecordBatch.from_arrays(
         [
-            pa.concat_arrays([pa.array(ah[first].view(np.int64)), none]), pa.concat_arrays([pa.array(ch[first].view(np.int64)), none]),
+            *[pa.concat_arrays([pa.array(x[first].view(np.int64)), none]) for x in (ah, ch, cl)],
             pa.concat_arrays([pa.array(count > 1), pa.nulls(len(who), pa.bool_())]), names.take(pa.array(np.concatenate((owner[first], who)))),
             whole(s[first], begin, pa.int32()), whole(e[first], end, pa.int32()), pa.concat_arrays([pa.array(p[first]).cast(pa.int32()), pa.nulls(len(who), pa.int32())]),
         ],
-        names=["ah", "ch", "dup", "blob", "s", "e", "p"],
+        names=["ah", "ch", "cl", "dup", "blob", "s", "e", "p"],
     )
 
 
@@ -358,12 +359,12 @@ def covered(docs: DataFrame, text: str = "text") -> DataFrame:
     every = stored(docs.select(F.col(text).cast("binary")).mapInArrow(_anchors, OCCURRENCE), "runs")
     local = every.where("ah is null").select("blob", "s", "e")
     found = every.where("ah is not null")
-    again = stored(found.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("a"), F.max("ch").alias("b")).where("n > 1").select("ah", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
+    again = stored(found.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("a"), F.max("ch").alias("b"), F.min("cl").alias("c"), F.max("cl").alias("d")).where("n > 1").select("ah", ((F.col("a") != F.col("b")) | (F.col("c") != F.col("d"))).alias("mixed")), "anchors")
     met = stored(found.join(again, "ah"), "met")
     kinds = stored(
-        met.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.max("dup").alias("dup"), F.max("mixed").alias("mixed"), F.min(F.struct("blob", "s", "e", "p")).alias("one")), "contexts"
+        met.groupBy("ah", "ch", "cl").agg(F.count("*").alias("n"), F.max("dup").alias("dup"), F.max("mixed").alias("mixed"), F.min(F.struct("blob", "s", "e", "p")).alias("one")), "contexts"
     )
-    whole = met.join(kinds.where("n > 1").select("ah", "ch"), ["ah", "ch"]).select("blob", "s", "e")
+    whole = met.join(kinds.where("n > 1").select("ah", "ch", "cl"), ["ah", "ch", "cl"]).select("blob", "s", "e")
     mixed = kinds.where("mixed")
     sizes = stored(mixed.groupBy("ah").agg(F.count("*").alias("m")), "sizes")
     parts = F.ceil(F.col("m") / MAX_GROUP)
