@@ -2,10 +2,10 @@ r"""DuckDB SQL for the queries that SQL can express."""
 
 _OP1 = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+  SELECT row_number() OVER () AS rid, doc_id, t, md5(t) AS body, copies FROM (SELECT doc_id, coalesce(text, '') AS t, count(*) AS copies FROM documents GROUP BY ALL) x),
 e AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS p FROM d),
 s0 AS (SELECT rid, doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS i FROM e WHERE len(p) > 0),
-s1 AS (SELECT *, len(regexp_extract_all(piece, '\S+')) AS words FROM s0),
+s1 AS (SELECT *, len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) AS words FROM s0),
 s AS (
   SELECT *, CAST(sum(words) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) AS upto, CAST(sum(words) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) - words AS before, count(*) OVER (PARTITION BY rid) AS n FROM s1),
 ends AS (SELECT rid, upto AS w, min(i) AS j FROM s GROUP BY rid, upto),
@@ -13,15 +13,15 @@ starts AS (SELECT rid, before AS w, max(i) AS i FROM s GROUP BY rid, before),
 fwd AS (SELECT s.rid, s.i, greatest(s.i + 1, ends.j) AS j, s.n FROM s ASOF JOIN ends ON s.rid = ends.rid AND s.before + 20 <= ends.w),
 bwd AS (SELECT s.rid, least(s.i - 1, starts.i) AS i, s.i AS j, s.n FROM s ASOF JOIN starts ON s.rid = starts.rid AND s.upto - 20 >= starts.w),
 runs AS (SELECT rid, i, j FROM fwd WHERE j <= n UNION SELECT rid, i, j FROM bwd WHERE i >= 1),
-texts AS (SELECT r.rid, r.i, r.j, string_agg(regexp_replace(s.piece, '^\s+|\s+$', '', 'g'), chr(10) ORDER BY s.i) AS run FROM runs r JOIN s ON s.rid = r.rid AND s.i BETWEEN r.i AND r.j GROUP BY r.rid, r.i, r.j),
-ranked AS (SELECT texts.*, row_number() OVER (PARTITION BY run ORDER BY d.doc_id NULLS FIRST, texts.i, texts.j) AS k FROM texts JOIN d ON d.rid = texts.rid),
+texts AS (SELECT r.rid, r.i, r.j, string_agg(regexp_replace(s.piece, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), chr(10) ORDER BY s.i) AS run FROM runs r JOIN s ON s.rid = r.rid AND s.i BETWEEN r.i AND r.j GROUP BY r.rid, r.i, r.j),
+ranked AS (SELECT texts.*, row_number() OVER (PARTITION BY run ORDER BY d.doc_id NULLS FIRST, d.body, texts.i, texts.j) AS k FROM texts JOIN d ON d.rid = texts.rid),
 gone AS (SELECT DISTINCT s.rid, s.i FROM ranked r JOIN s ON s.rid = r.rid AND s.i BETWEEN r.i AND r.j WHERE r.k > 1),
 islands AS (SELECT rid, min(i) AS a, max(i) AS b FROM (SELECT rid, i, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS g FROM gone) x GROUP BY rid, g),
 removed AS (SELECT rid, string_agg(CAST(a - 1 AS VARCHAR) || ':' || CAST(b AS VARCHAR), ',' ORDER BY a) AS removed, sum(b - a + 1) AS m FROM islands GROUP BY rid),
 kept AS (SELECT s.rid, string_agg(s.piece, '' ORDER BY s.i) AS body FROM s LEFT JOIN gone ON gone.rid = s.rid AND gone.i = s.i WHERE gone.i IS NULL GROUP BY s.rid)
 SELECT e.doc_id, CAST(len(e.p) AS BIGINT) AS n_sentences, CAST(coalesce(m, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed,
        CAST(length(coalesce(body, '')) AS BIGINT) AS n_kept_chars, sha256(coalesce(body, '')) AS kept_sha256
-FROM e LEFT JOIN removed ON removed.rid = e.rid LEFT JOIN kept ON kept.rid = e.rid
+FROM e JOIN (SELECT rid, unnest(range(copies)) AS copy FROM d) c ON c.rid = e.rid LEFT JOIN removed ON removed.rid = e.rid LEFT JOIN kept ON kept.rid = e.rid
 """
 
 _OP2 = r"""
@@ -149,19 +149,23 @@ FROM d LEFT JOIN g USING (doc)
 """
 
 
-_OP6 = """
+_OP6 = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said, CAST(coalesce(floor(turn / 1024), 0) AS INTEGER) AS part FROM conversations),
+  SELECT conv_id, turn, who, said, part, CAST(floor((row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, who, said) - 1) / 1024) AS INTEGER) AS piece
+  FROM (
+    SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(role, 'unknown'), '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') AS who,
+           regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS said, CAST(coalesce(floor(turn / 1024), 0) AS INTEGER) AS part
+    FROM conversations) c),
 p AS (SELECT DISTINCT conv_id, who AS me FROM t WHERE who <> 'system'),
 x AS (
-  SELECT t.conv_id, p.me, t.part, t.turn, t.who, t.said, t.who = p.me AS own, t.said || '<|end|>' || chr(10) AS body,
+  SELECT t.conv_id, p.me, t.part, t.piece, t.turn, t.who, t.said, t.who = p.me AS own, t.said || '<|end|>' || chr(10) AS body,
          CASE WHEN t.who = 'system' THEN '<|system|>' WHEN t.who = p.me THEN '<|assistant|>' ELSE '<|user name=' || t.who || '|>' END || chr(10) AS head
   FROM t JOIN p ON p.conv_id IS NOT DISTINCT FROM t.conv_id),
-y AS (SELECT *, row_number() OVER w AS k, sum(length(head) + length(body)) OVER w AS stop FROM x WINDOW w AS (PARTITION BY conv_id, me, part ORDER BY turn NULLS FIRST, who, said ROWS UNBOUNDED PRECEDING))
-SELECT conv_id, me AS perspective, part, CAST(count(*) AS BIGINT) AS n_turns, CAST(coalesce(sum(CASE WHEN own THEN length(body) END), 0) AS BIGINT) AS n_masked,
+y AS (SELECT *, row_number() OVER w AS k, sum(length(head) + length(body)) OVER w AS stop FROM x WINDOW w AS (PARTITION BY conv_id, me, part, piece ORDER BY turn NULLS FIRST, who, said ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, me AS perspective, part, piece, CAST(count(*) AS BIGINT) AS n_turns, CAST(coalesce(sum(CASE WHEN own THEN length(body) END), 0) AS BIGINT) AS n_masked,
        string_agg(head || body, '' ORDER BY k) AS text,
        coalesce(string_agg(CASE WHEN own THEN CAST(CAST(stop - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) END, ',' ORDER BY k), '') AS mask
-FROM y GROUP BY conv_id, me, part
+FROM y GROUP BY conv_id, me, part, piece
 """
 
 SQL = {

@@ -1,13 +1,14 @@
 r"""Substring dedup over sliding sentence spans.
 
-A text is cut into sentences: up to and with a run of ``.!?`` or line ends.  From every sentence on, the shortest run
+A text is cut into sentences: up to and with a run of ``.!?`` or line ends.  Words are cut, and sentences stripped, at ASCII blanks.  From every sentence on, the shortest run
 of at least ``SENTENCES`` consecutive sentences and at least ``WORDS`` words is hashed (128 bits of the sentences,
 stripped, a line each), and likewise the shortest run that ends at every sentence; so a passage is covered up
 to both its ends, whatever stands around it.  Runs are joined globally by hash.  The first occurrence, by
-(doc_id, content, sentence), stays; the sentences of any other are removed with what separates them from the next one.
+(doc_id, MD5 of the text, sentence), stays; the sentences of any other are removed with what separates them from the next one.
 
 The table of occurrences is written once; the first of each hash comes from a partial aggregation, so a hot run is one
 row per task there, and the join back is a sort-merge join between two shuffles, which adaptive execution splits.
+What is to be removed goes back to the texts by a broadcast where it is small (its bytes are counted), else by a shuffle.
 
 Defined edge cases: a null text has no sentence.  Rows that agree in id and text are one document: each gets the
 same result.  A null id comes first.  A text with too few sentences or words has no run.  Other columns are not
@@ -16,6 +17,7 @@ read by ``removals``; ``dedup`` keeps them.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -31,6 +33,9 @@ from haplospark.checkpoints import stored
 
 SENTENCES = 2
 WORDS = 20
+#: Bytes of removals that are broadcast.
+MAX_BROADCAST_BYTES = 32 << 20
+_BLANK = " \t\n\x0b\x0c\r"
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 
 
@@ -41,7 +46,7 @@ def sentences(text: str | None) -> list[str]:
 
 def runs(pieces: list[str], least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int]]:
     """(first, last) of the shortest runs from and to every sentence, each once, in order."""
-    upto = [0, *accumulate(len(p.split()) for p in pieces)]
+    upto = [0, *accumulate(len(p.encode().split()) for p in pieces)]
     n, found = len(pieces), set()
     for i in range(n):
         j = max(i + least, bisect_left(upto, upto[i] + words))
@@ -56,29 +61,32 @@ def runs(pieces: list[str], least: int = SENTENCES, words: int = WORDS) -> list[
 def hashed_runs(text: str | None, least: int = SENTENCES, words: int = WORDS) -> list[tuple[bytes, int, int]]:
     """(hash, first, last) of every run."""
     pieces = sentences(text)
-    lines = [p.strip().encode() for p in pieces]
+    lines = [p.strip(_BLANK).encode() for p in pieces]
     whole, ends = b"\n".join(lines), list(accumulate(len(x) + 1 for x in lines))
     starts = [0, *ends[:-1]]
     return [(xxhash.xxh3_128_digest(whole[starts[i] : ends[j] - 1]), i, j) for i, j in runs(pieces, least, words)]
 
 
+def body_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def _occurrences(docs: DataFrame, text: str, least: int, words: int) -> DataFrame:
-    """run, doc_id, body (hash of the text), i, j."""
-    rows = docs.select("doc_id", text)
+    """run, doc_id, body (MD5 of the text), i, j."""
+    rows = docs.select("doc_id", text, body_of(F.col(text)).alias("body"))
     schema = StructType().add("run", "binary").add(rows.schema["doc_id"]).add("body", "binary").add("i", "integer").add("j", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, found, owner = [], [], []
+            found, owner = [], []
             for k, t in enumerate(b.column(1).to_pylist()):
                 own = hashed_runs(t, least, words)
                 found += own
                 owner += [k] * len(own)
-                names.append(xxhash.xxh3_128_digest((t or "").encode()))
             if found:
                 h, i, j = zip(*found, strict=True)
                 at = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), b.column(0).take(at), pa.array(names, pa.binary()).take(at), pa.array(i, pa.int32()), pa.array(j, pa.int32())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), b.column(0).take(at), b.column(2).take(at), pa.array(i, pa.int32()), pa.array(j, pa.int32())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -100,8 +108,10 @@ def dedup(docs: DataFrame, text: str = "text", least: int = SENTENCES, words: in
     docs = docs.drop("n_sentences", "n_removed", "spans")
     names = docs.columns
     gone = stored(removals(docs, text, least, words).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("spans").alias("__spans")), "removals")
-    marked = _with_body(docs, text)
-    joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left").select(*names, "__spans")
+    size = gone.agg(F.sum(100 + 24 * F.size("__spans"))).first()[0] or 0
+    side = F.broadcast(gone) if size <= MAX_BROADCAST_BYTES else gone
+    marked = docs.withColumn("__own", body_of(F.col(text)))
+    joined = marked.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left").select(*names, "__spans")
     schema = StructType(list(docs.schema)).add("n_sentences", "long").add("n_removed", "long").add("spans", ArrayType(StructType().add("i", "integer").add("j", "integer")))
     at = names.index(text)
 
@@ -128,26 +138,15 @@ def dedup(docs: DataFrame, text: str = "text", least: int = SENTENCES, words: in
     return joined.mapInArrow(run, schema)
 
 
-def _with_body(docs: DataFrame, text: str) -> DataFrame:
-    schema = StructType(list(docs.schema)).add("__own", "binary")
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([xxhash.xxh3_128_digest((t or "").encode()) for t in b.column(at).to_pylist()], pa.binary())], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
 def brute_force(rows: list[tuple], least: int = SENTENCES, words: int = WORDS) -> dict[tuple, set[int]]:
     """Sentences removed of each distinct (doc_id, text) (for tests)."""
-    key = lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh3_128_digest((r[1] or "").encode()))
+    key = lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())
     seen: set[tuple] = set()
     out: dict[tuple, set[int]] = {}
     for r in sorted({(a, b) for a, b in rows}, key=key):
         pieces, gone = sentences(r[1]), set()
         for i, j in runs(pieces, least, words):
-            name = tuple(p.strip() for p in pieces[i : j + 1])
+            name = tuple(p.strip(_BLANK) for p in pieces[i : j + 1])
             if name in seen:
                 gone |= set(range(i, j + 1))
             seen.add(name)
