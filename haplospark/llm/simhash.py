@@ -5,8 +5,8 @@ XXH64 (seed 42); a bit is 1 where over half the hashes have it.  There are two s
 
 * ``CONTRACT``: shingles of four words, 64 bits, a link at 4 or fewer differing bits.  Exact.
 * ``SIMILAR``: distinct shingles of five words, 192 bits (two more words of bits by mixing each hash).  Two texts are linked
-  if their sets of shingles have a Jaccard similarity of 0.8 or more.  The bits only find candidates, at 44 or fewer
-  differing bits (a similarity of 0.8 gives 29 on the average, and over 44 once in a thousand times); every link is then
+  if their sets of shingles have a Jaccard similarity of 0.8 or more.  The bits only find candidates, at 40 or fewer
+  differing bits (a similarity of 0.8 gives 29 on the average, and over 40 once in a hundred times); every link is then
   verified on the shingles themselves.
 
 Search in ``CONTRACT``: the 64 bits fall into three blocks.  A block's anchors are a covering code: the codewords of the
@@ -23,8 +23,8 @@ many bits are kept as tell so many of them apart, so anchors stay small as the i
 
 An anchor compares its members and emits no pairs, but spanning forests of candidates: the links of least distance that
 connect what is connected.  Verified links make components; where links of a forest failed and others had been left out for
-it, those nodes are searched again, with components contracted and more forests, until nothing was left out.  So components are those of
-all verified candidates, without a pair within a group being emitted.
+it, those nodes are searched again with components contracted, first for four forests, then for all that is left, each pair at the
+first anchor that it shares.  So components are those of all verified candidates, without a pair within a group being emitted.
 
 Anchors of over ``HOT`` rows leave the task that finds them: with ``CONTRACT`` they are dealt anew by five pieces of the other bits
 (four differences leave one piece equal); what is still too large is cut into parts, and each pair of parts is a
@@ -73,7 +73,9 @@ class Setting:
 
 
 CONTRACT = Setting(4, 1, 4)
-SIMILAR = Setting(5, 3, 44, 0.8)
+SIMILAR = Setting(5, 3, 40, 0.8)
+#: Forests of candidates in each round of the search; the last takes all candidates between components.
+ROUNDS: tuple[int | None, ...] = (1, 4, None)
 #: Candidates that are fetched by a broadcast of their names (about 100 bytes each); more go through a shuffle.
 MAX_BROADCAST_NAMES = 300_000
 #: Rows of an anchor that one task compares, by the number of words.
@@ -243,9 +245,25 @@ def masks(blocks: int, dim: int, words: int = 3) -> np.ndarray:
     return np.stack(out)
 
 
+#: The bits of an anchor that hold its mask's number.
+_MASK = U(0xFFF)
+
+
+def first_shared(x: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """The first mask that has none of the differing bits ``x`` (n x words)."""
+    out, left = np.full(len(x), len(keep)), np.arange(len(x))
+    for k, row in enumerate(keep):
+        if not len(left):
+            break
+        here = ((x[left] & row) == 0).all(axis=1)
+        out[left[here]] = k
+        left = left[~here]
+    return out
+
+
 def masked(fps: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, index into ``fps`` (n x words)) of every replica: a hash of the bits that each mask keeps, and of the mask's number."""
-    anchors = [_hashed(fps & row) ^ _mix(np.array([k + 1], U)) for k, row in enumerate(keep)]
+    """(anchor, index into ``fps`` (n x words)) of every replica: a hash of the bits that each mask keeps, and in its lowest bits the mask's number."""
+    anchors = [_hashed(fps & row) & ~_MASK | U(k) for k, row in enumerate(keep)]
     return np.concatenate(anchors).view(np.int64), np.tile(np.arange(len(fps)), len(keep))
 
 
@@ -447,19 +465,26 @@ def _placed(nodes: DataFrame, how: Setting, keep: np.ndarray | None) -> DataFram
     return nodes.select("label", *words).mapInArrow(replicate, "anchor long, home boolean, label long" + "".join(f", {w} long" for w in words))
 
 
-def _compared(t: pa.Table, how: Setting, forests: int, starts: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _compared(t: pa.Table, how: Setting, forests: int | None, starts: np.ndarray, counts: np.ndarray, keep: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Of rows t, each with the rows starts .. starts+counts-1."""
     fps, rows = _matrix(t, how), np.flatnonzero(counts > 0)
     pairs = _close(fps, rows, starts[rows], counts[rows], how.bits)
     if not how.similarity:
         yield _found(LINK, *_named(fps, _connected(pairs)), how)
         return
+    if forests is None:
+        label, number = t["label"].to_numpy(), (t["anchor"].to_numpy().view(U) & _MASK).astype(np.int64)
+        for a, b, _ in pairs:
+            cross = np.flatnonzero(label[a] != label[b])
+            own = cross[first_shared(fps[a[cross]] ^ fps[b[cross]], keep) == number[a[cross]]]
+            yield _found(LINK, names_of(fps[a[own]]), names_of(fps[b[own]]), how)
+        return
     a, b, out, root = candidates(t["anchor"].to_numpy(), fps, t["label"].to_numpy(), pairs, forests)
     yield _found(LINK, names_of(fps[a]), names_of(fps[b]), how)
     yield _found(OUT, names_of(fps[out]), names_of(fps[root]), how)
 
 
-def _search(placed: DataFrame, how: Setting, forests: int, certain: bool) -> DataFrame:
+def _search(placed: DataFrame, how: Setting, forests: int | None, certain: bool, keep: np.ndarray | None = None) -> DataFrame:
     """What the anchors find; ``certain``: rows are at anchors of ``cover``, homes and visitors."""
     hot = HOT[how.words]
 
@@ -472,7 +497,7 @@ def _search(placed: DataFrame, how: Setting, forests: int, certain: bool) -> Dat
             else:
                 cut = _runs(t["anchor"].to_numpy())
                 here = np.arange(t.num_rows)
-                yield from _compared(t, how, forests, here + 1, np.repeat(cut[1:], np.diff(cut)) - here - 1)
+                yield from _compared(t, how, forests, here + 1, np.repeat(cut[1:], np.diff(cut)) - here - 1, keep)
 
     return placed.repartition("anchor").sortWithinPartitions("anchor", *_words(how)).mapInArrow(run, _found_schema(how))
 
@@ -493,13 +518,14 @@ def _by_pieces(left: DataFrame, how: Setting) -> DataFrame:
     return left.select("anchor", "home", "label", "f0").mapInArrow(run, "anchor long, home boolean, label long, f0 long")
 
 
-def _by_parts(left: DataFrame, how: Setting, forests: int) -> DataFrame:
+def _by_parts(left: DataFrame, how: Setting, forests: int | None, keep: np.ndarray | None) -> DataFrame:
     """What anchors too large for a task find: cut into parts, each pair of parts a cell."""
     hot, words = HOT[how.words], _words(how)
     sizes = left.groupBy("anchor").agg(F.ceil(F.count("*") / hot).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64(*words), F.col("parts")).cast("int")
     cells = left.join(sizes, "anchor").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = F.xxhash64("anchor", F.least("part", "other"), F.greatest("part", "other"))
+    number = F.lit(int(_MASK)).cast("long")
+    cell = F.xxhash64("anchor", F.least("part", "other"), F.greatest("part", "other")).bitwiseAND(F.bitwise_not(number)).bitwiseOR(F.col("anchor").bitwiseAND(number))
     placed = cells.select(cell.alias("anchor"), "label", *words, (F.col("part") <= F.col("other")).alias("first"), (F.col("part") == F.col("other")).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,20 +535,20 @@ def _by_parts(left: DataFrame, how: Setting, forests: int) -> DataFrame:
             first, same = (t[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("first", "same"))
             upper = np.add.reduceat(first.astype(np.int64), cut[:-1])  # a cell's first part stands before its second
             start = np.where(same, here + 1, np.repeat(cut[:-1] + upper, size))
-            yield from _compared(t, how, forests, start, np.where(first, np.repeat(cut[1:], size) - start, 0))
+            yield from _compared(t, how, forests, start, np.where(first, np.repeat(cut[1:], size) - start, 0), keep)
 
     return placed.repartition("anchor").sortWithinPartitions("anchor", F.col("first").desc(), *words).mapInArrow(run, _found_schema(how))
 
 
-def _found_in(nodes: DataFrame, how: Setting, keep: np.ndarray | None, forests: int) -> DataFrame:
+def _found_in(nodes: DataFrame, how: Setting, keep: np.ndarray | None, forests: int | None) -> DataFrame:
     """kind, u, v of all anchors, large ones included."""
-    found = stored(_search(_placed(nodes, how, keep), how, forests, keep is None), "found")
+    found = stored(_search(_placed(nodes, how, keep), how, forests, keep is None, keep), "found")
     left = found.where(F.col("kind") == LEFT)
     if not left.isEmpty():
         if keep is None:
             found = stored(found.where(F.col("kind") != LEFT).unionByName(_search(_by_pieces(left, how), how, forests, False)), "found", found)
             left = found.where(F.col("kind") == LEFT)
-        found = stored(found.where(F.col("kind") != LEFT).unionByName(_by_parts(left, how, forests)), "found", found)
+        found = stored(found.where(F.col("kind") != LEFT).unionByName(_by_parts(left, how, forests, keep)), "found", found)
     return found
 
 
@@ -532,28 +558,30 @@ def links(distinct: DataFrame, how: Setting = CONTRACT) -> DataFrame:
     return found.where(F.col("kind") == LINK).select("u", "v")
 
 
-def verified_links(distinct: DataFrame, sets: Callable[[DataFrame], DataFrame], how: Setting = SIMILAR) -> DataFrame:
-    """Stored links (u, v) of similarity ``how.similarity`` or more, from ``distinct(fp, f0, ...)``; ``sets`` gives (fp, set) of a table of fps."""
+def verified_roots(distinct: DataFrame, sets: Callable[[DataFrame], DataFrame], how: Setting = SIMILAR) -> DataFrame:
+    """Stored (node, root) by links of similarity ``how.similarity`` or more, from ``distinct(fp, f0, ...)``; ``sets`` gives (fp, set) of a table of fps."""
     keep = masks(*covering(distinct.count()), how.words)
-    nodes, forests, good = distinct.select(F.xxhash64("fp").alias("label"), *_words(how)), 1, None
-    while True:
+    nodes, good, root = distinct.select(F.xxhash64("fp").alias("label"), *_words(how)), None, None
+    for forests in ROUNDS:
         found = _found_in(nodes, how, keep, forests)
         pairs = stored(found.where(F.col("kind") == LINK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
         own = stored(sets(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()), "sets")
         new = stored(_alike(pairs, own, how), "links", pairs, own)
-        good = new if good is None else stored(good.unionByName(new).distinct(), "links", good, new)
+        if root is None or not new.isEmpty():
+            good = new if good is None else stored(good.unionByName(new), "links", good, new)
+            release(root)
+            root = components(good)
         out = found.where(F.col("kind") == OUT).select(F.col("u").alias("fp"), F.col("v").alias("hangs")).distinct()
         if out.isEmpty():
             release(found)
-            return good
-        root = components(good)
+            break
         labelled = stored(out.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "hangs", F.xxhash64(F.coalesce("root", "fp")).alias("label")), "labelled", found)
         open_ = labelled.groupBy("hangs").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("hangs")
-        again = stored(labelled.join(open_, "hangs", "left_semi").groupBy("fp").agg(F.first("label").alias("label")).join(distinct, "fp").select("label", *_words(how)), "again", labelled, root)
-        if again.isEmpty():
-            release(again)
-            return good
-        nodes, forests = again, forests * 4
+        nodes = stored(labelled.join(open_, "hangs", "left_semi").groupBy("fp").agg(F.first("label").alias("label")).join(distinct, "fp").select("label", *_words(how)), "again", labelled)
+        if nodes.isEmpty():
+            break
+    release(good)
+    return root
 
 
 def _alike(pairs: DataFrame, own: DataFrame, how: Setting) -> DataFrame:
@@ -595,9 +623,8 @@ def near_groups(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str
     base = stored(fingerprints(docs.select(*keys, text, *own), [*keys, *(["__d1", "__d2"] if own else [])], text, how), "fingerprints")
     one = [F.min(F.struct("__d1", "__d2")).alias("__one")] if own else []
     least = stored(base.groupBy("fp").agg(F.min(keys[0]).alias("least"), *[F.first(w).alias(w) for w in words], *one), "distinct")
-    found = verified_links(least.select("fp", *words), _sets(docs, text, least.select("fp", "__one.*"), how), how) if own else links(least, how)
-    root = components(found)
-    rooted = stored(least.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted", least, found, root)
+    root = verified_roots(least.select("fp", *words), _sets(docs, text, least.select("fp", "__one.*"), how), how) if own else components(links(least, how))
+    rooted = stored(least.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted", least, root)
     ids = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     label = stored(rooted.join(ids, "root").select("fp", "root", "component_id"), "labels", rooted, ids)
     return base.join(label, "fp").select(*keys, "fp", "root", "component_id")

@@ -254,7 +254,9 @@ def test_cover_geometry():
         assert simhash.SYNDROMES[a & 0x7FFF] == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [100_000, 0])
+def test_components(spark, one_task, monkeypatch):
+    monkeypatch.setattr(graph_components, "ONE_TASK", one_task)
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(100)] + [(200, k) for k in range(201, 260)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in graph_components.components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
@@ -264,6 +266,11 @@ def test_components(spark):
         if u is not None:
             root[max(find(u), find(v))] = min(find(u), find(v))
     assert got == {x: find(x) for x in root}
+    named = spark.createDataFrame([(f"{u}".encode(), f"{v}".encode()) for u, v in links if u is not None], "u binary, v binary")
+    least = {}
+    for x in root:
+        least[find(x)] = min(least.get(find(x), f"{x}"), f"{x}")
+    assert {int(r["node"]): bytes(r["root"]).decode() for r in graph_components.components(named).collect()} == {x: least[find(x)] for x in root}
     assert graph_components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
