@@ -30,53 +30,63 @@ def number(c: Column) -> Column:
     return F.when(text.isin("nan", "-nan"), F.lit(float("nan"))).otherwise(text.try_cast("double"))
 
 
+def _measures(r: Column, a: Column, name: str = "") -> list[Column]:
+    """Aggregates over the pairs of which both are numbers: n, max_abs, median_abs, p99_abs, max_rel, median_rel, p99_rel, pearson."""
+    both = ~F.isnan(r) & ~F.isnan(a)
+    gap = F.when(both, F.abs(a - r))
+    rel = F.when(both, F.abs(a - r) / F.greatest(F.abs(r), F.lit(1e-300)))
+    share = lambda c, q: F.percentile(c, q)
+    found = {
+        "n": F.count(gap), "max_abs": F.max(gap), "median_abs": share(gap, 0.5), "p99_abs": share(gap, 0.99), "max_rel": F.max(rel), "median_rel": share(rel, 0.5), "p99_rel": share(rel, 0.99),
+        "pearson": F.corr(F.when(both, r), F.when(both, a)),
+    }
+    return [c.alias(f"{name}{k}") for k, c in found.items()]
+
+
 def difference(pairs: DataFrame, reference: str, actual: str) -> DataFrame:
-    """One row: n, max_abs, median_abs, p99_abs, max_rel, median_rel, p99_rel, pearson; of the pairs that are numbers."""
-    pairs = pairs.select(number(F.col(reference)).alias("__r"), number(F.col(actual)).alias("__a")).where(~F.isnan("__r") & ~F.isnan("__a"))
-    r, a = F.col("__r"), F.col("__a")
-    gap = F.abs(a - r)
-    rel = gap / F.greatest(F.abs(r), F.lit(1e-300))
-    rows = pairs.select(r.alias("r"), a.alias("a"), gap.alias("gap"), rel.alias("rel"))
-    return rows.agg(
-        F.count("*").alias("n"), F.max("gap").alias("max_abs"), F.expr("percentile(gap, 0.5)").alias("median_abs"), F.expr("percentile(gap, 0.99)").alias("p99_abs"),
-        F.max("rel").alias("max_rel"), F.expr("percentile(rel, 0.5)").alias("median_rel"), F.expr("percentile(rel, 0.99)").alias("p99_rel"), F.corr("r", "a").alias("pearson"),
-    )
+    """One row: the measures of two columns."""
+    return pairs.select(number(F.col(reference)).alias("r"), number(F.col(actual)).alias("a")).agg(*_measures(F.col("r"), F.col("a")))
+
+
+def _near(r: Column, a: Column, rtol: float, atol: float) -> Column:
+    return F.coalesce(~F.isnan(a - r) & (F.abs(a - r) <= atol + rtol * F.abs(r)), F.lit(False)) | r.eqNullSafe(a)
 
 
 def compare_stats(reference: DataFrame, actual: DataFrame, tolerances: Tolerances | None = None) -> dict:
-    """Summary of two tables that have a ``row`` ordinal besides their columns.
+    """Summary of two tables that have a ``row`` ordinal besides their columns, from one aggregation over their join by row.
 
     status: ok, row_count_mismatch, missing_required_columns (an identity column), or identity_mismatch; with
     ``tolerances`` also passed.
     """
-    out: dict = {"status": "ok", "reference_rows": reference.count(), "actual_rows": actual.count(), "identity_mismatches": []}
-    verdict = lambda ok: out.update(passed=bool(ok and out.get("passed", True))) if tolerances else None
-    verdict(True)
-    if out["reference_rows"] != out["actual_rows"]:
-        verdict(False)
-        return out | {"status": "row_count_mismatch"}
-    lost = sorted(c for c in (*IDENTITY, *NUMERIC, *P_VALUES) if c not in reference.columns or c not in actual.columns)
+    shared = [c for c in (*IDENTITY, *NUMERIC, *P_VALUES) if c in reference.columns and c in actual.columns]
+    lost = sorted({*IDENTITY, *NUMERIC, *P_VALUES} - set(shared))
+    side = lambda df, mark: df.select("row", F.lit(True).alias(mark), *[(F.col(c) if c in IDENTITY else number(F.col(c))).alias(f"{mark}_{c}") for c in shared])
+    both = side(reference, "r").join(side(actual, "a"), "row", "full")
+    differs = F.lit(False)
+    for c in shared:
+        if c in IDENTITY:
+            differs = differs | ~F.col(f"r_{c}").eqNullSafe(F.col(f"a_{c}"))
+    numbers, measures = [c for c in shared if c not in IDENTITY], []
+    for c in numbers:
+        measures += _measures(F.col(f"r_{c}"), F.col(f"a_{c}"), f"{c}.")
+        if tolerances and c in NUMERIC:
+            measures.append(F.count_if(~_near(F.col(f"r_{c}"), F.col(f"a_{c}"), *tolerances.of(c))).alias(f"{c}.off"))
+    got = both.agg(F.count("r").alias("r"), F.count("a").alias("a"), F.count_if(differs).alias("differ"), *measures).first().asDict()
+    out: dict = {"status": "ok", "reference_rows": got["r"], "actual_rows": got["a"], "identity_mismatches": []}
     if lost:
         out["missing_columns"] = lost
-        verdict(False)
-        if set(lost) & set(IDENTITY):
-            return out | {"status": "missing_required_columns"}
-    both = reference.alias("r").join(actual.alias("a"), "row")
-    same = F.lit(True)
-    for c in IDENTITY:
-        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}"))
-    wrong = both.where(~same).orderBy("row").limit(20).collect()
-    if wrong:
-        verdict(False)
-        return out | {"status": "identity_mismatch", "identity_mismatches": [r["row"] for r in wrong]}
-    for c in (*NUMERIC, *P_VALUES):
-        if c in lost:
-            continue
-        out[c] = difference(both.select(F.col(f"r.{c}").alias("x"), F.col(f"a.{c}").alias("y")), "x", "y").first().asDict()
-        if tolerances and c in NUMERIC:
-            rtol, atol = tolerances.of(c)
-            x, y = number(F.col(f"r.{c}")), number(F.col(f"a.{c}"))
-            near = F.coalesce(~F.isnan(y - x) & (F.abs(y - x) <= atol + rtol * F.abs(x)), F.lit(False)) | x.eqNullSafe(y)
-            out[c]["passed"] = both.where(~near).isEmpty()
-            verdict(out[c]["passed"])
+    if got["r"] != got["a"]:
+        out["status"] = "row_count_mismatch"
+    elif set(lost) & set(IDENTITY):
+        out["status"] = "missing_required_columns"
+    elif got["differ"]:
+        out["status"] = "identity_mismatch"
+        out["identity_mismatches"] = [x["row"] for x in both.where(differs).orderBy("row").limit(20).collect()]
+    else:
+        for c in numbers:
+            out[c] = {k.split(".", 1)[1]: v for k, v in got.items() if k.startswith(f"{c}.") and not k.endswith(".off")}
+            if tolerances and c in NUMERIC:
+                out[c]["passed"] = got[f"{c}.off"] == 0
+    if tolerances:
+        out["passed"] = out["status"] == "ok" and not lost and all(out[c]["passed"] for c in NUMERIC)
     return out

@@ -656,7 +656,7 @@ def pca_rr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lmm_inf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed-model table of all mutations for the account balances."""
     k, y = _model(spark, sf_dir), _phenotype(spark, sf_dir)
-    fit = mixed_model.fit_variance(k, y)
+    fit = mixed_model.estimate_variances(k, y)
     calibration = mixed_model.calibrate(k, y, fit)
     return mixed_model.association(k, y, fit, calibration).select("mutation_id", "chrom", "a1freq", "chisq_linreg", "p_linreg", "beta", "se", "chisq_lmm", "p_lmm")
 

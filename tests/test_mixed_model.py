@@ -40,16 +40,16 @@ def test_mixed_model_against_dense_algebra(spark, panel):
     y = mixed_model.simulate_phenotype(k, 0.4)
     assert abs(y.mean()) < 1e-12 and y.std() == pytest.approx(1)
     np.testing.assert_array_equal(y, mixed_model.simulate_phenotype(k, 0.4))
-    fit = mixed_model.fit_variance(k, y, max_iter=500)
-    assert 0 < fit.h2 < 1 and fit.sigma_g2 > 0
+    fit = mixed_model.estimate_variances(k, y, max_iter=500)
+    assert 0 < fit.h2 < 1 and fit.genetic > 0 and fit.noise == pytest.approx(fit.ratio * fit.genetic)
     cal = mixed_model.calibrate(k, y, fit, count=8)
-    assert len(cal.chosen) == 8 <= cal.tried and cal.factor > 0
+    assert len(cal.table) == 8 <= cal.tried and cal.factor > 0
     py = k.project(y)
     for c in k.chromosomes:
         left = p["chrom"].to_numpy() != c
-        h = x[:, left] @ x[:, left].T / left.sum() + fit.delta * np.eye(k.n)
+        h = x[:, left] @ x[:, left].T / left.sum() + fit.ratio * np.eye(k.n)
         exact = k.project(np.linalg.solve(h, py))
-        assert np.linalg.norm(cal.residuals[c] - exact) < 2e-3 * np.linalg.norm(exact)
+        assert np.linalg.norm(cal.solved[c] - exact) < 2e-3 * np.linalg.norm(exact)
     table = mixed_model.association(k, y, fit, cal).toPandas().set_index("mutation_id")
     score = x.T @ py
     for j, m in enumerate(p["mutation_id"]):
@@ -58,16 +58,61 @@ def test_mixed_model_against_dense_algebra(spark, panel):
     bad = table[~table.index.isin(p["mutation_id"])]
     assert (bad["chisq_lmm"] == -1e9).all() and (bad["p_lmm"] == 1).all() and (bad["beta"] == 0).all() and bad["se"].isna().all()
     residuals = mixed_model.loco_residuals(k, y, fit)
-    assert set(residuals) == set(cal.residuals)
+    assert set(residuals) == set(cal.solved)
+
+
+def test_calibration_picks_are_those_of_one_stream(panel, monkeypatch):
+    """Against a plain walk through the random numbers, also where numbers must be drawn ahead again and again."""
+    from haplospark.functions.random_bits import Twister
+
+    k, p, x = panel
+    solved = k.project(np.random.default_rng(3).standard_normal(k.n))
+    fit = mixed_model.Variances(0.0, 1.0, 0.5, solved)
+    stat = dict(zip(p["global_idx"], (x.T @ solved) ** 2 / (solved @ solved) / (x * x).sum(0) * k.dim, strict=True))
+    monkeypatch.setattr(mixed_model, "OUTLIER", float(np.median(list(stat.values()))))
+    order, count = sorted(stat), 6
+    edges = [order[-(-b * len(order) // count)] for b in range(count)] + [k.variants.count()]
+    name, bits, want, tried = p.set_index("global_idx"), Twister(mixed_model.SEED + mixed_model.CALIBRATION_SEED), [], 0
+    for low, high in zip(edges, edges[1:], strict=False):
+        while True:
+            m = low + bits.below_2_30() % (high - low)
+            tried += m in stat
+            if m in stat and stat[m] < mixed_model.OUTLIER:
+                want.append((int(name.loc[m, "chrom"]), int(name.loc[m, "mutation_id"])))
+                break
+    assert mixed_model.pick_calibration(k, fit, count) == (want, tried)
+    monkeypatch.setattr(mixed_model, "AHEAD", 1)
+    assert mixed_model.pick_calibration(k, fit, count) == (want, tried)
+
+
+def test_search_for_the_ratio():
+    def at(f):
+        def attempt(x):
+            tried.append(x)
+            return mixed_model.Trial(x, np.array([1.0, 1.0, np.exp(f(x))]), np.ones(3), np.zeros(1), 0.0)
+
+        tried = []
+        return attempt, tried
+
+    attempt, tried = at(lambda x: 2 * x - 3)
+    assert mixed_model.search_ratio(attempt, 0.0, lambda t: 1.0).log_ratio == pytest.approx(1.5) and len(tried) <= 7
+    attempt, tried = at(lambda x: 1.0)  # flat: the first start
+    assert mixed_model.search_ratio(attempt, 0.25, lambda t: 0.75).log_ratio == 0.25 and len(tried) == 2
+    attempt, tried = at(lambda x: x - 0.001)  # a start is close enough
+    assert mixed_model.search_ratio(attempt, 5.0, lambda t: 0.0).log_ratio == 0.0 and len(tried) == 2
+    attempt, tried = at(lambda x: np.exp(x) + 1)  # no root: steps are bounded, and stay within the limits
+    assert -10 <= mixed_model.search_ratio(attempt, 0.0, lambda t: -1.0).log_ratio <= 10 and len(tried) <= 7
+    trial = mixed_model.Trial(0.0, np.array([1.0, 3.0, 8.0]), np.array([1.0, 1.0, 2.0]), np.zeros(1), 0.0)
+    assert trial.gap() == pytest.approx(np.log(4 / 2)) and trial.jackknife == pytest.approx([np.log(4 / 3), np.log(4)])
 
 
 def test_calibration_errors(panel):
     k, _, _ = panel
-    fit = mixed_model.VarianceFit(0.0, 1.0, 1.0, 0.5, np.ones(k.n))
+    fit = mixed_model.Variances(0.0, 1.0, 0.5, np.ones(k.n))
     with pytest.raises(ValueError, match="at least two"):
-        mixed_model.choose_calibration(k, fit, 1)
+        mixed_model.pick_calibration(k, fit, 1)
     with pytest.raises(ValueError, match="model variants"):
-        mixed_model.choose_calibration(k, fit, 10_000)
+        mixed_model.pick_calibration(k, fit, 10_000)
 
 
 def test_pca(spark):
