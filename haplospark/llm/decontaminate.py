@@ -127,9 +127,15 @@ def cut_words(text: Column, hits: Column) -> Column:
     """``text`` without the words in ``hits`` and the separators before each of them."""
     tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
     gone = F.flatten(F.transform(hits, lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))
-    every = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    kept = F.transform(F.array_except(every, gone), lambda i: F.element_at(tokens, i))  # by a hash set, in order
-    return F.concat(F.array_join(kept, ""), F.regexp_extract(text, _TAIL, 0))
+    # One element that holds both, so that neither is computed again for each word.
+    bound = F.array(F.struct(tokens.alias("tokens"), gone.alias("gone")))
+
+    def kept(x: Column) -> Column:
+        n = F.size(x["tokens"])
+        every = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.array_join(F.transform(F.array_except(every, x["gone"]), lambda i: F.element_at(x["tokens"], i)), "")  # by a hash set, in order
+
+    return F.concat(F.get(F.transform(bound, kept), F.lit(0)), F.regexp_extract(text, _TAIL, 0))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:

@@ -210,9 +210,9 @@ def masked(bodies: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     pieces = cut.select("key", "chunk", piece.alias("p")).groupBy("key", "chunk").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
     chunks = bodies.select("key", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s).{1,%d}" % CHUNK), F.lit(0))).alias("chunk", "c"))
     here = chunks.join(pieces, ["key", "chunk"], "left")
-    ends = F.concat(F.array(F.lit(0)), F.transform("pieces", lambda p: p["end"]))  # where each gap of the chunk begins
-    gaps = F.transform("pieces", lambda p, i: F.concat(F.substr("c", F.get(ends, i) + 1, p["start"] - F.get(ends, i)), F.when(p["lead"], F.lit(mask)).otherwise(F.lit(""))))
-    rest = F.substr("c", F.element_at(ends, -1) + 1, F.lit(CHUNK))
+    begin = lambda i: F.when(i > 0, F.get("pieces", i - 1)["end"]).otherwise(0)  # noqa: E731  (where a gap of the chunk begins)
+    gaps = F.transform("pieces", lambda p, i: F.concat(F.substr("c", begin(i) + 1, p["start"] - begin(i)), F.when(p["lead"], F.lit(mask)).otherwise(F.lit(""))))
+    rest = F.substr("c", F.element_at("pieces", -1)["end"] + 1, F.lit(CHUNK))
     shown = F.when(F.col("pieces").isNull(), F.col("c")).otherwise(F.concat(F.array_join(gaps, ""), rest))
     parts = here.select("key", "chunk", shown.alias("c")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "c"))).alias("parts"))
     return parts.select("key", F.array_join(F.transform("parts", lambda p: p["c"]), "").alias("masked"))

@@ -81,6 +81,18 @@ def test_decontaminated_documents(leaks, nothing):
     assert decontaminate.decontaminate(docs, items.limit(0)).count() == docs.count()
 
 
+def test_words_are_cut_in_linear_time(spark):
+    """A text of 400,000 words with a hit of 13 words in every 20."""
+    item = prose(900, 13).split()[:13]
+    text = " ".join(f"{' '.join(item)} {' '.join(f'w{k}x{j}' for j in range(7))}" for k in range(20_000))
+    docs = spark.createDataFrame([(0, text)], "doc_id bigint, text string")
+    hits = F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda k: F.struct((k * 20 + 1).alias("pos"), F.lit(13).alias("len")))
+    began = time.perf_counter()
+    got = docs.select(decontaminate.cut_words(F.col("text"), hits).alias("t")).first()[0]
+    assert time.perf_counter() - began < 20
+    assert got.split() == [f"w{k}x{j}" for k in range(20_000) for j in range(7)]
+
+
 # --- URL filters
 
 RULES = queries.URL_RULES
