@@ -73,6 +73,27 @@ def stored(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     return out
 
 
+class Levels:
+    """A stored table that grows by one level at a time, each in a folder of its own."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.schema = spark, schema
+        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def add(self, level: int, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.path}/level={level}")
+        return self.of([level])
+
+    def of(self, levels: list[int]) -> DataFrame:
+        """The rows of these levels."""
+        read = self.spark.read.schema(self.schema)
+        return read.parquet(*[f"{self.path}/level={k}" for k in levels]) if levels else self.spark.createDataFrame([], self.schema)
+
+    def every(self) -> DataFrame:
+        """All rows, and their level."""
+        return self.spark.read.schema(f"{self.schema}, level int").option("basePath", self.path).parquet(self.path)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables that ``stored`` wrote; others, and those that are gone, are left alone."""
     for t in tables:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haplospark.operators.genotypes import dosages
 from haplospark.operators.graph import GraphDataset
 from haplospark.operators.traverse import down, traverse
 
@@ -40,6 +41,22 @@ def dosage_squares(graph: GraphDataset) -> DataFrame:
     return got.select(F.col("id").alias("mutation_id"), "value")
 
 
+def dosage_sums(graph: GraphDataset) -> DataFrame:
+    """variant_id, sum, sumsq, missing (0) of the mutations that have a carrier, without the matrix.
+
+    Sums come from one traversal; squares of mutations with one node from coalescence counts, and only mutations of several nodes
+    (all, where there are no counts) are written out.
+    """
+    nodes = graph.mut_node.groupBy("mutation_id").agg(F.count("*").alias("n"))
+    several = nodes.where("n > 1" if graph.meta.has_coalescence else "n > 0").select("mutation_id")
+    walked = dosages(graph, several).groupBy("variant_id").agg(F.sum(F.col("dosage") * F.col("dosage")).alias("value")).withColumnRenamed("variant_id", "mutation_id")
+    squares = walked
+    if graph.meta.has_coalescence:
+        squares = walked.unionByName(dosage_squares(graph).join(nodes.where("n = 1").select("mutation_id"), "mutation_id").select("mutation_id", "value"))
+    sums = traverse(graph, ones(graph), "up", sparse=True).values.select(F.col("id").alias("mutation_id"), F.round("value").cast("bigint").alias("sum"))
+    return sums.join(squares, "mutation_id").select(F.col("mutation_id").alias("variant_id"), "sum", F.round("value").cast("bigint").alias("sumsq"), F.lit(0).cast("bigint").alias("missing"))
+
+
 def up_imputed(graph: GraphDataset, operand: DataFrame, freqs: DataFrame, by_individual: bool = False) -> DataFrame:
     """V times X with missing entries set to the frequency: the plain product plus frequency times the missingness output."""
     got = traverse(graph, operand, "up", by_individual=by_individual, miss=True)

@@ -9,12 +9,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haplospark.checkpoints import stored
+from haplospark.checkpoints import Levels, release, stored
 from haplospark.operators.kernel import Structure, node_levels
 
 #: Up to so many edges levels are found in one task, in one pass; beyond, level by level with joins.
 ONE_TASK_EDGES = 5_000_000
-MAX_HEIGHT = 10_000
 
 
 @dataclass(frozen=True)
@@ -59,6 +58,15 @@ class GraphDataset:
         nnz = self.edges.groupBy("dst_level", "src_level").agg(F.count("*").alias("nnz"))
         return pairs.join(nnz, ["dst_level", "src_level"], "left").select("dst_level", "src_level", "nrows", "ncols", F.coalesce("nnz", F.lit(0)).cast("bigint").alias("nnz"))
 
+    @cached_property
+    def level_pairs(self) -> list[tuple[int, int]]:
+        """(dst_level, src_level) of the level pairs that have edges."""
+        return sorted((r[0], r[1]) for r in self.edges.select("dst_level", "src_level").distinct().collect())
+
+    @cached_property
+    def selector_entries(self) -> int:
+        return self.mut_node.count() + self.miss_node.count()
+
     @cached_property
     def selector_stats(self) -> DataFrame:
         """level, mut_nnz, miss_nnz of every level."""
@@ -118,22 +126,33 @@ def levels(edges: DataFrame, num_nodes: int, num_edges: int) -> DataFrame:
 
 
 def _levels_by_joins(edges: DataFrame, num_nodes: int) -> DataFrame:
-    """A node is settled one round after the last of its children: each round takes the settled ones' edges off."""
+    """A node is settled one round after the last of its children.
+
+    Each round takes up the edges above the nodes just settled, and no others: edges lie ordered by child, so that a
+    range of ids is read.  Of a node with some children settled only their number is kept; it is settled when that is all of them.
+    """
     spark = edges.sparkSession
-    left = stored(edges.select("parent", "child"), "edges")
-    nodes = spark.range(num_nodes).withColumnRenamed("id", "node_id")
-    front = stored(nodes.join(left.select(F.col("parent").alias("node_id")), "node_id", "left_anti"), "front")
-    done = front.withColumn("level", F.lit(0))
-    for level in range(1, MAX_HEIGHT):
-        parents = stored(left.join(front, left["child"] == front["node_id"]).select("parent").distinct(), "touched")
-        left = stored(left.join(front.withColumnRenamed("node_id", "child"), "child", "left_anti"), "edges")
-        front = stored(parents.join(left.select("parent").distinct(), "parent", "left_anti").withColumnRenamed("parent", "node_id"), "front")
-        if front.isEmpty():
-            if not left.isEmpty():
-                raise ValueError("the graph has a cycle")
-            return done.select("node_id", F.col("level").cast("int").alias("level"))
-        done = done.unionByName(front.withColumn("level", F.lit(level)))
-    raise ValueError(f"the graph is higher than {MAX_HEIGHT} levels")
+    by_child = stored(edges.select("parent", "child").repartitionByRange("child").sortWithinPartitions("child"), "edges")
+    degree = stored(by_child.groupBy("parent").agg(F.count("*").alias("degree")).repartitionByRange("parent").sortWithinPartitions("parent"), "degrees")
+    found = Levels(spark, "levels", "node_id bigint")
+    front = found.add(0, spark.range(num_nodes).withColumnRenamed("id", "node_id").join(degree.select(F.col("parent").alias("node_id")), "node_id", "left_anti"))
+    level, begun, settled = 0, None, 0
+    while True:
+        span = front.agg(F.count("*").alias("n"), F.min("node_id").alias("low"), F.max("node_id").alias("high")).first()
+        if not span["n"]:
+            break
+        settled, level = settled + span["n"], level + 1
+        above = by_child.where(F.col("child").between(span["low"], span["high"])).join(front.withColumnRenamed("node_id", "child"), "child")
+        touched = above.groupBy("parent").agg(F.count("*").alias("seen"))
+        counted = touched if begun is None else touched.unionByName(begun).groupBy("parent").agg(F.sum("seen").alias("seen"))
+        counted = stored(counted.join(degree, "parent"), "counted", begun)
+        begun = stored(counted.where("seen < degree").select("parent", "seen"), "begun")
+        front = found.add(level, counted.where("seen = degree").select(F.col("parent").alias("node_id")))
+        release(counted)
+    release(by_child, degree, begun)
+    if settled != num_nodes:
+        raise ValueError("the graph has a cycle")
+    return found.every()
 
 
 def compile_graph(
@@ -178,7 +197,8 @@ def compile_graph(
     nodes = stored(nodes.select("node_id", "level", "pos", "is_sample", "coal_count"), "nodes")
     own = nodes.select(F.col("node_id").alias("id"), F.col("level").alias("l"))
     linked = edges.join(own.select(F.col("id").alias("parent"), F.col("l").alias("dst_level")), "parent").join(own.select(F.col("id").alias("child"), F.col("l").alias("src_level")), "child")
-    linked = stored(linked.select("parent", "child", "dst_level", "src_level"), "edges")
+    # By ranges of level pairs: a traversal's level reads its own files, and a pair of very many edges is in several.
+    linked = stored(linked.select("parent", "child", "dst_level", "src_level").repartitionByRange("dst_level", "src_level", "child").sortWithinPartitions("dst_level", "src_level", "child"), "edges")
     rows = mutation_rows.select(*[F.col(c).cast("bigint").alias(c) for c in ("mutation_id", "node_id", "miss_node_id")])
     _require(rows.where(F.col("mutation_id").isNull() | (F.col("mutation_id") < 0)), "a mutation without a number")
     _require(rows.where(~inside("node_id") | ~inside("miss_node_id")), "a mutation's node is not in the graph")

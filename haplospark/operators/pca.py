@@ -15,7 +15,7 @@ from haplospark.operators.frequency import allele_frequencies, standardised_gram
 from haplospark.operators.graph import GraphDataset
 from haplospark.operators.relatedness import Relatedness
 from haplospark.operators.traverse import to_array, to_vectors
-from haplospark.plans.strategy import Strategy, choose
+from haplospark.plans.strategy import Strategy, choose, vectors_at_once
 
 SOLVERS: dict[str, Callable] = {"randomized": solvers.randomized, "lanczos": solvers.lanczos, "lobpcg": solvers.lobpcg}
 #: Up to so many columns a matrix is decomposed as it is.
@@ -33,14 +33,16 @@ def gram_operator(graph: GraphDataset) -> solvers.Apply:
     """v (mutations x k) -> XᵀX v; one Spark job a call, every column a task where the graph fits a worker."""
     freqs = stored(allele_frequencies(graph), "freqs")
     spark, m = graph.nodes.sparkSession, graph.meta.num_mutations
-    if choose(graph.meta) is not Strategy.KERNEL:
+    if choose(graph.meta, selector_entries=graph.selector_entries) is not Strategy.KERNEL:
         return lambda v: to_array(standardised_gram(graph, to_vectors(spark, np.ascontiguousarray(v.T)), freqs), v.shape[1], m).T
     f = freqs.toPandas().set_index("mutation_id").reindex(range(m))
     sent = spark.sparkContext.broadcast((graph.structure, *(f[c].to_numpy(float) for c in ("freq", "center", "sigma"))))
 
+    most = vectors_at_once(graph.meta, selector_entries=graph.selector_entries)
+
     def run(frames):
         structure, freq, center, sigma = sent.value
-        for part in frames:
+        for part in (whole.iloc[j : j + most] for whole in frames for j in range(0, len(whole), most)):
             w = np.stack([np.frombuffer(b, float) for b in part["v"]]) / sigma
             h = structure.down(w, miss=freq * w, by_individual=True) - (w @ center)[:, None]
             seen, missing = structure.up(h, by_individual=True)

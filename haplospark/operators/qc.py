@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haplospark.checkpoints import stored
+
 #: A variant takes part in a model only if its projected norm is at least this.
 MIN_PROJECTED_NORM = 0.1
 #: Covariate entries that stand for a missing value.
@@ -14,6 +19,8 @@ MISSING_TOKENS = ("-9", "NA")
 MAX_LEVELS = 10
 #: Singular values below this share of the largest do not count.
 RANK_CUT = 1e-8
+#: Tasks that put factors of partitions together.
+FACTORS = 16
 
 
 def unique_id(chrom: Column, bp: Column, allele1: Column, allele0: Column) -> Column:
@@ -45,38 +52,52 @@ def match_variants(bim: DataFrame, mutations: DataFrame, also_repeated: DataFram
     return found.select("chrom", "snp_id", "bp", "allele1", "allele0", "row", "mutation_id", unique_id(F.col("chrom"), F.col("bp"), F.col("allele1"), F.col("allele0")).alias("unique_id"))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` and ``name``: their place in the order, from 0.  Sorted by range, with each part's number of rows added up: no window over everything."""
+    part, here = "__part", "__at"
+    dealt = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(here, F.monotonically_increasing_id()), "numbered")
+    per = dealt.groupBy(part).agg(F.count("*").alias("__n"), F.min(here).alias("__first"))
+    starts = per.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # a row for each part
+    return dealt.join(F.broadcast(starts), part).withColumn(name, (F.col("__start") + F.col(here) - F.col("__first")).cast("bigint")).drop(part, here, "__first", "__start")
+
+
 def global_index(variants: DataFrame, chrom: str = "chrom", row: str = "row", name: str = "global_idx") -> DataFrame:
-    """``variants`` and ``name``: the place by (chrom, row), from 0.
+    """``variants`` and ``name``: the place by (chrom, row), from 0."""
+    return numbered(variants, [chrom, row], name)
 
-    Places are counted within each chromosome; the chromosomes' starts are a running sum over one row for each.
-    """
-    per = variants.groupBy(chrom).agg(F.count("*").alias("__n"))
-    start = per.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy(chrom).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(chrom, "__start")
-    own = F.row_number().over(Window.partitionBy(chrom).orderBy(row)) - 1
-    return variants.join(F.broadcast(start), chrom).withColumn(name, (F.col("__start") + own).cast("bigint")).drop("__start")
 
+def sample_variants(variants: DataFrame, count: int, seed: int, keep: Column | None = None, key: str = "row", batch: int = 1000) -> DataFrame:
+    """``count`` rows that ``keep`` holds for, in a seeded random order without replacement: batches of the order are looked at until enough are found.
 
-def sample_variants(variants: DataFrame, count: int, seed: int, key: str = "row") -> DataFrame:
-    """``count`` rows in a seeded random order without replacement; fewer are an error."""
-    chosen = variants.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(count)
-    if chosen.count() < count:
-        raise ValueError(f"fewer than {count} variants to choose from")
-    return chosen
+    ``keep`` may be costly (a lookup, a statistic): rows behind the last batch are not asked.  Too few rows are an error.
+    """
+    order = stored(variants.select(key, F.xxhash64(F.lit(seed), F.col(key)).alias("__h")).orderBy("__h", key), "order")
+    ordered, total = numbered(order, ["__h", key], "__turn"), variants.count()
+    done, found, step = 0, None, max(batch, count)
+    while done < total:
+        here = variants.join(ordered.where((F.col("__turn") >= done) & (F.col("__turn") < done + step)), key)
+        kept = stored(here if keep is None else here.where(keep), "sampled")
+        found = kept if found is None else stored(found.unionByName(kept), "sampled", found, kept)
+        if found.count() >= count:
+            return found.orderBy("__turn").limit(count).drop("__h", "__turn")
+        done, step = done + step, step * 2
+    raise ValueError(f"fewer than {count} variants to choose from")
 
 
 def contiguous_runs(rows: DataFrame, row: str = "row", by: list[str] | None = None) -> DataFrame:
     """first, last, n of each run of consecutive numbers, within ``by``."""
     keys = by or []
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(row)) if keys else F.row_number().over(Window.orderBy(row))
-    return rows.withColumn("__island", F.col(row) - place).groupBy(*keys, "__island").agg(F.min(row).alias("first"), F.max(row).alias("last"), F.count("*").alias("n")).drop("__island")
+    placed = numbered(rows.select(*keys, row), [*keys, row], "__place")
+    islands = placed.groupBy(*keys, (F.col(row) - F.col("__place")).alias("__island")).agg(F.min(row).alias("first"), F.max(row).alias("last"), F.count("*").alias("n"))
+    return islands.drop("__island")
 
 
 def calibration_blocks(variants: DataFrame, blocks: int, order: str = "global_idx", is_model: str = "is_model") -> DataFrame:
     """The model variants with their block: of the running count m (from 0) of model variants, floor(blocks * m / count).
 
-    The running count is a place within the chromosome plus the chromosomes before it (as in ``global_index``).
+    The running count is a place in the order (as in ``global_index``).
     """
-    model = global_index(variants.where(is_model), row=order, name="__m")
+    model = numbered(variants.where(is_model), [order], "__m")
     total = model.agg(F.count("*")).first()[0]
     return model.withColumn("block", F.floor(F.lit(blocks) * F.col("__m") / F.lit(max(total, 1))).cast("int")).drop("__m")
 
@@ -85,8 +106,13 @@ def snp_stats(genotypes: DataFrame, num_individuals: int) -> DataFrame:
     """Of ``genotypes(variant_id, individual_id, dosage)``, where absent rows are dosage 0 and null is a missing call:
     variant_id, sum, sumsq, missing, mean, mean_center_norm2, norm_scale, a1freq."""
     g = F.col("dosage")
-    n = F.lit(float(num_individuals))
     sums = genotypes.groupBy("variant_id").agg(F.coalesce(F.sum(g), F.lit(0)).cast("bigint").alias("sum"), F.coalesce(F.sum(g * g), F.lit(0)).cast("bigint").alias("sumsq"), F.count_if(g.isNull()).alias("missing"))
+    return stats_of_sums(sums, num_individuals)
+
+
+def stats_of_sums(sums: DataFrame, num_individuals: int) -> DataFrame:
+    """The same from ``sums(variant_id, sum, sumsq, missing)``."""
+    n = F.lit(float(num_individuals))
     centred = F.col("sumsq") - F.col("sum") * F.col("sum") / n
     return sums.select(
         "variant_id", "sum", "sumsq", "missing", (F.col("sum") / n).alias("mean"), centred.alias("mean_center_norm2"),
@@ -176,13 +202,38 @@ def project(basis: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return vectors - basis @ (basis.T @ vectors)
 
 
-def basis_from_gram(table: DataFrame, names: list[str], key: str = "individual_id") -> DataFrame:
-    """individual_id, q: the orthonormal basis of tall covariate columns, from their small Gram matrix; rows stay distributed."""
-    pairs = [F.sum(F.col(f"`{a}`") * F.col(f"`{b}`")).alias(f"g{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    got = table.agg(*pairs).first()
-    gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))], float)
-    values, vectors = np.linalg.eigh(gram)
-    keep = values >= values[-1] * RANK_CUT
-    turn = vectors[:, keep] / np.sqrt(values[keep])
-    columns = [sum((F.col(f"`{n}`") * F.lit(float(w)) for n, w in zip(names, turn[:, k], strict=True)), F.lit(0.0)) for k in range(turn.shape[1])]
-    return table.select(key, F.array(*columns).alias("q"))
+def _upper_factor(table: DataFrame, names: list[str]) -> np.ndarray:
+    """R of a QR decomposition of tall columns: each partition's own, put together in a few tasks, then here."""
+    width = len(names)
+
+    def reduced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = np.zeros((0, width))
+        for f in frames:
+            rows = [np.frombuffer(b, float).reshape(-1, width) for b in f["r"]] if "r" in f.columns else [f.to_numpy(float)]
+            for x in rows:
+                r = np.linalg.qr(np.vstack([r, x]), mode="r")
+        yield pd.DataFrame({"r": [np.ascontiguousarray(r).tobytes()]})
+
+    parts = table.select(*[F.col(f"`{n}`").cast("double").alias(f"c{k}") for k, n in enumerate(names)]).mapInPandas(reduced, "r binary")
+    few = parts.repartition(FACTORS).mapInPandas(reduced, "r binary").collect()
+    return np.linalg.qr(np.vstack([np.frombuffer(x["r"], float).reshape(-1, width) for x in few]), mode="r")
+
+
+def covariate_basis(table: DataFrame, names: list[str], key: str = "individual_id") -> DataFrame:
+    """individual_id, q: the orthonormal basis of tall covariate columns; rows stay distributed.
+
+    Singular values are those of the columns' upper factor, so the cut is the same as in ``orthonormal_basis``; a second
+    factor, of the turned columns, makes them orthonormal to the last digits.
+    """
+    _, values, vectors = np.linalg.svd(_upper_factor(table, names), full_matrices=False)
+    keep = values >= values[0] * RANK_CUT if len(values) and values[0] > 0 else np.zeros(len(values), bool)
+    turned = _turned(table, key, names, vectors[keep].T / values[keep])
+    columns = [f"q{k}" for k in range(int(keep.sum()))]
+    again = np.linalg.inv(_upper_factor(turned, columns)) if columns else np.zeros((0, 0))
+    return _turned(turned, key, columns, again).select(key, F.array(*columns).cast("array<double>").alias("q"))
+
+
+def _turned(table: DataFrame, key: str, names: list[str], turn: np.ndarray) -> DataFrame:
+    """``key`` and q0, q1, ...: the columns times ``turn``."""
+    product = lambda w: sum((F.col(f"`{n}`") * F.lit(float(x)) for n, x in zip(names, w, strict=True)), F.lit(0.0))
+    return table.select(key, *[product(turn[:, k]).alias(f"q{k}") for k in range(turn.shape[1])])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from haplospark.operators.graph import GraphDataset
 from haplospark.operators.qc import is_model_variant, project
 from haplospark.operators.traverse import down, to_array, to_vectors, up
-from haplospark.plans.strategy import Strategy, choose
+from haplospark.plans.strategy import Strategy, choose, vectors_at_once
 
 
 @dataclass(eq=False)
@@ -117,7 +117,7 @@ class Relatedness:
         k = v.shape[1]
         left = list(without) if without is not None else [None] * k
         active = np.array([self.num_model - (self._totals.get(c, (0, 0))[0] if c is not None else 0) for c in left], float)
-        if (self.strategy or choose(self.graph.meta)) is Strategy.KERNEL:
+        if (self.strategy or choose(self.graph.meta, selector_entries=self.graph.selector_entries)) is Strategy.KERNEL:
             raw = self._apply_in_tasks(v, left)
         else:
             skip = self._spark.createDataFrame([(j, c) for j, c in enumerate(left)], "row int, skip int")
@@ -127,11 +127,12 @@ class Relatedness:
 
     def _apply_in_tasks(self, v: np.ndarray, left: list[int | None]) -> np.ndarray:
         sent, k = self._sent, v.shape[1]
+        most = vectors_at_once(self.graph.meta, selector_entries=self.graph.selector_entries)
         skip = [-2 if c is None else int(c) for c in left]
 
         def run(frames):
             structure, chrom, mean, scale = sent.value
-            for f in frames:
+            for f in (whole.iloc[j : j + most] for whole in frames for j in range(0, len(whole), most)):
                 x = np.stack([np.frombuffer(b, float) for b in f["v"]])
                 use = scale * (chrom[None, :] != f["skip"].to_numpy()[:, None])
                 score, _ = structure.up(x, by_individual=True)

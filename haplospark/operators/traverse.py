@@ -5,8 +5,10 @@ sample), ``up`` gives V·X and ``down`` V·Xᵀ for any number of vectors at onc
 (row, id, value); absent ids are 0, results are dense (zeros included).  Two strategies, which agree:
 
 * kernel: one task per group of vectors, arrays broadcast (only where ``plans.strategy`` finds that they fit a worker);
-* levels: for each level pair that has edges, a join and an aggregation, for graphs of any size.  Level tables are written
-  to the shared folder, so lineage stays short and lost executors cost a read.
+* levels: for each level, one join of all edges into it with the values of the levels that they come from, and one aggregation, for graphs of
+  any size.  Level tables are written to the shared folder, so lineage stays short and lost executors cost a read.
+
+Dense results are as large as ids times rows; ``sparse=True`` leaves zeros out, and needs no such grid.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haplospark.checkpoints import stored
+from haplospark.checkpoints import Levels, stored
 from haplospark.operators.graph import GraphDataset, individual
 from haplospark.plans.strategy import WORKER_BYTES, Strategy, choose
 from haplospark.schema import VECTOR, Direction, InitMode
@@ -35,10 +37,13 @@ class Spec:
     init: InitMode = InitMode.NONE
     emit_all_nodes: bool = False
     miss: bool = False
+    sparse: bool = False
 
     def checked(self, graph: GraphDataset) -> Spec:
         if self.emit_all_nodes and self.miss:
             raise ValueError("all nodes cannot be returned together with missingness")
+        if self.sparse and self.init is not InitMode.NONE:
+            raise ValueError("with an init hardly any value is zero: no sparse result")
         if self.miss and self.init is not InitMode.NONE:
             raise ValueError("an init and missingness exclude each other")
         if self.init is InitMode.XTX and not graph.meta.has_coalescence:
@@ -101,7 +106,7 @@ class PreparedTraversal:
                 raise TypeError("init must be a DataFrame")
             init = init.select(F.col("row").cast("int").alias("row"), (F.col("id").cast("bigint") if spec.init is InitMode.MATRIX else F.lit(-1).cast("bigint")).alias("id"), F.col("value").cast("double").alias("value"))
         miss = _vector(miss, "miss") if miss is not None else None
-        strategy = self.strategy or choose(g.meta, WORKER_BYTES)
+        strategy = self.strategy or choose(g.meta, WORKER_BYTES, g.selector_entries)
         return (_by_kernel if strategy is Strategy.KERNEL else _by_levels)(g, spec, operand, init, miss)
 
 
@@ -123,9 +128,10 @@ def traverse(
     emit_all_nodes: bool = False,
     miss: DataFrame | bool | None = None,
     strategy: Strategy | None = None,
+    sparse: bool = False,
 ) -> Result:
-    """One traversal.  ``miss``: True (UP: also return the missingness output), or for DOWN a table by mutation."""
-    spec = Spec(Direction.parse(direction), by_individual, InitMode.parse(init_mode), emit_all_nodes, miss is not None and miss is not False)
+    """One traversal.  ``miss``: True (UP: also return the missingness output), or for DOWN a table by mutation; ``sparse``: without zeros."""
+    spec = Spec(Direction.parse(direction), by_individual, InitMode.parse(init_mode), emit_all_nodes, miss is not None and miss is not False, sparse)
     return prepare(graph, spec, strategy)(operand, init, miss if isinstance(miss, DataFrame) else None)
 
 
@@ -210,6 +216,7 @@ def _by_kernel(graph: GraphDataset, spec: Spec, operand: DataFrame, init: DataFr
         return pd.concat([out.assign(missing=False), pd.DataFrame({"row": frame["row"].iloc[0], "id": np.arange(len(missing)), "value": missing, "missing": True})])
 
     out = rows.groupBy("row").applyInPandas(run, VECTOR + ", missing boolean")
+    out = out.where("value <> 0") if spec.sparse else out
     if not spec.miss or spec.direction is Direction.DOWN:
         return Result(out.drop("missing"))
     out = stored(out, "traversal")
@@ -256,23 +263,24 @@ def _by_levels(graph: GraphDataset, spec: Spec, operand: DataFrame, init: DataFr
     shortcut = spec.init in (InitMode.VECTOR, InitMode.XTX) and not spec.emit_all_nodes and graph.bias is not None
     rows = stored(operand.select("row").distinct(), "rows")
     seeds = stored(_seeds(graph, spec, operand, init, miss, not shortcut).join(graph.nodes.select("node_id", "level"), "node_id"), "seeds")
-    pairs = [(r["dst_level"], r["src_level"]) for r in graph.edges.groupBy("dst_level", "src_level").agg(F.count("*")).collect()]  # one row for each level pair
     upward = spec.direction is Direction.UP
-    near, far, order = ("child", "parent", range(graph.meta.height + 1)) if upward else ("parent", "child", range(graph.meta.height, -1, -1))
+    near, far, to, order = ("child", "parent", "dst_level", range(graph.meta.height + 1)) if upward else ("parent", "child", "src_level", range(graph.meta.height, -1, -1))
     sources: dict[int, list[int]] = {}
-    for dst, src in pairs:
+    for dst, src in graph.level_pairs:
         sources.setdefault(dst if upward else src, []).append(src if upward else dst)
-    value: dict[int, DataFrame] = {}
+    held = Levels(seeds.sparkSession, "values", "row int, node_id bigint, value double")
     for level in order:
-        parts = [seeds.where(F.col("level") == level).select("row", "node_id", "value")]
-        for other in sorted(sources.get(level, [])):
-            dst, src = (level, other) if upward else (other, level)
-            block = graph.edges.where((F.col("dst_level") == dst) & (F.col("src_level") == src)).select(F.col(near).alias("node_id"), F.col(far).alias("to"))
-            parts.append(value[other].join(block, "node_id").select("row", F.col("to").alias("node_id"), "value"))
-        value[level] = stored(_added(_union(parts)), f"level{level}")
-    every = _union(list(value.values()))
+        here = seeds.where(F.col("level") == level).select("row", "node_id", "value")
+        if level in sources:
+            into = graph.edges.where(F.col(to) == level).select(F.col(near).alias("node_id"), F.col(far).alias("to"))
+            pushed = held.of(sources[level]).join(into, "node_id").select("row", F.col("to").alias("node_id"), "value")
+            here = _added(here.unionByName(pushed))
+        held.add(level, here)
+    every = held.every().select("row", "node_id", "value")
 
     def dense(found: DataFrame, ids: DataFrame) -> DataFrame:
+        if spec.sparse:
+            return found.select("row", "id", "value").where("value <> 0")
         grid = ids.crossJoin(F.broadcast(rows))  # the size of the result
         return grid.join(found, ["row", "id"], "left").select("row", "id", F.coalesce("value", F.lit(0.0)).alias("value"))
 

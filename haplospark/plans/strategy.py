@@ -30,5 +30,11 @@ def vector_bytes(meta: Meta) -> int:
     return 8 * (2 * meta.num_nodes + meta.num_samples + 2 * meta.num_mutations)
 
 
-def choose(meta: Meta, budget: int = WORKER_BYTES) -> Strategy:
-    return Strategy.KERNEL if structure_bytes(meta) + 2 * vector_bytes(meta) <= budget else Strategy.LEVELS
+def choose(meta: Meta, budget: int = WORKER_BYTES, selector_entries: int | None = None, vectors: int = 1) -> Strategy:
+    """``vectors``: how many a task holds at once."""
+    return Strategy.KERNEL if structure_bytes(meta, selector_entries) + 2 * vectors * vector_bytes(meta) <= budget else Strategy.LEVELS
+
+
+def vectors_at_once(meta: Meta, budget: int = WORKER_BYTES, selector_entries: int | None = None) -> int:
+    """How many vectors a worker may hold beside the arrays, at least one."""
+    return max(1, (budget - structure_bytes(meta, selector_entries)) // (2 * vector_bytes(meta)))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haplospark import fixture
+from haplospark.checkpoints import stored
 from haplospark.operators import compare, frequency, genotypes, mixed_model, pca, qc
 from haplospark.operators.graph import GraphDataset
 from haplospark.operators.many import traverse_many
@@ -394,15 +395,8 @@ _X = f"""{_GRAPH},
 x AS (SELECT mut.m AS v, CAST(floor(reach.bottom / 2) AS BIGINT) AS i, count(*) AS g FROM mut JOIN reach ON reach.top = mut.node CROSS JOIN k WHERE reach.bottom < k.s GROUP BY mut.m, CAST(floor(reach.bottom / 2) AS BIGINT))"""
 
 
-@query(f"{_X} SELECT v AS variant_id, i AS individual_id, CAST(g AS BIGINT) AS dosage FROM x WHERE v % 10 = 3")
-def explicit_dosages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix of every tenth mutation only; ``explicit_dosages_all`` has the whole one."""
-    g = fixture.graph(spark, sf_dir)
-    return genotypes.dosages(g, g.mutation_ids.where("mutation_id % 10 = 3")).select("variant_id", "individual_id", F.col("dosage").cast("bigint").alias("dosage"))
-
-
 @query(f"{_X} SELECT v AS variant_id, i AS individual_id, CAST(g AS BIGINT) AS dosage FROM x")
-def explicit_dosages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def explicit_dosages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole matrix, every mutation, written out."""
     return genotypes.dosages(fixture.graph(spark, sf_dir)).select("variant_id", "individual_id", F.col("dosage").cast("bigint").alias("dosage"))
 
@@ -478,6 +472,28 @@ def contiguous_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.contiguous_runs(rows, by=["chrom"])
 
 
+@query("""
+WITH z AS (SELECT s_suppkey AS i, s_suppkey * 1.0E0 AS a, CAST(s_suppkey % 3 AS DOUBLE) AS b FROM supplier),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb FROM z),
+c AS (SELECT i, a - ma AS a, b - mb AS b FROM z CROSS JOIN m),
+t AS (SELECT sum(a * b) / sum(a * a) AS t FROM c),
+e AS (SELECT i, a, b - t * a AS r FROM c CROSS JOIN t),
+y AS (SELECT p_partkey AS v, s_suppkey AS i, CAST((p_partkey * s_suppkey) % 5 AS DOUBLE) AS y FROM part CROSS JOIN supplier),
+s AS (
+  SELECT y.v, sum(y * y) - sum(y) * sum(y) / count(*) - power(sum(y * e.a), 2) / (SELECT sum(a * a) FROM e) - power(sum(y * e.r), 2) / (SELECT sum(r * r) FROM e) AS p
+  FROM y JOIN e ON e.i = y.i GROUP BY y.v)
+SELECT v AS variant_id, round(greatest(p, 0.0E0), 4) + 0.0 AS proj_norm2 FROM s""")
+def projected_norms_of_close_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two covariates that differ by a millionth of a third: all count, so norms are those outside the constant and both directions."""
+    key, n = F.col("s_suppkey"), fixture.read(spark, sf_dir, "supplier").count()
+    people = fixture.read(spark, sf_dir, "supplier").select(key.alias("individual_id"), key.alias("a"), (key + 1e-6 * (key % 3)).alias("b"))
+    table, names = qc.covariate_columns(people, [], ["a", "b"])
+    each = fixture.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("variant_id")).crossJoin(people.select("individual_id"))  # the matrix itself
+    calls = each.withColumn("dosage", (F.col("variant_id") * F.col("individual_id")) % 5)
+    found = qc.projected_norms(calls, qc.covariate_basis(table, names), qc.snp_stats(calls, n))
+    return found.select("variant_id", (F.round("proj_norm2", 4) + F.lit(0.0)).alias("proj_norm2"))
+
+
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genotype calls by supplier (as individuals) and part (as variants), some of them missing."""
     rows = fixture.read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_linenumber").alias("k"))
@@ -508,30 +524,23 @@ def projected_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = fixture.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("individual_id"), (F.col("s_suppkey") % 4).alias("group"))
     table, names = qc.covariate_columns(people, ["group"], [])
     calls = _calls(spark, sf_dir)
-    found = qc.projected_norms(calls, qc.basis_from_gram(table, names), qc.snp_stats(calls, people.count()))
+    found = qc.projected_norms(calls, qc.covariate_basis(table, names), qc.snp_stats(calls, people.count()))
     return found.select("variant_id", (F.round("proj_norm2", 5) + F.lit(0.0)).alias("proj_norm2"))
 
 
 # --- association ----------------------------------------------------------------------------------------------------
 
 
-def _even(m: Column) -> Column:
-    return m % 2 == 0
-
-
-def _model(spark: SparkSession, sf_dir: str, keep: Callable[[Column], Column] | None = None) -> Relatedness:
-    """The relatedness of the customers from all parts, or those that ``keep`` chooses as a panel; the constant is the only covariate."""
+def _model(spark: SparkSession, sf_dir: str) -> Relatedness:
+    """The relatedness of the customers from all parts; the constant is the only covariate."""
     import numpy as np
 
     g = fixture.graph(spark, sf_dir)
     n = g.meta.num_individuals
-    chosen = None if keep is None else g.mutation_ids.where(keep(F.col("mutation_id")))
-    stats = qc.snp_stats(genotypes.dosages(g, chosen), n)
+    stats = qc.stats_of_sums(frequency.dosage_sums(g), n)
     c = F.col("mean_center_norm2")
     table = stats.select(F.col("variant_id").alias("mutation_id"), (19 + F.col("variant_id") % 4).cast("int").alias("chrom"), "mean", "mean_center_norm2", "norm_scale", c.alias("proj_norm2"), (c * F.col("norm_scale") * F.col("norm_scale")).alias("x_norm2"), "a1freq", "missing")
-    from haplospark.checkpoints import stored
-
-    return Relatedness(g, stored(qc.global_index(table, row="mutation_id"), "panel"), np.full((n, 1), n**-0.5))
+    return Relatedness(g, stored(qc.global_index(table, row="mutation_id"), "variants"), np.full((n, 1), n**-0.5))
 
 
 def _phenotype(spark: SparkSession, sf_dir: str):
@@ -540,42 +549,30 @@ def _phenotype(spark: SparkSession, sf_dir: str):
     return fixture.read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").toPandas().sort_values("c_custkey")["c_acctbal"].to_numpy(np.float64)
 
 
-def _panel_sql(where: str = "") -> str:
-    return f"""{_X},
+_PANEL = f"""{_X},
 n AS (SELECT count(*) * 1.0E0 AS n FROM customer),
-st AS (SELECT v, sum(g) / n AS mean, sum(g * g) - sum(g) * sum(g) / n AS c FROM x CROSS JOIN n{where} GROUP BY v, n),
+st AS (SELECT v, sum(g) / n AS mean, sum(g * g) - sum(g) * sum(g) / n AS c FROM x CROSS JOIN n GROUP BY v, n),
 ok AS (SELECT v, mean, c, sqrt((n - 1) / c) AS scale, CAST(19 + v % 4 AS INTEGER) AS chrom FROM st CROSS JOIN n WHERE c >= 0.1E0)"""
 
 
-_PANEL, _WHOLE = _panel_sql(" WHERE v % 2 = 0"), _panel_sql()
+@query(f"""{_PANEL}, s AS (SELECT v, CAST(sum(g) AS BIGINT) AS sm, CAST(sum(g * g) AS BIGINT) AS sq FROM x GROUP BY v)
+SELECT v AS variant_id, sm AS sum, sq AS sumsq, CAST(0 AS BIGINT) AS missing FROM s""")
+def dosage_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and squares of every mutation's dosages, from traversals instead of the matrix."""
+    return frequency.dosage_sums(fixture.graph(spark, sf_dir))
 
 
-def _linreg_sql(panel: str) -> str:
-    return f"""{panel},
+@query(f"""{_PANEL},
 y AS (SELECT c_custkey AS i, c_acctbal - avg(c_acctbal) OVER () AS y FROM customer),
 yy AS (SELECT sum(y * y) AS y2 FROM y),
 xy AS (SELECT x.v, sum(x.g * y.y) AS s FROM x JOIN y ON y.i = x.i GROUP BY x.v)
-SELECT st.v AS mutation_id, round(CASE WHEN st.c >= 0.1E0 THEN s * s / y2 / st.c * (n - 1) ELSE -1.0E9 END, 6) AS chisq FROM st CROSS JOIN yy CROSS JOIN n JOIN xy ON xy.v = st.v"""
-
-
-def _linreg(spark: SparkSession, sf_dir: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    k = _model(spark, sf_dir, keep)
-    return mixed_model.association(k, _phenotype(spark, sf_dir)).select("mutation_id", F.round("chisq_linreg", 6).alias("chisq"))
-
-
-@query(_linreg_sql(_PANEL))
+SELECT st.v AS mutation_id, round(CASE WHEN st.c >= 0.1E0 THEN s * s / y2 / st.c * (n - 1) ELSE -1.0E9 END, 6) AS chisq FROM st CROSS JOIN yy CROSS JOIN n JOIN xy ON xy.v = st.v""")
 def linreg_assoc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel of even mutations only; ``linreg_assoc_all`` has the whole table."""
-    return _linreg(spark, sf_dir, _even)
+    return mixed_model.association(_model(spark, sf_dir), _phenotype(spark, sf_dir)).select("mutation_id", F.round("chisq_linreg", 6).alias("chisq"))
 
 
-@query(_linreg_sql(_WHOLE))
-def linreg_assoc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linreg(spark, sf_dir)
-
-
-def _grm_sql(loco: str, panel: str) -> str:
-    return f"""{panel},
+def _grm_sql(loco: str) -> str:
+    return f"""{_PANEL},
 u AS (SELECT c_custkey AS i, (c_custkey % 11 - 5) - avg(c_custkey % 11 - 5) OVER () AS u FROM customer),
 sc AS (SELECT ok.v, ok.mean, ok.scale, ok.scale * sum(x.g * u.u) AS s FROM ok JOIN x ON x.v = ok.v JOIN u ON u.i = x.i WHERE {loco} GROUP BY ok.v, ok.mean, ok.scale),
 tot AS (SELECT sum(mean * scale * s) AS shift, count(*) AS m FROM sc),
@@ -583,35 +580,23 @@ back AS (SELECT x.i, sum(x.g * sc.scale * sc.s) AS b FROM x JOIN sc ON sc.v = x.
 SELECT c_custkey AS id, round((coalesce(b, 0) - shift) / m, 6) + 0.0 AS value FROM customer CROSS JOIN tot LEFT JOIN back ON back.i = c_custkey"""
 
 
-def _grm(spark: SparkSession, sf_dir: str, without: int | None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+def _grm(spark: SparkSession, sf_dir: str, without: int | None) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    k = _model(spark, sf_dir, keep)
+    k = _model(spark, sf_dir)
     v = (np.arange(k.n) % 11 - 5).astype(float)
     out = k.apply(v[:, None], [without])[:, 0]
     return spark.createDataFrame(pd.DataFrame({"id": np.arange(k.n), "value": out})).select("id", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
-@query(_grm_sql("true", _PANEL))
+@query(_grm_sql("true"))
 def grm_matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel of even mutations only; ``grm_matvec_all`` has the whole matrix."""
-    return _grm(spark, sf_dir, None, _even)
-
-
-@query(_grm_sql("ok.chrom <> 19", _PANEL))
-def grm_loco_matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel of even mutations only; ``grm_loco_matvec_all`` has the whole matrix."""
-    return _grm(spark, sf_dir, 19, _even)
-
-
-@query(_grm_sql("true", _WHOLE))
-def grm_matvec_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grm(spark, sf_dir, None)
 
 
-@query(_grm_sql("ok.chrom <> 19", _WHOLE))
-def grm_loco_matvec_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_grm_sql("ok.chrom <> 19"))
+def grm_loco_matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grm(spark, sf_dir, 19)
 
 

@@ -71,7 +71,7 @@ def test_sample_tables(spark, tmp_path):
         tables.read_samples_table(spark, write(tmp_path / "e.txt", "X FID IID\n1 f a\n"), ["X"])
     wide, names = qc.covariate_columns(table, ["SEX"], ["AGE"])
     assert names == ["SEX=1", "SEX=2", "q:AGE", "constant"]
-    basis = np.array([r["q"] for r in qc.basis_from_gram(wide, names, "iid").collect()])
+    basis = np.array([r["q"] for r in qc.covariate_basis(wide, names, "iid").collect()])
     assert basis.shape == (3, 3)
     np.testing.assert_allclose(basis.T @ basis, np.eye(3), atol=1e-6)
     with pytest.raises(ValueError, match="missing value"):
