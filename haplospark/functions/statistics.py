@@ -50,6 +50,11 @@ def _six_digits(x: pd.Series) -> pd.Series:
     return x.map(six_digits)
 
 
+@F.pandas_udf(StringType())
+def _all_digits(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: f"{float(v):.17g}", na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def _p_text(p: pd.Series, statistic: pd.Series) -> pd.Series:
     return pd.Series([p_text(a, b) for a, b in zip(p, statistic, strict=True)], dtype=object)
@@ -65,6 +70,11 @@ def g6(x: Column) -> Column:
     return _six_digits(x)
 
 
+def g17(x: Column) -> Column:
+    """17 significant digits, as C writes them."""
+    return _all_digits(x.cast("double"))
+
+
 def p_value_text(p: Column, statistic: Column) -> Column:
     return _p_text(p, statistic)
 

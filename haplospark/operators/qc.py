@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -66,22 +66,31 @@ def global_index(variants: DataFrame, chrom: str = "chrom", row: str = "row", na
     return numbered(variants, [chrom, row], name)
 
 
-def sample_variants(variants: DataFrame, count: int, seed: int, keep: Column | None = None, key: str = "row", batch: int = 1000) -> DataFrame:
-    """``count`` rows that ``keep`` holds for, in a seeded random order without replacement: batches of the order are looked at until enough are found.
+def sample_variants(variants: DataFrame, count: int, seed: int, chrom: int = 0, keep: Callable[[DataFrame], DataFrame] | None = None, batch: int = 256) -> DataFrame:
+    """The first ``count`` rows of ``variants(row, ...)``, numbered from 0, that ``keep`` keeps, in a seeded random order; by row.
 
-    ``keep`` may be costly (a lookup, a statistic): rows behind the last batch are not asked.  Too few rows are an error.
+    Batches of the order are looked at until enough are found, so a costly ``keep`` (a match with a graph) sees few rows.  Too few rows are an error.
     """
-    order = stored(variants.select(key, F.xxhash64(F.lit(seed), F.col(key)).alias("__h")).orderBy("__h", key), "order")
-    ordered, total = numbered(order, ["__h", key], "__turn"), variants.count()
-    done, found, step = 0, None, max(batch, count)
-    while done < total:
-        here = variants.join(ordered.where((F.col("__turn") >= done) & (F.col("__turn") < done + step)), key)
-        kept = stored(here if keep is None else here.where(keep), "sampled")
+    total, spark = variants.count(), variants.sparkSession
+    if not 1 <= count <= total:
+        raise ValueError(f"{count} variants were asked for, of {total}")
+
+    def shuffled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in frames:
+            order = np.random.default_rng(np.random.SeedSequence([seed, chrom])).permutation(total)
+            for k in range(0, total, 100_000):
+                yield pd.DataFrame({"__turn": np.arange(k, min(k + 100_000, total)), "row": order[k : k + 100_000]})
+
+    order = stored(spark.range(1).coalesce(1).mapInPandas(shuffled, "__turn bigint, row bigint"), "order")
+    step, found = max(batch, 8 * count), None
+    for first in range(0, total, step):
+        here = order.where(F.col("__turn").between(first, first + step - 1))
+        own = variants.join(here.select("row"), "row", "left_semi")
+        kept = stored((own if keep is None else keep(own)).join(here, "row"), "sampled")
         found = kept if found is None else stored(found.unionByName(kept), "sampled", found, kept)
         if found.count() >= count:
-            return found.orderBy("__turn").limit(count).drop("__h", "__turn")
-        done, step = done + step, step * 2
-    raise ValueError(f"fewer than {count} variants to choose from")
+            return found.orderBy("__turn").limit(count).drop("__turn").orderBy("row")
+    raise ValueError(f"{count} variants were asked for, but only {found.count()} of {total} fit")
 
 
 def contiguous_runs(rows: DataFrame, row: str = "row", by: list[str] | None = None) -> DataFrame:

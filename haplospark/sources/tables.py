@@ -6,14 +6,15 @@ import glob
 import hashlib
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplospark.functions.statistics import g6, p_value_text
-from haplospark.operators.qc import is_model_variant
-from haplospark.sources.plink import _lines
+from haplospark.checkpoints import stored, there
+from haplospark.functions.statistics import g6, g17, p_value_text
+from haplospark.operators.qc import is_model_variant, join_samples
+from haplospark.sources.plink import _lines, write_lines
 
 #: Columns of a manifest and of a table of statistics, in order.
 MANIFEST = (
@@ -22,8 +23,8 @@ MANIFEST = (
 STATISTICS = (
     "SNP", "CHR", "BP", "GENPOS", "ALLELE1", "ALLELE0", "A1FREQ", "F_MISS", "CHISQ_LINREG", "P_LINREG", "BETA", "SE", "CHISQ_BOLT_LMM_INF", "P_BOLT_LMM_INF",
 )
-#: Where a chromosome's file may be, below a folder; exactly one must match.
-PATTERNS = ("{c}{s}", "chr{c}{s}", "*.chr{c}{s}", "*_chr{c}{s}", "chr{c}/*{s}", "{c}/*{s}", "*chr{c}.*{s}")
+#: Where a chromosome's file may be, below a folder: the name alone or behind another, and followed by nothing or by more; exactly one must match.
+PATTERNS = tuple(f"{folder}{before}chr{{c}}{after}{{s}}" for folder in ("", "chr{c}/") for before in ("", "*.") for after in ("", ".*", "_*", "-*"))
 
 
 def read_fields(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFrame:
@@ -50,29 +51,31 @@ def read_samples_table(spark: SparkSession, path: str, columns: Sequence[str]) -
     return table.select(F.col("FID").alias("fid"), F.col("IID").alias("iid"), *columns)
 
 
-def _write(df: DataFrame, path: str, sep: str) -> None:
-    df.write.mode("overwrite").option("sep", sep).option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+def write_phenotype(df: DataFrame, path: str) -> None:
+    """FID IID PHENO; 17 significant digits, which read back the same number."""
+    write_lines(df.select(F.col("fid").alias("FID"), F.col("iid").alias("IID"), g17(F.col("pheno")).alias("PHENO")), path, " ", header=True)
 
 
-def write_phenotype(df: DataFrame, path: str) -> None:
-    """FID IID PHENO; the shortest digits that read back the same number."""
-    _write(df.select(F.col("fid").alias("FID"), F.col("iid").alias("IID"), F.col("pheno").cast("string").alias("PHENO")), path, " ")
+def read_phenotype(spark: SparkSession, path: str, samples: DataFrame | None = None) -> DataFrame:
+    """fid, iid, pheno (a number); of ``samples(fid, iid)``, if given, each of which must be there once."""
+    table = read_samples_table(spark, path, ["PHENO"]).select("fid", "iid", F.col("PHENO").cast("double").alias("pheno"))
+    return table if samples is None else join_samples(samples, table, ["pheno"])
 
 
 def write_covariates(df: DataFrame, path: str, components: int = 20) -> None:
     names = [f"PC{k + 1}" for k in range(components)]
-    _write(df.select(F.col("fid").alias("FID"), F.col("iid").alias("IID"), *[F.col(n).cast("string").alias(n) for n in names], F.col("sex").alias("SEX")), path, " ")
+    write_lines(df.select(F.col("fid").alias("FID"), F.col("iid").alias("IID"), *[g17(F.col(n)).alias(n) for n in names], F.col("sex").alias("SEX")), path, " ", header=True)
 
 
 def write_manifest(variants: DataFrame, path: str) -> None:
     twice = variants.groupBy("snp_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
     if twice:
         raise ValueError(f"variant {twice[0]['snp_id']} stands twice in the manifest")
-    _write(variants.select(*MANIFEST).orderBy("global_idx"), path, "\t")
+    write_lines(variants.select(*MANIFEST), path, "\t", ["global_idx"], header=True)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("sep", "\t").option("header", True).csv(path)
+    text = read_fields(spark, path).drop("row")
     if tuple(text.columns) != MANIFEST:
         raise ValueError(f"{path} does not have a manifest's columns")
     kinds = {c: "bigint" for c in ("global_idx", "local_grg_idx", "bed_row", "bp", "missing")} | {"chrom": "int", "snp_id": "string", "allele1": "string", "allele0": "string"}
@@ -91,7 +94,8 @@ def statistics_table(associated: DataFrame, dim: int) -> DataFrame:
 
 
 def write_statistics(table: DataFrame, path: str) -> None:
-    _write(table.select(*STATISTICS), path, "\t")
+    """By the column ``row``, if there is one, else as the rows come."""
+    write_lines(table.select(*STATISTICS, *[F.col(c).alias("__row") for c in table.columns if c == "row"]), path, "\t", ["__row"] if "row" in table.columns else [], header=True)
 
 
 def read_statistics(spark: SparkSession, path: str) -> DataFrame:
@@ -147,3 +151,18 @@ def cached_json(path: str, key: dict, build) -> dict:
         json.dump({"key": key, "value": value}, f)
     os.replace(f"{path}.new", path)
     return value
+
+
+def cached_table(spark: SparkSession, path: str, key: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table kept at ``path`` under ``key`` (such as a simulated phenotype under its sources, seed and heritability), or ``build()``, kept there.
+
+    The key is written behind the table, so a run that dies leaves no key.
+    """
+    name, text = f"{path.rstrip('/')}/key", json.dumps(key, sort_keys=True)
+    if there(spark, f"{name}/_SUCCESS") and [r[0] for r in spark.read.text(name).collect()] == [text]:
+        return spark.read.parquet(f"{path.rstrip('/')}/table")
+    new = stored(build(), "cached")
+    spark.createDataFrame([("",)], "value string").write.mode("overwrite").text(name)
+    new.write.mode("overwrite").parquet(f"{path.rstrip('/')}/table")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(name)
+    return spark.read.parquet(f"{path.rstrip('/')}/table")

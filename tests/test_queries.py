@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from haplospark import queries
+from haplospark import file_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()

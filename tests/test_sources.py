@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from haplospark.operators import compare, qc
 from haplospark.sources import plink, tables
@@ -141,4 +142,85 @@ def test_small_things(spark, tmp_path):
     assert tables.cached_json(str(tmp_path / "k.json"), key, build) == tables.cached_json(str(tmp_path / "k.json"), key, build) == {"v": 3} and len(calls) == 1
     phenotype = spark.createDataFrame([("f", "a", 0.1)], "fid string, iid string, pheno double")
     tables.write_phenotype(phenotype, str(tmp_path / "p"))
-    assert tables.read_samples_table(spark, str(tmp_path / "p"), ["PHENO"]).first()["PHENO"] == "0.1"
+    assert tables.read_samples_table(spark, str(tmp_path / "p"), ["PHENO"]).first()["PHENO"] == "0.10000000000000001"
+
+
+def test_bim_writer_and_order_of_parts(spark, tmp_path):
+    """Rows come back in the order written, over many parts; a header stands once."""
+    n = 3000
+    bim = spark.range(n, 0, -1, 7).select(F.lit(19).alias("chrom"), F.concat(F.lit("rs"), F.col("id")).alias("snp_id"), F.lit("0.5").alias("genetic_pos"), (7 * F.col("id")).alias("bp"), F.lit("A").alias("allele1"), F.lit("CG").alias("allele0"), (n - F.col("id")).alias("row"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    plink.write_bim(bim, str(tmp_path / "b"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "b").glob("part-*"))) > 1
+    assert sorted(map(tuple, plink.read_bim(spark, str(tmp_path / "b")).collect())) == sorted(map(tuple, bim.collect()))
+    with pytest.raises(ValueError, match="twice"):
+        plink.write_bim(bim.unionAll(bim.limit(1)), str(tmp_path / "c"))
+    people = spark.range(n).select(F.lit("f").alias("fid"), F.col("id").cast("string").alias("iid"), (F.col("id") / 7).alias("pheno")).repartition(5)
+    tables.write_phenotype(people, str(tmp_path / "p"))
+    back = tables.read_phenotype(spark, str(tmp_path / "p"), people.select("fid", "iid"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, people.collect()))
+    plink.write_fam(spark.range(n).select(F.concat(F.lit("f "), F.col("id"), F.lit(" 0 0 1 -9")).alias("raw"), (n - 1 - F.col("id")).alias("row")), str(tmp_path / "f"))
+    assert [r["iid"] for r in plink.read_fam(spark, str(tmp_path / "f")).orderBy("row").collect()] == [str(n - 1 - k) for k in range(n)]
+
+
+def test_bed_writer(spark, tmp_path):
+    calls = [(v, i, None if (v + i) % 5 == 0 else (v * i) % 3) for v in range(6) if v != 4 for i in range(7) if (v + 2 * i) % 4]
+    path = str(tmp_path / "x.bed")
+    plink.write_bed(spark.createDataFrame(calls, "variant_id bigint, individual_id bigint, dosage bigint"), path, 7, 6)
+    assert sorted(map(tuple, plink.bed_genotypes(spark, path, 7, 6).collect()), key=str) == sorted([c for c in calls if c[2] != 0], key=str)
+
+
+def test_discovery(tmp_path):
+    for k, name in enumerate(["chr1.bim", "chr2.x.bim", "chr3_x.bim", "chr4-x.bim", "a.chr5.y.bim", "a.chr6_y.bim", "a.chr7-y.bim"], 1):
+        (tmp_path / name).touch()
+        assert tables.find_chromosome_file(str(tmp_path), k, ".bim").endswith(name)
+    (tmp_path / "chr8").mkdir()
+    (tmp_path / "chr8" / "chr8_z.bim").touch()
+    assert tables.find_chromosome_file(str(tmp_path), 8, ".bim").endswith("chr8_z.bim")
+    (tmp_path / "chr1_again.bim").touch()
+    with pytest.raises(FileNotFoundError, match="2 files"):
+        tables.find_chromosome_file(str(tmp_path), 1, ".bim")
+    with pytest.raises(FileNotFoundError, match="0 files"):
+        tables.find_chromosome_file(str(tmp_path), 11, ".bim")
+
+
+def test_sampling_in_batches(spark):
+    """As a walk through the seeded permutation; ``keep`` sees no row behind the last batch."""
+    variants = spark.range(1000).withColumnRenamed("id", "row")
+    seen = []
+
+    def keep(rows):
+        seen.append(rows.count())
+        return rows.where("row % 50 = 3")
+
+    order = np.random.default_rng(np.random.SeedSequence([5, 19])).permutation(1000)
+    want = sorted([int(r) for r in order if r % 50 == 3][:6])
+    assert [r["row"] for r in qc.sample_variants(variants, 6, 5, 19, keep, batch=100).collect()] == want
+    assert sum(seen) < 1000 and set(seen) == {100}
+    with pytest.raises(ValueError, match="only 20"):
+        qc.sample_variants(variants, 21, 5, 19, keep)
+    with pytest.raises(ValueError, match="asked for"):
+        qc.sample_variants(variants, 1001, 5)
+
+
+def test_cached_table(spark, tmp_path):
+    built = []
+    build = lambda: built.append(1) or spark.range(3)
+    path = str(tmp_path / "kept")
+    for key, times in (({"seed": 1}, 1), ({"seed": 1}, 1), ({"seed": 2}, 2)):
+        assert tables.cached_table(spark, path, key, build).count() == 3 and len(built) == times
+
+
+def test_basis_of_close_covariates(spark):
+    """Singular values a hundred million apart count, less than that do not; as in a decomposition of the whole matrix."""
+    rng = np.random.default_rng(0)
+    x, z = rng.standard_normal(500), rng.standard_normal(500)
+    for gap, rank in ((1e-5, 3), (1e-7, 3), (1e-10, 2)):
+        table = spark.createDataFrame([(i, 1.0, float(x[i]), float(x[i] + gap * z[i])) for i in range(500)], "individual_id bigint, one double, a double, b double").repartition(7)
+        rows = sorted((r["individual_id"], r["q"]) for r in qc.covariate_basis(table, ["one", "a", "b"]).collect())
+        q = np.array([r[1] for r in rows])
+        assert q.shape == (500, rank)
+        np.testing.assert_allclose(q.T @ q, np.eye(rank), atol=1e-12)
+        dense = qc.orthonormal_basis(np.column_stack([np.ones(500), x, x + gap * z]))
+        np.testing.assert_allclose(q @ q.T, dense @ dense.T, atol=1e-15 / gap * 100)
