@@ -114,10 +114,15 @@ def sketch(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (least & U((1 << BITS) - 1)).astype(np.uint8), some
 
 
+def packed_bytes(codes: np.ndarray, some: np.ndarray) -> list[bytes]:
+    """Two bins a byte; empty where there is no shingle."""
+    pairs = codes[:, ::2] << 4 | codes[:, 1::2]
+    return [p.tobytes() if s else b"" for p, s in zip(pairs, some.tolist(), strict=True)]
+
+
 def packed(codes: np.ndarray, some: np.ndarray) -> list[str]:
     """Hexadecimal digits, one for each bin; empty where there is no shingle."""
-    pairs = codes[:, ::2] << 4 | codes[:, 1::2]
-    return [p.tobytes().hex() if s else "" for p, s in zip(pairs, some.tolist(), strict=True)]
+    return [p.hex() for p in packed_bytes(codes, some)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, some_a: np.ndarray, some_b: np.ndarray) -> np.ndarray:
@@ -161,7 +166,7 @@ def compare_edited(docs: DataFrame, text: str = "text") -> DataFrame:
     """Fingerprints of every document and its edited text, and how alike they are."""
     rows = in_order(docs, text)
     out = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    schema = StructType([rows.schema["doc_id"]]).add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string").add("near_edited", "double").add("near_next", "double")
+    schema = StructType([rows.schema["doc_id"]]).add("n_chars", "long").add("edited_sha256", "binary").add("fingerprint", "binary").add("edited_fingerprint", "binary").add("near_edited", "double").add("near_next", "double")
     marked = StructType([*schema.fields, StructField("kind", rows.schema["part"].dataType), StructField("part", rows.schema["part"].dataType)]).add("packed", "binary")
 
     def compared(ids: pa.Array, texts: list[str]) -> list[pa.Array]:
@@ -170,8 +175,8 @@ def compare_edited(docs: DataFrame, text: str = "text") -> DataFrame:
         codes, some = sketch([t.encode() for t in texts])
         changed, has = sketch([t.encode() for t in edits])
         return [
-            ids, pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edits], pa.string()),
-            pa.array(packed(codes[:-1], some[:-1]), pa.string()), pa.array(packed(changed, has), pa.string()),
+            ids, pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).digest() for t in edits], pa.binary()),
+            pa.array(packed_bytes(codes[:-1], some[:-1]), pa.binary()), pa.array(packed_bytes(changed, has), pa.binary()),
             pa.array(likeness(codes[:-1], changed, some[:-1], has)), pa.array(likeness(codes[:-1], codes[1:], some[:-1], some[1:])),
         ]
 
@@ -181,7 +186,7 @@ def compare_edited(docs: DataFrame, text: str = "text") -> DataFrame:
         return pa.RecordBatch.from_arrays([*columns, *tail], names=marked.names)
 
     def border(row: pa.RecordBatch, kind: int) -> pa.RecordBatch:
-        none = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
         return batch([row.column(1), *none], kind, row.column(0)[0].as_py(), row.column(2))
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,4 +217,6 @@ def compare_edited(docs: DataFrame, text: str = "text") -> DataFrame:
     following = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, following int")
     first = borders.where(F.col("kind") == _FIRST).select(F.col("part").alias("following"), F.col("packed").alias("next"))
     last = borders.where(F.col("kind") == _LAST).join(F.broadcast(following), "part").join(first, "following")
-    return done.where(F.col("kind") == _RESULT).select(*out).unionByName(last.select("doc_id", "packed", "next").mapInArrow(across, schema))
+    whole = done.where(F.col("kind") == _RESULT).select(*out).unionByName(last.select("doc_id", "packed", "next").mapInArrow(across, schema))
+    digits = lambda c: F.lower(F.hex(c)).alias(c)  # noqa: E731  (stored as bytes, half the size)
+    return whole.select("doc_id", "n_chars", digits("edited_sha256"), digits("fingerprint"), digits("edited_fingerprint"), "near_edited", "near_next")

@@ -75,6 +75,8 @@ RULES = BASE_RULES + MORE_RULES
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 #: Code points that are masked at once, and bytes of masked texts that are joined back by a broadcast.
 CHUNK, MAX_BROADCAST_BYTES = 512, 32 << 20
+#: Names of blobs (about 150 bytes each, with their rules) that are broadcast to fetch their bodies.
+MAX_BROADCAST_BLOBS = 200_000
 LEDGER_SCHEMA = "blob binary, rule string, spans array<struct<start:int,end:int>>"
 
 
@@ -117,11 +119,14 @@ def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] =
 def scan_blobs(docs: DataFrame, todo: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """blob, rule:version, spans: the non-empty ones of the pairs in ``todo`` (as ``unseen`` gives them)."""
     wanted = todo.select("blob", F.transform(F.filter("todo", lambda p: p["may"]), lambda p: p["rule"]).alias("run")).where(F.size("run") > 0)
-    low = F.lower("body")
-    any_ = F.lit(False)
-    for r in rules:
-        any_ = any_ | may_match(F.col("body"), low, r)
-    bodies = docs.select(blob_of(F.col(text)).alias("blob"), text_or_empty(F.col(text)).alias("body")).where(any_)
+    bodies = docs.select(blob_of(F.col(text)).alias("blob"), text_or_empty(F.col(text)).alias("body"))
+    if wanted.count() <= MAX_BROADCAST_BLOBS:
+        wanted = F.broadcast(wanted)
+    else:  # bodies that no rule may match stay where they are
+        may = F.lit(False)
+        for r in rules:
+            may = may | may_match(F.col("body"), F.lower("body"), r)
+        bodies = bodies.where(may)
     once = bodies.join(wanted, "blob").groupBy("blob").agg(F.first("body").alias("body"), F.first("run").alias("run"))
     none = F.array().cast("array<struct<gap:int,whole:int,value:int>>")
     each = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.lit(r.least).alias("least"), F.when(F.array_contains("run", r.key), matches(F.col("body"), r)).otherwise(none).alias("found")) for r in rules])

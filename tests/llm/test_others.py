@@ -449,6 +449,12 @@ def test_secrets(spark, nothing):
         assert r["text"] == re.sub("\0+", "[SECRET]", want) and r["n_chars"] == len(r["text"]) and r["found"] == "found!"
 
 
+def test_bodies_by_broadcast_or_by_shuffle(spark, nothing, monkeypatch):
+    monkeypatch.setattr(secrets_scan, "MAX_BROADCAST_BLOBS", 0)
+    monkeypatch.setattr(secrets_scan, "MAX_BROADCAST_BYTES", -1)
+    test_secrets(spark, nothing)
+
+
 def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     docs = spark.createDataFrame([document(k, t) for k, t in enumerate(SECRETS)], DOCUMENT)
     path = str(tmp_path / "ledger")
