@@ -25,7 +25,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring_dedup(spark, sf_dir, substring_dedup.WORDS)
 
 
-def op1_substring_dedup_every_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def substring_dedup_every_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for every repeated run of two sentences and more, however short."""
     return _substring_dedup(spark, sf_dir, 0)
 
@@ -111,7 +111,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_substring_dedup, op1_substring_dedup_every_run, op2_benchmark_decontamination, op3_url_filters, op4_document_fingerprints, op5_source_mix,
+        op1_substring_dedup, substring_dedup_every_run, op2_benchmark_decontamination, op3_url_filters, op4_document_fingerprints, op5_source_mix,
         op6_chat_formatting, op7_suffix_array_dedup, op8_simhash_near_dedup, op9_quality_classifier, op10_secret_scans,
     )
     return {f.__name__: f for f in every}

@@ -8,7 +8,7 @@ to both its ends, whatever stands around it.  Runs are joined globally by hash.
 
 The table of occurrences is written once; the first of each hash comes from a partial aggregation, so a hot run is one
 row per task there, and the join back is a sort-merge join between two shuffles, which adaptive execution splits.
-What is to be removed goes back to the texts by a broadcast where it is small (its bytes are counted), else by a shuffle.
+What is to be removed goes back to the texts by a join between two shuffles.
 
 Defined edge cases: a null text has no sentence.  Rows that agree in id and text are one document: each gets the
 same result.  A null id comes first.  A text with too few sentences or words has no run.  Other columns are not
@@ -33,8 +33,6 @@ from haplospark.checkpoints import stored
 
 SENTENCES = 2
 WORDS = 20
-#: Bytes of removals that are broadcast.
-MAX_BROADCAST_BYTES = 32 << 20
 _BLANK = " \t\n\x0b\x0c\r"
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 
@@ -92,12 +90,12 @@ def _occurrences(docs: DataFrame, text: str, least: int, words: int) -> DataFram
 
 
 def removals(docs: DataFrame, text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """doc_id, body, spans: array of (i, j) sentence ranges to remove, of the documents that have any."""
+    """Stored doc_id, body, spans: array of (i, j) sentence ranges to remove, of the documents that have any."""
     every = stored(_occurrences(docs, text, least, words), "runs")
     place = F.struct("doc_id", "body", "i", "j")
     first = stored(every.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("run", "first"), "repeated")
     again = every.join(first, "run").where(~place.eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id", "body").agg(F.collect_set(F.struct("i", "j")).alias("spans"))
+    return stored(again.groupBy("doc_id", "body").agg(F.collect_set(F.struct("i", "j")).alias("spans")), "removals", every, first)
 
 
 def dedup(docs: DataFrame, text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
@@ -107,11 +105,9 @@ def dedup(docs: DataFrame, text: str = "text", least: int = SENTENCES, words: in
     """
     docs = docs.drop("n_sentences", "n_removed", "spans")
     names = docs.columns
-    gone = stored(removals(docs, text, least, words).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("spans").alias("__spans")), "removals")
-    size = gone.agg(F.sum(100 + 24 * F.size("__spans"))).first()[0] or 0
-    side = F.broadcast(gone) if size <= MAX_BROADCAST_BYTES else gone
+    gone = removals(docs, text, least, words).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("spans").alias("__spans"))
     marked = docs.withColumn("__own", body_of(F.col(text)))
-    joined = marked.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left").select(*names, "__spans")
+    joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left").select(*names, "__spans")
     schema = StructType(list(docs.schema)).add("n_sentences", "long").add("n_removed", "long").add("spans", ArrayType(StructType().add("i", "integer").add("j", "integer")))
     at = names.index(text)
 

@@ -60,7 +60,7 @@ def test_short_runs_go_without_a_floor(spark, tmp_path):
 
     texts = ["Open daily. Ring twice.", "Open daily. Ring twice.", "Other words. Ring twice.", "A start. Open daily. Ring twice. An end."]
     spark.createDataFrame([document(k, t) for k, t in enumerate(texts)], DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["n_removed"] for r in queries.queries()["op1_substring_dedup_every_run"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in queries.queries()["substring_dedup_every_run"](spark, str(tmp_path)).collect()}
     assert got == {i: len(gone) for (i, _), gone in substring_dedup.brute_force(list(enumerate(texts)), words=0).items()} == {0: 0, 1: 2, 2: 0, 3: 2}
 
 
