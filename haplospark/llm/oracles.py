@@ -80,7 +80,7 @@ def _op5() -> str:
     sql = r"""
 WITH d AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
 w AS (SELECT source, n, k, CASE (k - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
@@ -98,19 +98,19 @@ t AS (
 q AS (
   SELECT source, n, target, least(CAST(floor(target) AS BIGINT), 2 * n) AS take FROM t),
 r0 AS (
-  SELECT d.doc_id, d.source, d.size, d.h, q.n, q.target, CASE WHEN n > 0 THEN take // n ELSE 0 END AS whole, CASE WHEN n > 0 THEN take % n ELSE 0 END AS room, 0 AS extra
+  SELECT d.doc_id, d.source, d.size, d.h, q.n, q.target, CASE WHEN n > 0 THEN take // n ELSE 0 END AS whole, CASE WHEN n > 0 THEN take % n ELSE 0 END AS room, 0 AS extra, false AS passed
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)"""
     for k in range(4):
         sql += f""",
 c{k} AS (
-  SELECT *, extra = 0 AND size > 0 AND size <= room AS may,
-         sum(CASE WHEN extra = 0 AND size > 0 AND size <= room THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h) AS upto
+  SELECT *, extra = 0 AND NOT passed AND size > 0 AND size <= room AS may,
+         sum(CASE WHEN extra = 0 AND NOT passed AND size > 0 AND size <= room THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h) AS upto
   FROM r{k}),
 p{k} AS (SELECT *, may AND upto <= room AS yes FROM c{k}),
 r{k + 1} AS (
   SELECT doc_id, source, size, h, n, target, whole,
          room - coalesce(sum(CASE WHEN yes THEN size ELSE 0 END) OVER (PARTITION BY source), 0) AS room,
-         extra + CASE WHEN yes THEN 1 ELSE 0 END AS extra
+         extra + CASE WHEN yes THEN 1 ELSE 0 END AS extra, passed OR coalesce(h = min(h) FILTER (WHERE may AND NOT yes) OVER (PARTITION BY source), false) AS passed
   FROM p{k})"""
     return sql + """
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, target,

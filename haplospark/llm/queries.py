@@ -67,7 +67,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = stored(mix.prepared(docs, F.array("source")).select("doc_id", F.col("source").alias("__source_of"), "__pattern", "__size", "__hash"), "sizes")
     by_pattern, by_source = mix.plan(rows, mix_weights)
-    taken = mix.apply_plan(rows, by_pattern).join(F.broadcast(by_source), F.col("__source_of").eqNullSafe(F.col("__source")))
+    taken = mix.apply_plan(rows, by_pattern).join(by_source, F.col("__source_of").eqNullSafe(F.col("__source")))
     copies = F.when(F.col("__size") > 0, F.col("__whole") + F.col("__extra")).otherwise(0)
     return taken.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (copies * F.col("__size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
