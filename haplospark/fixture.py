@@ -71,6 +71,11 @@ def graph(spark: SparkSession, sf_dir: str) -> GraphDataset:
     return _graph(spark.sparkContext.applicationId, sf_dir)
 
 
+def forget() -> None:
+    """The next graph is compiled anew."""
+    _graph.cache_clear()
+
+
 @lru_cache(maxsize=4)
 def _graph(application: str, sf_dir: str) -> GraphDataset:
     spark = SparkSession.getActiveSession()

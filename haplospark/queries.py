@@ -6,6 +6,7 @@ All run on the graph that ``fixture`` derives from the star-schema tables, with
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -429,11 +430,11 @@ WITH bim AS (
          substr(CASE WHEN p_partkey % 11 = 0 THEN 'CGTA' ELSE 'ACGT' END, CAST(p_partkey % 4 + 1 AS BIGINT), 1) AS allele1,
          substr(CASE WHEN p_partkey % 11 = 0 THEN 'ACGT' ELSE 'CGTA' END, CAST(p_partkey % 4 + 1 AS BIGINT), 1) AS allele0, p_partkey AS row
   FROM part WHERE p_partkey % 5 <> 0),
-grg AS (
+own AS (
   SELECT p_partkey AS mutation_id, CAST(1000 * p_size + p_partkey % 40 AS BIGINT) AS bp, substr('ACGT', CAST(p_partkey % 4 + 1 AS BIGINT), 1) AS a1, substr('CGTA', CAST(p_partkey % 4 + 1 AS BIGINT), 1) AS a0 FROM part),
 found AS (
-  SELECT bim.*, grg.mutation_id FROM bim JOIN grg ON grg.bp = bim.bp AND grg.a1 = bim.allele1 AND grg.a0 = bim.allele0
-  WHERE bim.bp NOT IN (SELECT bp FROM bim GROUP BY bp HAVING count(*) > 1) AND bim.bp NOT IN (SELECT bp FROM grg GROUP BY bp HAVING count(*) > 1))"""
+  SELECT bim.*, own.mutation_id FROM bim JOIN own ON own.bp = bim.bp AND own.a1 = bim.allele1 AND own.a0 = bim.allele0
+  WHERE bim.bp NOT IN (SELECT bp FROM bim GROUP BY bp HAVING count(*) > 1) AND bim.bp NOT IN (SELECT bp FROM own GROUP BY bp HAVING count(*) > 1))"""
 
 
 @query(f"{_BIM} SELECT bp, CAST(count(*) AS BIGINT) AS n FROM bim GROUP BY bp HAVING count(*) > 1")
@@ -532,10 +533,15 @@ def projected_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str) -> Relatedness:
-    """The relatedness of the customers from all parts; the constant is the only covariate."""
+    """The relatedness of the customers from all parts, its variants stored once for each application and folder; the constant is the only covariate."""
+    return _stored_model(spark.sparkContext.applicationId, sf_dir)
+
+
+@lru_cache(maxsize=4)
+def _stored_model(application: str, sf_dir: str) -> Relatedness:
     import numpy as np
 
-    g = fixture.graph(spark, sf_dir)
+    g = fixture.graph(SparkSession.getActiveSession(), sf_dir)
     n = g.meta.num_individuals
     stats = qc.stats_of_sums(frequency.dosage_sums(g), n)
     c = F.col("mean_center_norm2")

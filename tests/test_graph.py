@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -73,6 +75,20 @@ def test_levels_by_joins_equal_one_pass(spark, pair, monkeypatch):
         graphs.levels(loop, 3, 2)
 
 
+def test_a_tall_graph(spark, monkeypatch):
+    """Forty levels with edges that skip levels: settled and traversed level by level, as by the kernel."""
+    rng = random.Random(1)
+    node = lambda level, i: i if level == 0 else 10 + 2 * (level - 1) + i
+    edges = {(node(h, i), node(h - 1, rng.randrange(10 if h == 1 else 2))) for h in range(1, 41) for i in range(2)} | {(node(h, 0), node(rng.randrange(h - 1), 0)) for h in range(2, 41, 3)}
+    table = spark.createDataFrame(sorted(edges), "parent bigint, child bigint")
+    rows = spark.createDataFrame([(k, 89 - k, None) for k in range(90)], "mutation_id bigint, node_id bigint, miss_node_id bigint")
+    monkeypatch.setattr(graphs, "ONE_TASK_EDGES", 0)
+    g = graphs.compile_graph(table, rows, 10, 90, 1)
+    assert g.meta.height == 40
+    x = np.random.default_rng(0).integers(-3, 4, (2, 10)).astype(float)
+    np.testing.assert_allclose(matmul(g, x, "up", strategy=Strategy.LEVELS), matmul(g, x, "up", strategy=Strategy.KERNEL))
+
+
 def test_positions(pair):
     _, g = pair
     rows = sorted((r["level"], r["node_id"], r["pos"]) for r in g.nodes.collect())
