@@ -24,7 +24,8 @@ many bits are kept as tell so many of them apart, so anchors stay small as the i
 An anchor compares its members and emits no pairs, but spanning forests of candidates: the links of least distance that
 connect what is connected.  Verified links make components; where links of a forest failed and others had been left out for
 it, those nodes are searched again with components contracted, first for four forests, then for all that is left, each pair at the
-first anchor that it shares.  So components are those of all verified candidates, without a pair within a group being emitted.
+first anchor that it shares.  In these rounds nodes carry a finer fingerprint, of 1,024 bits, which leaves few candidates that are not alike
+enough (a family of texts just below the threshold would else be verified pair by pair).  So components are those of all verified candidates, without a pair within a group being emitted.
 
 Anchors of over ``HOT`` rows leave the task that finds them: with ``CONTRACT`` they are dealt anew by five pieces of the other bits
 (four differences leave one piece equal); what is still too large is cut into parts, and each pair of parts is a
@@ -76,6 +77,9 @@ CONTRACT = Setting(4, 1, 4)
 SIMILAR = Setting(5, 3, 40, 0.8)
 #: Forests of candidates in each round of the search; the last takes all candidates between components.
 ROUNDS: tuple[int | None, ...] = (1, 4, None)
+#: Words of the finer fingerprint of later rounds, and the most of its 1,024 bits in which candidates differ (a similarity of 0.8
+#: gives 155 on the average, and over 186 once in 300 times).
+FINE, FINE_BITS = 16, 186
 #: Candidates that are fetched by a broadcast of their names (about 100 bytes each); more go through a shuffle.
 MAX_BROADCAST_NAMES = 300_000
 #: Rows of an anchor that one task compares, by the number of words.
@@ -86,6 +90,7 @@ LARGE = 4096
 #: Pairs compared at once: some tens of MB.
 PAIRS = 1_000_000
 U = np.uint64
+_STEP = U(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -428,41 +433,72 @@ def _named(fps: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> tuple
 LINK, OUT, LEFT = 0, 1, 2
 
 
+#: What a row at an anchor may carry besides its words: with ``CONTRACT`` whether the anchor is its home; in later rounds its component and its finer fingerprint.
+CARRIED = {"home": ("boolean", pa.bool_()), "label": ("long", pa.int64()), "fine": ("binary", pa.binary())}
+
+
 def _found_schema(how: Setting) -> str:
-    return f"kind tinyint, u {how.kind}, v {how.kind}, anchor long, home boolean, label long" + "".join(f", {w} long" for w in _words(how))
+    return f"kind tinyint, u {how.kind}, v {how.kind}, anchor long" + "".join(f", {c} {t}" for c, (t, _) in CARRIED.items()) + "".join(f", {w} long" for w in _words(how))
 
 
 def _matrix(t, how: Setting) -> np.ndarray:
     return np.stack([t[w].to_numpy() if isinstance(t, pa.Table) else t.column(w).to_numpy(zero_copy_only=False) for w in _words(how)], axis=1).view(U)
 
 
-def _found(kind: int, u: pa.Array, v: pa.Array, how: Setting) -> pa.RecordBatch:
-    n = len(u)
+def _row(kind: int, n: int, how: Setting, given: dict[str, pa.Array]) -> pa.RecordBatch:
     own = pa.int64() if how.words == 1 else pa.binary()
-    none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int64())] * how.words]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), u.cast(own), v.cast(own), *none], names=["kind", "u", "v", "anchor", "home", "label", *_words(how)])
+    kinds = {"u": own, "v": own, "anchor": pa.int64(), **{c: t for c, (_, t) in CARRIED.items()}, **dict.fromkeys(_words(how), pa.int64())}
+    columns = [given[c].cast(t) if c in given else pa.nulls(n, t) for c, t in kinds.items()]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *columns], names=["kind", *kinds])
+
+
+def _found(kind: int, u: pa.Array, v: pa.Array, how: Setting) -> pa.RecordBatch:
+    return _row(kind, len(u), how, {"u": u, "v": v})
 
 
 def _left(t: pa.Table, how: Setting) -> pa.RecordBatch:
-    n, own = t.num_rows, pa.int64() if how.words == 1 else pa.binary()
-    columns = [t[c].combine_chunks() for c in ("anchor", "home", "label", *_words(how))]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, LEFT, np.int8)), pa.nulls(n, own), pa.nulls(n, own), *columns], names=["kind", "u", "v", "anchor", "home", "label", *_words(how)])
+    return _row(LEFT, t.num_rows, how, {c: t[c].combine_chunks() for c in t.column_names})
 
 
 def _placed(nodes: DataFrame, how: Setting, keep: np.ndarray | None) -> DataFrame:
-    """anchor, home, label and words: every node (label, words) at each of its anchors."""
+    """anchor, words, and home or what the nodes carry: every node at each of its anchors."""
     words = _words(how)
+    carried = [c for c in CARRIED if c in nodes.columns]
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, label = _matrix(b, how), b.column("label").to_numpy()
-            for k in range(0, len(fps), 2000):
-                part = fps[k : k + 2000]
-                anchor, index, home = cover(part) if keep is None else (*masked(part, keep), np.ones(len(part) * len(keep), bool))
-                columns = [pa.array(anchor.astype(np.int64)), pa.array(home), pa.array(label[k : k + 2000][index]), *[pa.array(part[index, w].view(np.int64)) for w in range(how.words)]]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "home", "label", *words])
-
-    return nodes.select("label", *words).mapInArrow(replicate, "anchor long, home boolean, label long" + "".join(f", {w} long" for w in words))
+            fps = _matrix(b, how)
+            for k in range(0, len(fps), 500 if carried else 2000):
+                part = fps[k : k + (500 if carried else 2000)]
+                anchor, index, home = cover(part) if keep is None else (*masked(part, keep), None)
+                own = {"home": pa.array(home)} if keep is None else {c: b.column(c).slice(k, len(part)).take(pa.array(index)) for c in carried}
+                columns = {"anchor": pa.array(anchor.astype(np.int64)), **own, **{words[w]: pa.array(part[index, w].view(np.int64)) for w in range(how.words)}}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    more = ["home"] if keep is None else carried
+    return nodes.select(*carried, *words).mapInArrow(replicate, "anchor long" + "".join(f", {c} {CARRIED[c][0]}" for c in more) + "".join(f", {w} long" for w in words))
+
+
+def fine_fingerprint(hashes: np.ndarray) -> bytes:
+    """``FINE`` words of bits of a set of shingle hashes, which tell similarities apart more finely."""
+    out = np.zeros(FINE, U)
+    if len(hashes):
+        with np.errstate(over="ignore"):
+            for w in range(FINE):
+                ones = np.unpackbits(_mix(hashes + U(w + 1) * _STEP).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                out[w] = np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]
+    return out.tobytes()
+
+
+def _finer(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], label: np.ndarray, fine: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ``pairs`` of different labels whose finer fingerprints differ in few bits, with their number."""
+    for a, b, _ in pairs:
+        cross = np.flatnonzero(label[a] != label[b])
+        for k in range(0, len(cross), 100_000):
+            x, y = a[cross[k : k + 100_000]], b[cross[k : k + 100_000]]
+            off = np.bitwise_count(fine[x] ^ fine[y]).sum(axis=1, dtype=np.int64)
+            near = off <= FINE_BITS
+            yield x[near], y[near], off[near]
 
 
 def _compared(t: pa.Table, how: Setting, forests: int | None, starts: np.ndarray, counts: np.ndarray, keep: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -472,14 +508,18 @@ def _compared(t: pa.Table, how: Setting, forests: int | None, starts: np.ndarray
     if not how.similarity:
         yield _found(LINK, *_named(fps, _connected(pairs)), how)
         return
+    if "label" in t.column_names and not t["label"].null_count:
+        label = t["label"].to_numpy()
+        pairs = _finer(pairs, label, np.frombuffer(b"".join(t["fine"].to_pylist()), U).reshape(-1, FINE))
+    else:
+        label = _hashed(fps).view(np.int64)
     if forests is None:
-        label, number = t["label"].to_numpy(), (t["anchor"].to_numpy().view(U) & _MASK).astype(np.int64)
+        number = (t["anchor"].to_numpy().view(U) & _MASK).astype(np.int64)
         for a, b, _ in pairs:
-            cross = np.flatnonzero(label[a] != label[b])
-            own = cross[first_shared(fps[a[cross]] ^ fps[b[cross]], keep) == number[a[cross]]]
+            own = first_shared(fps[a] ^ fps[b], keep) == number[a]
             yield _found(LINK, names_of(fps[a[own]]), names_of(fps[b[own]]), how)
         return
-    a, b, out, root = candidates(t["anchor"].to_numpy(), fps, t["label"].to_numpy(), pairs, forests)
+    a, b, out, root = candidates(t["anchor"].to_numpy(), fps, label, pairs, forests)
     yield _found(LINK, names_of(fps[a]), names_of(fps[b]), how)
     yield _found(OUT, names_of(fps[out]), names_of(fps[root]), how)
 
@@ -513,9 +553,9 @@ def _by_pieces(left: DataFrame, how: Setting) -> DataFrame:
                 at = pa.array(own)
                 for k, bits in enumerate(_pieces(block << 22)):
                     name = _hashed(np.stack((anchor[own].view(U), _piece(words[own], bits), np.full(len(own), k, U)), axis=1))
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *[b.column(c).take(at) for c in ("home", "label", "f0")]], names=["anchor", "home", "label", "f0"])
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), b.column("f0").take(at)], names=["anchor", "f0"])
 
-    return left.select("anchor", "home", "label", "f0").mapInArrow(run, "anchor long, home boolean, label long, f0 long")
+    return left.select("anchor", "f0").mapInArrow(run, "anchor long, f0 long")
 
 
 def _by_parts(left: DataFrame, how: Setting, forests: int | None, keep: np.ndarray | None) -> DataFrame:
@@ -526,7 +566,7 @@ def _by_parts(left: DataFrame, how: Setting, forests: int | None, keep: np.ndarr
     cells = left.join(sizes, "anchor").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     number = F.lit(int(_MASK)).cast("long")
     cell = F.xxhash64("anchor", F.least("part", "other"), F.greatest("part", "other")).bitwiseAND(F.bitwise_not(number)).bitwiseOR(F.col("anchor").bitwiseAND(number))
-    placed = cells.select(cell.alias("anchor"), "label", *words, (F.col("part") <= F.col("other")).alias("first"), (F.col("part") == F.col("other")).alias("same"))
+    placed = cells.select(cell.alias("anchor"), "label", "fine", *words, (F.col("part") <= F.col("other")).alias("first"), (F.col("part") == F.col("other")).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in key_batches(batches, "anchor", 2 * hot, 1 << 62):
@@ -554,14 +594,14 @@ def _found_in(nodes: DataFrame, how: Setting, keep: np.ndarray | None, forests:
 
 def links(distinct: DataFrame, how: Setting = CONTRACT) -> DataFrame:
     """(u, v) names of fingerprints such that what links of few bits connect is connected, from ``distinct(f0)``."""
-    found = _found_in(distinct.select(F.lit(0).cast("long").alias("label"), *_words(how)), how, None, 1)
+    found = _found_in(distinct.select(*_words(how)), how, None, 1)
     return found.where(F.col("kind") == LINK).select("u", "v")
 
 
 def verified_roots(distinct: DataFrame, sets: Callable[[DataFrame], DataFrame], how: Setting = SIMILAR) -> DataFrame:
     """Stored (node, root) by links of similarity ``how.similarity`` or more, from ``distinct(fp, f0, ...)``; ``sets`` gives (fp, set) of a table of fps."""
     keep = masks(*covering(distinct.count()), how.words)
-    nodes, good, root = distinct.select(F.xxhash64("fp").alias("label"), *_words(how)), None, None
+    nodes, good, root = distinct.select(*_words(how)), None, None
     for forests in ROUNDS:
         found = _found_in(nodes, how, keep, forests)
         pairs = stored(found.where(F.col("kind") == LINK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
@@ -577,13 +617,22 @@ def verified_roots(distinct: DataFrame, sets: Callable[[DataFrame], DataFrame],
             break
         labelled = stored(out.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "hangs", F.xxhash64(F.coalesce("root", "fp")).alias("label")), "labelled", found)
         open_ = labelled.groupBy("hangs").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("hangs")
-        nodes = stored(labelled.join(open_, "hangs", "left_semi").groupBy("fp").agg(F.first("label").alias("label")).join(distinct, "fp").select("label", *_words(how)), "again", labelled)
+        again = stored(labelled.join(open_, "hangs", "left_semi").groupBy("fp").agg(F.first("label").alias("label")), "again", labelled)
+        nodes = stored(again.join(_fine(sets(again.select("fp"))), "fp").join(distinct, "fp").select("label", "fine", *_words(how)), "nodes", again)
         if nodes.isEmpty():
             break
     release(good)
     return root
 
 
+def _fine(sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fine_fingerprint(np.frombuffer(x, U)) for x in b.column(1).to_pylist()], pa.binary())], names=["fp", "fine"])
+
+    return sets.mapInArrow(run, "fp binary, fine binary")
+
+
 def _alike(pairs: DataFrame, own: DataFrame, how: Setting) -> DataFrame:
     """The ``pairs`` (u, v) whose sets, by ``own(fp, set)``, are alike enough."""
     both = pairs.join(own.select(F.col("fp").alias("u"), F.col("set").alias("a")), "u").join(own.select(F.col("fp").alias("v"), F.col("set").alias("b")), "v")
