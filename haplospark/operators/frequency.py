@@ -72,13 +72,23 @@ def down_imputed(graph: GraphDataset, operand: DataFrame, freqs: DataFrame, by_i
     return down(graph, operand, by_individual=by_individual, miss=weighted)
 
 
-def standardised_gram(graph: GraphDataset, operand: DataFrame, freqs: DataFrame) -> DataFrame:
-    """V times XᵀX of the individuals x mutations matrix, imputed, centred and scaled; row, id (mutation), value."""
+def standardised_down(graph: GraphDataset, operand: DataFrame, freqs: DataFrame) -> DataFrame:
+    """V (by mutation) times the transpose of the individuals x mutations matrix, imputed, centred and scaled; row, id (individual), value."""
     f = freqs.select(F.col("mutation_id").alias("id"), "freq", "center", "sigma")
     scaled = operand.join(f, "id").select("row", "id", (F.col("value") / F.col("sigma")).alias("value"), "center")
     shift = scaled.groupBy("row").agg(F.sum(F.col("value") * F.col("center")).alias("shift"))
     seen = down_imputed(graph, scaled.select("row", "id", "value"), freqs, by_individual=True)
-    h = seen.join(shift, "row").select("row", "id", (F.col("value") - F.col("shift")).alias("value"))
-    total = h.groupBy("row").agg(F.sum("value").alias("total"))
-    back = up_imputed(graph, h, freqs, by_individual=True).join(f, "id").join(total, "row")
+    return seen.join(shift, "row").select("row", "id", (F.col("value") - F.col("shift")).alias("value"))
+
+
+def standardised_up(graph: GraphDataset, operand: DataFrame, freqs: DataFrame) -> DataFrame:
+    """V (by individual) times that matrix; row, id (mutation), value."""
+    f = freqs.select(F.col("mutation_id").alias("id"), "center", "sigma")
+    total = operand.groupBy("row").agg(F.sum("value").alias("total"))
+    back = up_imputed(graph, operand, freqs, by_individual=True).join(f, "id").join(total, "row")
     return back.select("row", "id", ((F.col("value") - F.col("total") * F.col("center")) / F.col("sigma")).alias("value"))
+
+
+def standardised_gram(graph: GraphDataset, operand: DataFrame, freqs: DataFrame) -> DataFrame:
+    """V (by mutation) times XᵀX; row, id (mutation), value."""
+    return standardised_up(graph, standardised_down(graph, operand, freqs), freqs)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from haplospark.checkpoints import stored
 from haplospark.operators import solvers
-from haplospark.operators.frequency import allele_frequencies, standardised_gram
+from haplospark.operators.frequency import allele_frequencies, standardised_down, standardised_gram, standardised_up
 from haplospark.operators.graph import GraphDataset
 from haplospark.operators.relatedness import Relatedness
 from haplospark.operators.traverse import to_array, to_vectors
@@ -29,24 +29,18 @@ class Components:
     residuals: np.ndarray
 
 
-def gram_operator(graph: GraphDataset) -> solvers.Apply:
-    """v (mutations x k) -> XᵀX v; one Spark job a call, every column a task where the graph fits a worker."""
-    freqs = stored(allele_frequencies(graph), "freqs")
-    spark, m = graph.nodes.sparkSession, graph.meta.num_mutations
+def _operator(graph: GraphDataset, size: int, by_tables: Callable[[DataFrame, DataFrame], DataFrame], by_arrays: Callable[..., np.ndarray]) -> solvers.Apply:
+    """v (size x k) -> the operator times v; one Spark job a call, every column a task where the graph fits a worker."""
+    freqs, spark, m = stored(allele_frequencies(graph), "freqs"), graph.nodes.sparkSession, graph.meta.num_mutations
     if choose(graph.meta, selector_entries=graph.selector_entries) is not Strategy.KERNEL:
-        return lambda v: to_array(standardised_gram(graph, to_vectors(spark, np.ascontiguousarray(v.T)), freqs), v.shape[1], m).T
+        return lambda v: to_array(by_tables(to_vectors(spark, np.ascontiguousarray(v.T)), freqs), v.shape[1], size).T
     f = freqs.toPandas().set_index("mutation_id").reindex(range(m))
     sent = spark.sparkContext.broadcast((graph.structure, *(f[c].to_numpy(float) for c in ("freq", "center", "sigma"))))
-
     most = vectors_at_once(graph.meta, selector_entries=graph.selector_entries)
 
     def run(frames):
-        structure, freq, center, sigma = sent.value
         for part in (whole.iloc[j : j + most] for whole in frames for j in range(0, len(whole), most)):
-            w = np.stack([np.frombuffer(b, float) for b in part["v"]]) / sigma
-            h = structure.down(w, miss=freq * w, by_individual=True) - (w @ center)[:, None]
-            seen, missing = structure.up(h, by_individual=True)
-            out = (seen + freq * missing - h.sum(axis=1)[:, None] * center) / sigma
+            out = by_arrays(np.stack([np.frombuffer(b, float) for b in part["v"]]), *sent.value)
             yield pd.DataFrame({"row": part["row"], "v": [b.tobytes() for b in out]})
 
     def apply(v: np.ndarray) -> np.ndarray:
@@ -60,6 +54,41 @@ def gram_operator(graph: GraphDataset) -> solvers.Apply:
     return apply
 
 
+def _down(w: np.ndarray, structure, freq: np.ndarray, center: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    w = w / sigma
+    return structure.down(w, miss=freq * w, by_individual=True) - (w @ center)[:, None]
+
+
+def _up(h: np.ndarray, structure, freq: np.ndarray, center: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    seen, missing = structure.up(h, by_individual=True)
+    return (seen + freq * missing - h.sum(axis=1)[:, None] * center) / sigma
+
+
+def gram_operator(graph: GraphDataset) -> solvers.Apply:
+    """v (mutations x k) -> XᵀX v."""
+    return _operator(graph, graph.meta.num_mutations, lambda v, f: standardised_gram(graph, v, f), lambda v, *known: _up(_down(v, *known), *known))
+
+
+def people_operator(graph: GraphDataset) -> solvers.Apply:
+    """u (individuals x k) -> XXᵀ u."""
+    return _operator(graph, graph.meta.num_individuals, lambda u, f: standardised_down(graph, standardised_up(graph, u, f), f), lambda u, *known: _down(_up(u, *known), *known))
+
+
+def components_by_people(graph: GraphDataset, k: int, solver: str = "randomized", **how) -> tuple[Components, DataFrame]:
+    """Largest eigenpairs of XXᵀ over individuals, and the same of XᵀX over mutations as a table (row, id, value).
+
+    Both have the same eigenvalues, so what the driver holds are vectors over individuals, however many mutations there are; of
+    each, one traversal gives the vector over mutations, which stays a table.
+    """
+    if solver not in SOLVERS:
+        raise ValueError(f"solver must be one of {', '.join(SOLVERS)}, not {solver!r}")
+    apply = people_operator(graph)
+    values, vectors = SOLVERS[solver](apply, graph.meta.num_individuals, k, **how)
+    scaled = vectors / np.sqrt(np.where(values > 0, values, 1))
+    by_mutation = standardised_up(graph, to_vectors(graph.nodes.sparkSession, np.ascontiguousarray(scaled.T)), stored(allele_frequencies(graph), "freqs"))
+    return Components(values, vectors, solvers.relative_residuals(apply, values, vectors)), by_mutation
+
+
 def principal_components(graph: GraphDataset, k: int, solver: str = "randomized", **how) -> Components:
     """Largest eigenpairs of XᵀX over mutations, with their relative residuals."""
     if solver not in SOLVERS:

@@ -637,8 +637,8 @@ def stats_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pca_rr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four largest eigenpairs by randomised Rayleigh-Ritz: component, eigenvalue, relative residual."""
-    got = pca.principal_components(fixture.graph(spark, sf_dir), 4, "randomized")
+    """Four largest eigenpairs by randomised Rayleigh-Ritz over individuals: component, eigenvalue, relative residual."""
+    got, _ = pca.components_by_people(fixture.graph(spark, sf_dir), 4, "randomized")
     rows = [(k, float(v), float(r)) for k, (v, r) in enumerate(zip(got.values, got.residuals, strict=True))]
     return spark.createDataFrame(rows, "component int, eigenvalue double, residual double")
 

@@ -126,6 +126,13 @@ def test_pca(spark):
     np.testing.assert_allclose(first.values, exact, rtol=1e-6)
     with pytest.raises(ValueError, match="solver"):
         pca.principal_components(g, 3, "magic")
+    same, table = pca.components_by_people(g, 3, "randomized", oversample=20, power=6)
+    np.testing.assert_allclose(same.values, exact, rtol=1e-6)
+    v = np.zeros((m, 3))
+    for r in table.collect():
+        v[r["id"], r["row"]] = r["value"]
+    np.testing.assert_allclose(v.T @ v, np.eye(3), atol=1e-6)
+    assert solvers.largest_angle_sine(v, first.vectors) <= 1e-2 and (same.residuals < 1e-2).all()
     freqs = allele_frequencies(g).toPandas()
     assert ((freqs["sigma"] > 0) & (freqs["freq"] >= 0)).all()
 
