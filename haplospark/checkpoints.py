@@ -73,6 +73,11 @@ def stored(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have shuffle files deleted whose jobs are done: the driver's JVM notices only when it collects garbage, which a small plan seldom makes it do."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class Levels:
     """A stored table that grows by one level at a time, each in a folder of its own."""
 
