@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from haplospark.checkpoints import release, stored
+from haplospark.checkpoints import release, stored, sweep
 from haplospark.llm.common import key_batches
 from haplospark.llm.graph_components import components
 
@@ -606,6 +606,7 @@ def verified_roots(distinct: DataFrame, sets: Callable[[DataFrame], DataFrame],
         found = _found_in(nodes, how, keep, forests)
         pairs = stored(found.where(F.col("kind") == LINK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
         own = stored(sets(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()), "sets")
+        sweep(distinct.sparkSession)
         new = stored(_alike(pairs, own, how), "links", pairs, own)
         if root is None or not new.isEmpty():
             good = new if good is None else stored(good.unionByName(new), "links", good, new)

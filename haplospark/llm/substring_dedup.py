@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from haplospark.checkpoints import stored
+from haplospark.checkpoints import stored, sweep
 
 SENTENCES = 2
 WORDS = 20
@@ -94,8 +94,11 @@ def removals(docs: DataFrame, text: str = "text", least: int = SENTENCES, words:
     every = stored(_occurrences(docs, text, least, words), "runs")
     place = F.struct("doc_id", "body", "i", "j")
     first = stored(every.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("run", "first"), "repeated")
+    sweep(docs.sparkSession)
     again = every.join(first, "run").where(~place.eqNullSafe(F.col("first")))
-    return stored(again.groupBy("doc_id", "body").agg(F.collect_set(F.struct("i", "j")).alias("spans")), "removals", every, first)
+    out = stored(again.groupBy("doc_id", "body").agg(F.collect_set(F.struct("i", "j")).alias("spans")), "removals", every, first)
+    sweep(docs.sparkSession)
+    return out
 
 
 def dedup(docs: DataFrame, text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:

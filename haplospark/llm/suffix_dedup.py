@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from haplospark.checkpoints import stored
+from haplospark.checkpoints import stored, sweep
 from haplospark.llm.common import key_batches
 
 LENGTH = 200
@@ -364,6 +364,7 @@ def covered(docs: DataFrame, text: str = "text") -> DataFrame:
     kinds = stored(
         met.groupBy("ah", "ch", "cl").agg(F.count("*").alias("n"), F.max("dup").alias("dup"), F.max("mixed").alias("mixed"), F.min(F.struct("blob", "s", "e", "p")).alias("one")), "contexts"
     )
+    sweep(docs.sparkSession)
     whole = met.join(kinds.where("n > 1").select("ah", "ch", "cl"), ["ah", "ch", "cl"]).select("blob", "s", "e")
     mixed = kinds.where("mixed")
     sizes = stored(mixed.groupBy("ah").agg(F.count("*").alias("m")), "sizes")
@@ -387,6 +388,7 @@ def covered(docs: DataFrame, text: str = "text") -> DataFrame:
 def remove(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys``, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row."""
     found = stored(covered(docs, text), "covered")
+    sweep(docs.sparkSession)
     rows = _packed(docs, keys, text).join(found, "blob", "left").select(*keys, "packed", "spans")
     schema = StructType([rows.schema[k] for k in keys]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
