@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from haplospark import fixture
 from haplospark.checkpoints import shared_dir, stored
+from haplospark.functions.statistics import g6, g17, p_value_text, register
 from haplospark.functions.tables import register_traversal
-from haplospark.functions.statistics import g6, g17, p_value_text
 from haplospark.operators import compare, mixed_model, pca, qc
+from haplospark.operators.many import traverse_many
 from haplospark.operators.relatedness import Relatedness
-from haplospark.operators.traverse import traverse
-from haplospark.queries import _ROWS, _SAMPLES3, _CALLS, _GRAPH, _PANEL, _bim, _calls, _model, _phenotype, _samples, _up_sql, _whole, query
+from haplospark.operators.traverse import Requirements, Spec, prepare, traverse
+from haplospark.queries import _CALLS, _GRAPH, _PANEL, _ROWS, _SAMPLES, _SAMPLES3, _bim, _calls, _model, _phenotype, _samples, _up_sql, _whole, query
+from haplospark.schema import Direction
 from haplospark.sources import plink, store, tables
 from haplospark.streaming.operands import write_stream
 
@@ -97,6 +99,15 @@ def bed_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plink.read_bed(spark, path, n, m).select("variant_id", F.size(F.filter("dosages", lambda d: d.isNull())).cast("bigint").alias("missing"), F.size("dosages").cast("bigint").alias("individuals"))
 
 
+@query(f"{_CALLS}, t AS (SELECT unnest([0, 1, 2, 5, 6, 40]) AS p, unnest([0, 1, 2, 3, 4, 5]) AS k) SELECT CAST(k AS BIGINT) AS variant_id, CAST(i AS BIGINT) AS individual_id, g AS dosage FROM calls JOIN t ON t.p = calls.v WHERE g IS NULL OR g <> 0")
+def bed_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given variants (the feature) copied to a BED file of their own."""
+    path, n, m = _bed_file(spark, sf_dir)
+    target, rows = _place(spark, "subset.bed"), [0, 1, 2, 5, 6, 40]
+    plink.write_bed_subset(path, target, n, m, rows)
+    return plink.bed_genotypes(spark, target, n, len(rows))
+
+
 # --- sample tables --------------------------------------------------------------------------------------------------
 
 
@@ -122,6 +133,14 @@ def p_value_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), p_value_text(p, F.lit(1.0)).alias("text"))
 
 
+@query("SELECT c_custkey AS id, printf('%.6g', c_acctbal / 7) AS six, printf('%.1E', abs(c_acctbal) / 1.0E7 + 1.0E-9) AS p FROM customer")
+def texts_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text formats as functions of SQL."""
+    register(spark)
+    _people(spark, sf_dir).createOrReplaceTempView("people_of_texts")
+    return spark.sql("SELECT key AS id, g6(pheno / 7) AS six, p_value_text(abs(pheno) / 1.0E7 + 1.0E-9, 1.0E0) AS p FROM people_of_texts")
+
+
 _COVARIATES = """
 WITH p AS (SELECT 'f' || CAST(c_nationkey AS VARCHAR) AS fid, 'i' || CAST(c_custkey AS VARCHAR) AS iid, c_custkey % 2 + 1 AS sex, c_acctbal / 3 AS pc1, c_acctbal / 11 AS pc2 FROM customer)"""
 
@@ -258,6 +277,23 @@ def converted_graph_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(traverse(g, _samples(g, 3), "up").values)
 
 
+@query(_up_sql(_SAMPLES3, rows=_ROWS))
+def ensured_graph_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that is made because it is not there, and found the second time."""
+    path = _place(spark, "star.graph")
+    for _ in range(2):
+        g = store.ensure(spark, path, lambda: fixture.graph(spark, sf_dir))
+    return _whole(traverse(g, _samples(g, 3), "up").values)
+
+
+@query(f"SELECT g AS graph_id, id, (1 + k) * value AS value FROM ({_up_sql(_SAMPLES)}) u CROSS JOIN (SELECT 'first' AS g, 0 AS k UNION ALL SELECT 'second', 1) x")
+def stored_graphs_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stores loaded in order, with an operand each."""
+    graphs = dict(zip(("first", "second"), store.load_many(spark, [_store(spark, sf_dir), _store(spark, sf_dir)]), strict=True))
+    x = {n: _samples(g).withColumn("value", (1 + k) * F.col("value")) for k, (n, g) in enumerate(graphs.items())}
+    return traverse_many(graphs, x, "up").select("graph_id", "id", F.round("value").cast("bigint").alias("value"))
+
+
 # --- other forms of a traversal -------------------------------------------------------------------------------------
 
 
@@ -270,6 +306,13 @@ def up_by_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(spark.sql("SELECT * FROM graph_up(TABLE(graph_operand) PARTITION BY row)"))
 
 
+@query(_up_sql(_SAMPLES3, rows=_ROWS))
+def up_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A traversal checked once, with what it declares to need, then called."""
+    g = fixture.graph(spark, sf_dir)
+    return _whole(prepare(g, Spec(Direction.UP), requirements=Requirements(max_rows_up=3))(_samples(g, 3)).values)
+
+
 @query(f"SELECT * FROM ({_up_sql(_SAMPLES3, rows=_ROWS)}) u WHERE value <> 0")
 def up_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By levels, without zeros."""
@@ -333,15 +376,32 @@ def leading_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_person(spark, pca.sample_components(_one_variant(spark, sf_dir), 1)[:, 0])
 
 
-@query(f"""{_ONE} SELECT CAST(0 AS INTEGER) AS component, round(sum(z * z), 4) AS eigenvalue, true AS converged FROM z""")
-def leading_eigenvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest eigenvalue of one variant's relatedness by Lanczos' method, and whether its residual is small."""
+@query(f"""{_ONE} SELECT name AS solver, round(sum(z * z), 4) AS eigenvalue, true AS converged FROM z CROSS JOIN (SELECT 'lanczos' AS name UNION ALL SELECT 'lobpcg' UNION ALL SELECT 'randomized') s GROUP BY name""")
+def leading_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest eigenvalue of one variant's relatedness by each method, and whether its residual is small."""
     from haplospark.operators import solvers
 
+    k, rows = _one_variant(spark, sf_dir), []
+    for name, found in (("lanczos", solvers.lanczos(k.apply, k.n, 1, basis=4)), ("lobpcg", solvers.lobpcg(k.apply, k.n, 1)), ("randomized", solvers.randomized(k.apply, k.n, 1, oversample=3, power=2))):
+        values, vectors = found
+        rows.append((name, float(values[0]), bool((solvers.relative_residuals(k.apply, values, vectors) <= 1e-5).all())))
+    return spark.createDataFrame(rows, "solver string, eigenvalue double, converged boolean").withColumn("eigenvalue", F.round("eigenvalue", 4))
+
+
+@query("SELECT c_custkey AS id, round((c_acctbal - avg(c_acctbal) OVER ()) / 2.0E0, 5) + 0.0 AS value FROM customer")
+def loco_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phenotype solved without the chromosome of the only variant: nothing but the noise is left."""
+    import math
+
     k = _one_variant(spark, sf_dir)
-    values, vectors = solvers.lanczos(k.apply, k.n, 1, basis=4)
-    small = bool((solvers.relative_residuals(k.apply, values, vectors) <= 1e-5).all())
-    return spark.createDataFrame([(0, float(values[0]), small)], "component int, eigenvalue double, converged boolean").withColumn("eigenvalue", F.round("eigenvalue", 4))
+    solved = mixed_model.loco_residuals(k, _phenotype(spark, sf_dir), mixed_model.Variances(math.log(2.0), 1.0, 0.5, np.ones(k.n)))
+    return _by_person(spark, solved[k.chromosomes[0]])
+
+
+@query(f"{_PANEL} SELECT chrom, CAST(count(*) AS BIGINT) AS n FROM ok GROUP BY chrom")
+def model_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model variants of each chromosome, all of which need one."""
+    return spark.createDataFrame(list(qc.require_model_counts(_model(spark, sf_dir).variants).items()), "chrom int, n bigint")
 
 
 @query("""
