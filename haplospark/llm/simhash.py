@@ -23,8 +23,8 @@ many bits are kept as tell so many of them apart, so anchors stay small as the i
 
 An anchor compares its members and emits no pairs, but spanning forests of candidates: the links of least distance that
 connect what is connected.  Verified links make components; where links of a forest failed and others had been left out for
-it, those nodes are searched again with components contracted, first for four forests, then for all that is left, each pair at the
-first anchor that it shares.  In these rounds nodes carry a finer fingerprint, of 1,024 bits, which leaves few candidates that are not alike
+it, those nodes are searched again with components contracted, first for forests again, then for all that is left, each pair at the
+first anchor that it shares.  In these rounds nodes carry a finer fingerprint, of 4,096 bits, which leaves few candidates that are not alike
 enough (a family of texts just below the threshold would else be verified pair by pair).  So components are those of all verified candidates, without a pair within a group being emitted.
 
 Anchors of over ``HOT`` rows leave the task that finds them: with ``CONTRACT`` they are dealt anew by five pieces of the other bits
@@ -75,11 +75,11 @@ class Setting:
 
 CONTRACT = Setting(4, 1, 4)
 SIMILAR = Setting(5, 3, 40, 0.8)
-#: Forests of candidates in each round of the search; the last takes all candidates between components.
-ROUNDS: tuple[int | None, ...] = (1, 4, None)
-#: Words of the finer fingerprint of later rounds, and the most of its 1,024 bits in which candidates differ (a similarity of 0.8
-#: gives 155 on the average, and over 186 once in 300 times).
-FINE, FINE_BITS = 16, 186
+#: Forests of candidates that each round of the search takes at an anchor; the last takes all candidates between components.
+ROUNDS: tuple[int | None, ...] = (1, 1, None)
+#: Words of the finer fingerprint of later rounds, and the most of its 4,096 bits in which candidates differ (a similarity of 0.8
+#: gives 621 on the average, and over 690 once in 800 times).
+FINE, FINE_BITS = 64, 690
 #: Candidates that are fetched by a broadcast of their names (about 100 bytes each); more go through a shuffle.
 MAX_BROADCAST_NAMES = 300_000
 #: Rows of an anchor that one task compares, by the number of words.
@@ -88,7 +88,7 @@ HOT = {1: 200_000, 3: 16_384}
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 LARGE = 4096
 #: Pairs compared at once: some tens of MB.
-PAIRS = 1_000_000
+PAIRS = 250_000
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -468,8 +468,9 @@ def _placed(nodes: DataFrame, how: Setting, keep: np.ndarray | None) -> DataFram
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = _matrix(b, how)
-            for k in range(0, len(fps), 500 if carried else 2000):
-                part = fps[k : k + (500 if carried else 2000)]
+            step = 100 if carried else 2000
+            for k in range(0, len(fps), step):
+                part = fps[k : k + step]
                 anchor, index, home = cover(part) if keep is None else (*masked(part, keep), None)
                 own = {"home": pa.array(home)} if keep is None else {c: b.column(c).slice(k, len(part)).take(pa.array(index)) for c in carried}
                 columns = {"anchor": pa.array(anchor.astype(np.int64)), **own, **{words[w]: pa.array(part[index, w].view(np.int64)) for w in range(how.words)}}
@@ -494,8 +495,8 @@ def _finer(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], label: np
     """The ``pairs`` of different labels whose finer fingerprints differ in few bits, with their number."""
     for a, b, _ in pairs:
         cross = np.flatnonzero(label[a] != label[b])
-        for k in range(0, len(cross), 100_000):
-            x, y = a[cross[k : k + 100_000]], b[cross[k : k + 100_000]]
+        for k in range(0, len(cross), 20_000):
+            x, y = a[cross[k : k + 20_000]], b[cross[k : k + 20_000]]
             off = np.bitwise_count(fine[x] ^ fine[y]).sum(axis=1, dtype=np.int64)
             near = off <= FINE_BITS
             yield x[near], y[near], off[near]
@@ -508,7 +509,8 @@ def _compared(t: pa.Table, how: Setting, forests: int | None, starts: np.ndarray
     if not how.similarity:
         yield _found(LINK, *_named(fps, _connected(pairs)), how)
         return
-    if "label" in t.column_names and not t["label"].null_count:
+    later = "label" in t.column_names and not t["label"].null_count
+    if later:
         label = t["label"].to_numpy()
         pairs = _finer(pairs, label, np.frombuffer(b"".join(t["fine"].to_pylist()), U).reshape(-1, FINE))
     else:
@@ -521,15 +523,16 @@ def _compared(t: pa.Table, how: Setting, forests: int | None, starts: np.ndarray
         return
     a, b, out, root = candidates(t["anchor"].to_numpy(), fps, label, pairs, forests)
     yield _found(LINK, names_of(fps[a]), names_of(fps[b]), how)
-    yield _found(OUT, names_of(fps[out]), names_of(fps[root]), how)
+    if not later:  # later rounds take their nodes from these
+        yield _found(OUT, names_of(fps[out]), names_of(fps[root]), how)
 
 
 def _search(placed: DataFrame, how: Setting, forests: int | None, certain: bool, keep: np.ndarray | None = None) -> DataFrame:
     """What the anchors find; ``certain``: rows are at anchors of ``cover``, homes and visitors."""
-    hot = HOT[how.words]
+    hot, rows = HOT[how.words], 200_000 if certain else 20_000 if "fine" in placed.columns else 60_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, large in key_batches(batches, "anchor", 200_000, hot):
+        for t, large in key_batches(batches, "anchor", rows, hot):
             if large:
                 yield _left(t, how)
             elif certain:
@@ -601,7 +604,7 @@ def links(distinct: DataFrame, how: Setting = CONTRACT) -> DataFrame:
 def verified_roots(distinct: DataFrame, sets: Callable[[DataFrame], DataFrame], how: Setting = SIMILAR) -> DataFrame:
     """Stored (node, root) by links of similarity ``how.similarity`` or more, from ``distinct(fp, f0, ...)``; ``sets`` gives (fp, set) of a table of fps."""
     keep = masks(*covering(distinct.count()), how.words)
-    nodes, good, root = distinct.select(*_words(how)), None, None
+    nodes, good, root, out = distinct.select(*_words(how)), None, None, None
     for forests in ROUNDS:
         found = _found_in(nodes, how, keep, forests)
         pairs = stored(found.where(F.col("kind") == LINK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
@@ -612,17 +615,18 @@ def verified_roots(distinct: DataFrame, sets: Callable[[DataFrame], DataFrame],
             good = new if good is None else stored(good.unionByName(new), "links", good, new)
             release(root)
             root = components(good)
-        out = found.where(F.col("kind") == OUT).select(F.col("u").alias("fp"), F.col("v").alias("hangs")).distinct()
-        if out.isEmpty():
-            release(found)
+        if out is None:  # nodes of links left out, and what they hung together with
+            out = stored(found.where(F.col("kind") == OUT).select(F.col("u").alias("fp"), F.col("v").alias("hangs")).distinct(), "out")
+        release(found)
+        if forests is None or out.isEmpty():
             break
-        labelled = stored(out.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "hangs", F.xxhash64(F.coalesce("root", "fp")).alias("label")), "labelled", found)
+        labelled = stored(out.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "hangs", F.xxhash64(F.coalesce("root", "fp")).alias("label")), "labelled")
         open_ = labelled.groupBy("hangs").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("hangs")
         again = stored(labelled.join(open_, "hangs", "left_semi").groupBy("fp").agg(F.first("label").alias("label")), "again", labelled)
         nodes = stored(again.join(_fine(sets(again.select("fp"))), "fp").join(distinct, "fp").select("label", "fine", *_words(how)), "nodes", again)
         if nodes.isEmpty():
             break
-    release(good)
+    release(good, out)
     return root
 
 
