@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 #: What a Python worker is handed at once, at most, while a table is written.
-BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 

@@ -474,7 +474,7 @@ def contiguous_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH z AS (SELECT s_suppkey AS i, s_suppkey * 1.0E0 AS a, CAST(s_suppkey % 3 AS DOUBLE) AS b FROM supplier),
+WITH z AS (SELECT s_suppkey AS i, CAST(s_suppkey % 50 AS DOUBLE) AS a, CAST(s_suppkey % 3 AS DOUBLE) AS b FROM supplier),
 m AS (SELECT avg(a) AS ma, avg(b) AS mb FROM z),
 c AS (SELECT i, a - ma AS a, b - mb AS b FROM z CROSS JOIN m),
 t AS (SELECT sum(a * b) / sum(a * a) AS t FROM c),
@@ -485,9 +485,9 @@ s AS (
   FROM y JOIN e ON e.i = y.i GROUP BY y.v)
 SELECT v AS variant_id, round(greatest(p, 0.0E0), 4) + 0.0 AS proj_norm2 FROM s""")
 def projected_norms_of_close_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two covariates that differ by a millionth of a third: all count, so norms are those outside the constant and both directions."""
+    """Two covariates that differ by a hundred thousandth of a third: all count, so norms are those outside the constant and both directions."""
     key, n = F.col("s_suppkey"), fixture.read(spark, sf_dir, "supplier").count()
-    people = fixture.read(spark, sf_dir, "supplier").select(key.alias("individual_id"), key.alias("a"), (key + 1e-6 * (key % 3)).alias("b"))
+    people = fixture.read(spark, sf_dir, "supplier").select(key.alias("individual_id"), (key % 50).alias("a"), (key % 50 + 1e-5 * (key % 3)).alias("b"))
     table, names = qc.covariate_columns(people, [], ["a", "b"])
     each = fixture.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("variant_id")).crossJoin(people.select("individual_id"))  # the matrix itself
     calls = each.withColumn("dosage", (F.col("variant_id") * F.col("individual_id")) % 5)
