@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 
 import numpy as np
@@ -39,6 +40,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidied(run):
+    """``run`` as a task's function whose worker, which waits for further tasks, gives its free memory back when it is done."""
+
+    def go(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return go
+
+
 def key_batches(batches, key: str, rows: int, most: int):
     """(table, whether it is part of a run longer than ``most``): the stream, ordered by ``key``, in whole runs of equal keys.
 

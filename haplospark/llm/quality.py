@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from haplospark.checkpoints import stored
+from haplospark.llm.common import tidied
 
 SLOTS = 1 << 13
 DIM = 48
@@ -169,7 +170,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())], names=["block", "salt", "counts"])
 
     schema = "block int, salt int, counts binary"
-    sums = rows.mapInArrow(partial, schema).repartition("block", "salt").mapInArrow(total, schema).repartition("block").mapInArrow(total, schema)
+    sums = rows.mapInArrow(tidied(partial), schema).repartition("block", "salt").mapInArrow(total, schema).repartition("block").mapInArrow(total, schema)
     table = np.zeros((SLOTS // BLOCK, BLOCK * ROW), np.float64)
     for r in stored(sums, "counts").collect():  # SLOTS / BLOCK rows
         table[r["block"]] += np.frombuffer(r["counts"], np.int64)
@@ -284,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     # The sample has at most max_labelled rows of two numbers.
     picked = docs.join(F.broadcast(sample), "doc_id").select(F.md5(F.col("doc_id").cast("string")).alias("k"), F.md5(F.coalesce("text", F.lit(""))).alias("h"), "quality", F.col("text").cast("binary").alias("t"))
-    one = picked.mapInArrow(pooled, "k string, h string, y double, x binary").groupBy("k").agg(F.min(F.struct("h", "y", "x")).alias("r"))
+    one = picked.mapInArrow(tidied(pooled), "k string, h string, y double, x binary").groupBy("k").agg(F.min(F.struct("h", "y", "x")).alias("r"))
     rows = stored(one.select("k", "r.y", "r.x"), "learned").orderBy("k").collect()  # at most max_labelled rows
     x = np.array([np.frombuffer(r["x"], np.float64) for r in rows]).reshape(len(rows), DIM + 1)
     return train(vectors, x, np.array([r["y"] for r in rows], np.float64))
@@ -300,7 +301,7 @@ def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text", na
             s = sent.value.scores(pool(b.column(len(keys)), sent.value.vectors))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*keys, name])
 
-    return rows.mapInArrow(run, StructType([*[rows.schema[k] for k in keys], StructField(name, DoubleType())]))
+    return rows.mapInArrow(tidied(run), StructType([*[rows.schema[k] for k in keys], StructField(name, DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -308,4 +309,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     names = docs.columns
     model = fit(docs, labels)
     rows = docs.withColumn("__scored", F.col("text"))
-    return score(rows, model, names, "__scored", "__score").where(F.col("__score") >= threshold).select(*names)
+    # Written here, so that workers get small batches whatever the session says.
+    return stored(score(rows, model, names, "__scored", "__score").where(F.col("__score") >= threshold).select(*names), "good")

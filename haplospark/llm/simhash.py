@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from haplospark.checkpoints import release, stored, sweep
-from haplospark.llm.common import key_batches
+from haplospark.llm.common import key_batches, tidied
 from haplospark.llm.graph_components import components
 
 SEED = 42
@@ -167,7 +167,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", how: Sett
             fps = np.array([fingerprint(x.as_py(), how) for x in b.column(len(keys))], U).reshape(-1, how.words)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], names_of(fps), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T]], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def _patterns() -> list[np.ndarray]:
@@ -468,7 +468,7 @@ def _placed(nodes: DataFrame, how: Setting, keep: np.ndarray | None) -> DataFram
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = _matrix(b, how)
-            step = 100 if carried else 2000
+            step = 30 if carried else 500
             for k in range(0, len(fps), step):
                 part = fps[k : k + step]
                 anchor, index, home = cover(part) if keep is None else (*masked(part, keep), None)
@@ -477,7 +477,7 @@ def _placed(nodes: DataFrame, how: Setting, keep: np.ndarray | None) -> DataFram
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     more = ["home"] if keep is None else carried
-    return nodes.select(*carried, *words).mapInArrow(replicate, "anchor long" + "".join(f", {c} {CARRIED[c][0]}" for c in more) + "".join(f", {w} long" for w in words))
+    return nodes.select(*carried, *words).mapInArrow(tidied(replicate), "anchor long" + "".join(f", {c} {CARRIED[c][0]}" for c in more) + "".join(f", {w} long" for w in words))
 
 
 def fine_fingerprint(hashes: np.ndarray) -> bytes:
@@ -542,7 +542,7 @@ def _search(placed: DataFrame, how: Setting, forests: int | None, certain: bool,
                 here = np.arange(t.num_rows)
                 yield from _compared(t, how, forests, here + 1, np.repeat(cut[1:], np.diff(cut)) - here - 1, keep)
 
-    return placed.repartition("anchor").sortWithinPartitions("anchor", *_words(how)).mapInArrow(run, _found_schema(how))
+    return placed.repartition("anchor").sortWithinPartitions("anchor", *_words(how)).mapInArrow(tidied(run), _found_schema(how))
 
 
 def _by_pieces(left: DataFrame, how: Setting) -> DataFrame:
