@@ -397,6 +397,52 @@ def test_left_out_links_are_searched_again(spark):
     assert ((alike > 0.5) & (alike < 0.8)).any()
 
 
+def test_left_out_nodes_take_one_row_each(spark, monkeypatch):
+    """A family just below the similarity asked for shares many anchors: what is searched again holds each text once, and no link is lost by that."""
+    seen = {}
+
+    def stored(df, name, *done):
+        out = real(df, name, *done)
+        if name in ("out", "labelled", "again"):
+            seen.setdefault(name, []).append(out.count())
+        return out
+
+    real = simhash.stored
+    monkeypatch.setattr(simhash, "stored", stored)
+    docs = scattered(3, 25, 6, 0.022)
+    rows = [(d[0], d[1]) for d in docs]
+    label, alike = slow_similar(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(docs, DOCUMENT), how=simhash.SIMILAR).collect()}
+    assert [got[i] for i, _ in rows] == label.tolist()
+    assert ((alike > 0.6) & (alike < 0.8)).sum() > 400 and seen["again"][0] > 10
+    assert max(n for sizes in seen.values() for n in sizes) <= len(rows)
+
+
+def test_nodes_that_are_searched_again(spark):
+    """Both ends of every link that an anchor left out are, if verified links don't join them."""
+    rng = np.random.default_rng(3)
+    links, failed, left, ends = [], [], [], set()
+    for anchor in range(30):
+        at = rng.choice(200, 25, replace=False)
+        a, b = at[rng.integers(0, 25, 60)], at[rng.integers(0, 25, 60)]
+        off = rng.integers(0, 40, 60).astype(np.uint8)
+        fps = np.arange(200, dtype=np.uint64)[:, None]
+        u, v, out = simhash.candidates(np.full(200, anchor), fps, np.arange(200), iter([(a, b, off)]), 1)
+        chosen = set(zip(u.tolist(), v.tolist(), strict=True))
+        left += [x for x in zip(a.tolist(), b.tolist(), strict=True) if x[0] != x[1] and x not in chosen]
+        ends |= set(out.tolist())
+        for x in sorted(chosen):
+            (links if (x[0] * 31 + x[1] * 17) % 5 == 0 else failed).append(x)
+    root = simhash.forest(200, *np.array(links).T)
+    table = spark.createDataFrame([(k, r) for k, r in enumerate(root.tolist())], "node long, root long")
+    opened = simhash._open(spark.createDataFrame([(x,) for x in ends], "fp long"), spark.createDataFrame(failed, "u long, v long"), table).collect()
+    again = {r["fp"]: r["label"] for r in opened}
+    apart = [(x, y) for x, y in left if root[x] != root[y]]
+    assert len(again) == len(opened) and len(apart) > 100 and all(x in again and y in again and again[x] != again[y] for x, y in apart)
+    none = simhash._open(spark.createDataFrame([(x,) for x in ends], "fp long"), spark.createDataFrame(links, "u long, v long"), table)
+    assert none.isEmpty()
+
+
 def test_near_dedup_keeps_one_of_repeated_rows(spark):
     text = prose(31, 90)
     docs = [document(1, text)] * 3 + [document(1, text, "b"), document(2, text), document(3, prose(32, 90)), document(None, None), document(None, None), document(4, "")]
