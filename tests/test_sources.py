@@ -224,3 +224,14 @@ def test_basis_of_close_covariates(spark):
         np.testing.assert_allclose(q.T @ q, np.eye(rank), atol=1e-12)
         dense = qc.orthonormal_basis(np.column_stack([np.ones(500), x, x + gap * z]))
         np.testing.assert_allclose(q @ q.T, dense @ dense.T, atol=1e-15 / gap * 100)
+
+
+def test_minus_nine_is_a_number(spark, tmp_path):
+    """A balance of -27 gives a component of -9, which the file has as the text that also stands for a missing value."""
+    from haplospark import file_queries
+
+    spark.createDataFrame([(0, 1, -27.0, "A"), (1, 2, 33.0, "B")], "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {(r["iid"], r["name"]): r["value"] for r in file_queries.covariate_columns(spark, str(tmp_path)).collect()}
+    assert (got["i0", "q:PC1"], got["i1", "q:PC1"]) == (-9.0, 11.0) and len(got) == 8
+    with pytest.raises(ValueError, match="missing value"):
+        qc.covariate_columns(spark.createDataFrame([("-9",)], "x string"), [], ["x"])
