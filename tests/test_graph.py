@@ -226,3 +226,14 @@ def test_convert(spark, pair, tmp_path):
     assert path.endswith("/out/mine.graph")
     v = np.ones((1, s.num_samples))
     np.testing.assert_allclose(matmul(store.load(spark, path), v, "up"), matmul(g, v, "up"))
+
+
+def test_compiling_sends_no_edges_to_the_driver(spark, monkeypatch):
+    """Levels of a graph that one task can hold are found in that task."""
+    from haplospark.operators.graph import compile_graph
+
+    edges = spark.createDataFrame([(4, 0), (4, 1), (5, 4), (5, 2), (6, 5), (6, 3)], "parent bigint, child bigint")
+    for name in ("toPandas", "toArrow"):
+        monkeypatch.setattr(type(edges), name, lambda self: pytest.fail("a table was brought to the driver"))
+    graph = compile_graph(edges, spark.createDataFrame([(0, 6, None)], "mutation_id bigint, node_id bigint, miss_node_id bigint"), 4, 7, 2)
+    assert {r["node_id"]: r["level"] for r in graph.nodes.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 2, 6: 3}
