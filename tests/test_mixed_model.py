@@ -146,3 +146,20 @@ def test_sample_components(panel):
 def test_runs(spark):
     df = spark.createDataFrame([(i,) for i in (1, 2, 3, 7, 9, 10)], "row bigint")
     assert sorted((r["first"], r["last"]) for r in qc.contiguous_runs(df).collect()) == [(1, 3), (7, 7), (9, 10)]
+
+
+def test_solving_in_tasks(spark, panel, monkeypatch):
+    """Columns solved each in a task go the same rounds as a block; no block comes to the driver."""
+    k, p, _ = panel
+    y, w = np.random.default_rng(3).standard_normal((2, k.n))
+    m, c = int(p["mutation_id"][2]), int(p["chrom"][2])
+    ratio, block, tasks = 0.7, solvers.CgReport(), solvers.CgReport()
+    rhs = np.column_stack([y + ratio**0.5 * w, y, k.columns([m])[:, 0]])
+    expected = solvers.conjugate_gradients(lambda v: k.apply(v, [None, 19, c]) + ratio * v, rhs, k.project, 1e-6, 100, block)
+    found = mixed_model.solve_in_tasks(k, [(None, None), (19, None), (c, m)], ratio, 1e-6, 100, spark.sparkContext.broadcast([(y, w), (y, None)]), tasks)
+    for r in found.collect():
+        np.testing.assert_allclose(np.frombuffer(r["x"], float), expected[:, r["row"]], atol=1e-8)
+    assert tasks.iterations == block.iterations
+    for name in ("columns", "apply", "score_squares"):
+        monkeypatch.setattr(Relatedness, name, lambda *a: pytest.fail("a block of vectors came to the driver"))
+    mixed_model.calibrate(k, y, mixed_model.estimate_variances(k, y, max_iter=200), count=4)
