@@ -235,3 +235,26 @@ def test_minus_nine_is_a_number(spark, tmp_path):
     assert (got["i0", "q:PC1"], got["i1", "q:PC1"]) == (-9.0, 11.0) and len(got) == 8
     with pytest.raises(ValueError, match="missing value"):
         qc.covariate_columns(spark.createDataFrame([("-9",)], "x string"), [], ["x"])
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_bed_of_many_blocks(spark, tmp_path, monkeypatch, local):
+    """Blocks without calls, individuals that do not fill a byte; a local file is not put together in one task."""
+    n, m, r = 13, 57, np.random.default_rng(8)
+    monkeypatch.setattr(plink, "READ_BYTES", 12)
+    known = {(int(v), int(i)): int(d) for v, i, d in zip(r.choice([*range(9), *range(40, 57)], 150), r.integers(0, n, 150), r.integers(-1, 3, 150), strict=True)}
+    calls = spark.createDataFrame([(v, i, None if d < 0 else d) for (v, i), d in known.items()], "variant_id bigint, individual_id bigint, dosage bigint")
+    if local:
+        whole = type(calls).repartition
+        monkeypatch.setattr(type(calls), "repartition", lambda self, *a: pytest.fail("all blocks came to one task") if a == (1,) else whole(self, *a))
+    else:
+        monkeypatch.setattr(plink.pyarrow.fs, "LocalFileSystem", type(None))
+    path = str(tmp_path / "a.bed")
+    plink.write_bed(calls, path, n, m)
+    x = np.zeros((m, n), np.int8)
+    for (v, i), d in known.items():
+        x[v, i] = d
+    assert open(path, "rb").read() == plink.BED_MAGIC + b"".join(plink.encode(row) for row in x)
+    got = {(c["variant_id"], c["individual_id"]): -1 if c["dosage"] is None else c["dosage"] for c in plink.bed_genotypes(spark, path, n, m).collect()}
+    assert got == {k: d for k, d in known.items() if d}
+    assert {c["variant_id"]: c["missing"] for c in plink.bed_stats(spark, path, n, m).collect()} == dict(enumerate((x < 0).sum(axis=1).tolist()))
