@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from haplospark import fixture, queries
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +36,16 @@ def test_models_of_all_mutations(spark):
     """The relatedness of the model covers every mutation that has a dosage."""
     table = queries._model(spark, SF).variants
     assert {r["mutation_id"] for r in table.select("mutation_id").collect()} == {m for m, _ in dosages(spark)}
+
+
+def test_tasks_share_a_matrix(spark, monkeypatch):
+    """All pairs of a small file of variants are made by many tasks, and stay there for a basis that a task can hold."""
+    from haplospark.operators import qc
+
+    seen = []
+    monkeypatch.setattr(qc, "snp_stats", lambda calls, n, f=qc.snp_stats: (seen.append(calls), f(calls, n))[1])
+    assert queries.projected_norms_of_close_covariates(spark, SF).count() == 200
+    assert seen[0].rdd.getNumPartitions() >= 16
+    people = spark.range(50).select(F.col("id").alias("individual_id"), F.array(F.lit(50**-0.5)).alias("q"))
+    norms = qc.projected_norms(seen[0], people, qc.snp_stats(seen[0], 50))
+    assert "BroadcastHashJoin [individual_id" in norms._jdf.queryExecution().toString()
